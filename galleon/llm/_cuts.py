@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,3 +32,11 @@ def text_blocks(docs: DataFrame, column: str = "text", block_mb: int = 16) -> in
     """How many hash blocks keep a block's text near ``block_mb``: grows with the table."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return max(2 * partitions(docs.sparkSession), math.ceil(total / (block_mb << 20)))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: compact, read again by column."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

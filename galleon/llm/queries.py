@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, substring_dedup, suffix_dedup
+from . import jaccard_join, quality_rules, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: five words, similarity 0.8 or more."""
+    return jaccard_join.link(_table(spark, sf_dir, "documents"), k=5, num=80, den=100)[0]
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from every document, in how many runs, and the digest of those kept."""
     kept = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), length=100)
@@ -34,6 +39,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
