@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, quality_rules, substring_dedup, suffix_dedup
+from . import jaccard_join, quality_rules, substring_dedup, suffix_dedup, url_filter
+
+#: The rules of the query, and the listed sites.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_SITES = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +32,45 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; unruled pages of listed sites are blocked."""
+    pages = _table(spark, sf_dir, "pages")
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED_SITES))))
+    sites = pages.select(url_filter.site_of(url_filter.host_of(F.col("url"))))
+    return url_filter.judge(pages, URL_RULES, url_filter.Cascade.build(listed, sites))
+
+
+#: Rules by their length, then membership in the list, which the cascade answers exactly.
+OP3_SQL = (
+    r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/'
+  END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_extract(host, '([^.]*\.)?([^.]*\.)?[^.]*$', 0) IN ("""
+    + ", ".join(f"'{s}'" for s in LISTED_SITES)
+    + """) THEN 'block'
+    ELSE 'allow'
+  END AS verdict
+FROM ruled
+"""
+)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document, and the digest of those kept."""
     kept = substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), window=13)
@@ -41,6 +85,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
+    "op3_url_filters": (op3_url_filters, OP3_SQL),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
 }
