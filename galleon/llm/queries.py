@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 #: The rules of the query, and the listed sites.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -82,12 +82,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's copies of documents: entropy 0.95 of the largest, four repeats at most."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, entropy=0.95, repeats=4.0, budget="tokens")
+    return mixed.select("doc_id", "source", "mix_copy", "mix_tokens", "mix_block", "mix_slot")
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_url_filters": (op3_url_filters, OP3_SQL),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
+    "op10_source_mixing": (op10_source_mixing, None),
 }
 
 
