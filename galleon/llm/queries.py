@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, url_filter
 
 #: The rules of the query, and the listed sites.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -71,6 +71,22 @@ FROM ruled
 )
 
 
+TOKENIZER = "word_bpe_49k.json"
+END = 2
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and digests of every document's token ids, read back from the shards written."""
+    return sstable.read_back(sstable.write(_table(spark, sf_dir, "documents"), tokenizer_path(), END))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document, and the digest of those kept."""
     kept = substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), window=13)
@@ -93,6 +109,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_url_filters": (op3_url_filters, OP3_SQL),
+    "op7_sstable_output": (op7_sstable_output, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_source_mixing": (op10_source_mixing, None),
