@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, url_filter
+from . import html_extract, jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, url_filter
 
 #: The rules of the query, and the listed sites.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -71,6 +71,11 @@ FROM ruled
 )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_url_filters": (op3_url_filters, OP3_SQL),
+    "op4_html_extraction": (op4_html_extraction, None),
     "op7_sstable_output": (op7_sstable_output, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
