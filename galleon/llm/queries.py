@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, url_filter
+from . import html_extract, jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, toxicity, url_filter
 
 #: The rules of the query, and the listed sites.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -76,6 +76,14 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learnt outside the held-out third of the labelled ids."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.sample(docs, _table(spark, sf_dir, "labels"), max_train=20_000))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 
@@ -115,6 +123,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_url_filters": (op3_url_filters, OP3_SQL),
     "op4_html_extraction": (op4_html_extraction, None),
+    "op5_toxicity": (op5_toxicity, None),
     "op7_sstable_output": (op7_sstable_output, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
