@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, toxicity, url_filter
 
 #: The rules of the query, and the listed sites.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -84,6 +84,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that come within edits of 15 % of the item's words of each other."""
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), edits=decontaminate.EDITS)
+
+
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 
@@ -124,6 +129,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_url_filters": (op3_url_filters, OP3_SQL),
     "op4_html_extraction": (op4_html_extraction, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_benchmark_decontamination": (op6_benchmark_decontamination, None),
     "op7_sstable_output": (op7_sstable_output, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
