@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES = [relational]
 
 
 def queries() -> dict[str, Query]:
