@@ -160,7 +160,8 @@ def send_parts(targets: int, k: int, bound: Bound):
                 d = of[x][start]
                 out.append((int(to[x[0]]), key[x].tobytes(), np.diff(np.append(start, len(x))).tobytes(), ids[d].tobytes(), sig[d].tobytes(), None, None))
             nulls = rows["doc_id"].is_null().to_numpy()
-            out.append((number % targets, None, None, ids.tobytes(), sig.tobytes(), n.astype(np.int64).tobytes(), nulls.tobytes()))
+            dense = b"".join(sketch(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True))
+            out.append((number % targets, dense, None, ids.tobytes(), sig.tobytes(), n.astype(np.int64).tobytes(), nulls.tobytes()))
             names = ("_t", "keys", "counts", "ids", "sigs", "sizes", "nulls")
             yield from pa.table({c: pa.array([r[i] for r in out], pa.int64() if c == "_t" else pa.binary()) for i, c in enumerate(names)}).to_batches()
 
@@ -171,12 +172,15 @@ DOC, PAIR, RUN = 0, 1, 2
 
 
 def meet(sent: pa.Table) -> pa.Table:
-    """Of a target's parts: every document's size, stars of the runs, and runs of three sets or more."""
+    """Of a target's parts: every document's size and sketch, stars of the runs, and runs of three sets or more."""
     sizes, out = sent["sizes"].is_null(), []
     docs = sent.filter(pa.compute.invert(sizes))
-    for i, s, n, z in zip(docs["ids"], docs["sigs"], docs["sizes"], docs["nulls"], strict=True):
-        of = np.frombuffer(i.as_py(), np.int64)
-        out.append((DOC, of, np.frombuffer(n.as_py(), np.int64), np.frombuffer(s.as_py(), np.int64), np.frombuffer(z.as_py(), bool)))
+    for i, s, n, z, dense in zip(docs["ids"], docs["sigs"], docs["sizes"], docs["nulls"], docs["keys"], strict=True):
+        of, size = np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+        ends = np.cumsum([sketch_bits(x) // 8 for x in size])
+        dense = dense.as_py()
+        cut = [dense[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        out.append((DOC, of, size, np.frombuffer(s.as_py(), np.int64), np.frombuffer(z.as_py(), bool), cut))
     parts = sent.filter(sizes)
     if parts.num_rows:
         key = np.concatenate(W.u64(parts["keys"]))
@@ -202,17 +206,23 @@ def meet(sent: pa.Table) -> pa.Table:
         lead = np.repeat(ids[start], size) if len(run) else ids
         star = lead != ids
         pair = np.unique(np.stack([lead[star], ids[star]]), axis=1)
-        out.append((PAIR, pair[0], pair[1], None, None))
+        out.append((PAIR, pair[0], pair[1], None, None, None))
         # runs with the same documents say the same
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(ids.astype(np.uint64)))))
         what = sums[start + size] - sums[start] if len(run) else np.zeros(0, np.uint64)
         first = np.zeros(len(start), bool)
         first[np.unique(what, return_index=True)[1]] = True
         rows = np.repeat((size > 2) & first, size)
-        out.append((RUN, np.repeat(what, size)[rows].view(np.int64), ids[rows], None, None))
-    join = [(np.full(len(x), kind, np.int8), x, y, np.zeros(len(x), np.int64) if s is None else s, np.zeros(len(x), bool) if z is None else z) for kind, x, y, s, z in out]
-    cols = [np.concatenate(c) for c in zip(*join, strict=True)]
-    return pa.table(dict(zip(("kind", "x", "y", "sig", "nil"), cols, strict=True)))
+        out.append((RUN, np.repeat(what, size)[rows].view(np.int64), ids[rows], None, None, None))
+    cols = [np.concatenate([np.zeros(0, k), *c]) for k, c in (
+        (np.int8, [np.full(len(o[1]), o[0], np.int8) for o in out]),
+        (np.int64, [o[1] for o in out]),
+        (np.int64, [o[2] for o in out]),
+        (np.int64, [np.zeros(len(o[1]), np.int64) if o[3] is None else o[3] for o in out]),
+        (bool, [np.zeros(len(o[1]), bool) if o[4] is None else o[4] for o in out]),
+    )]
+    dense = pa.array([x for o in out for x in (o[5] or [None] * len(o[1]))], pa.binary())
+    return pa.table(dict(zip(("kind", "x", "y", "sig", "nil", "sketch"), [*cols, dense], strict=True)))
 
 
 def sets_of(k: int):
@@ -225,38 +235,60 @@ def sets_of(k: int):
     return run
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the dense sketch of ``n`` members: two to four each."""
+    return max(256, 1 << int(2 * n - 1).bit_length()) if n else 256
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Dense parity sketch of a set, eight bits a member or more, as 64-bit words."""
-    bits = max(512, 1 << int(8 * len(s) - 1).bit_length()) if len(s) else 512
-    flips = np.bincount((s.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    """Dense parity sketch of a set, as 64-bit words."""
+    bits = sketch_bits(len(s))
+    flips = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(bool), bitorder="little").view(np.uint64)
 
 
 def fold(s: np.ndarray, n: int) -> np.ndarray:
+    """The sketch of ``n`` words of the same set; distances still bound from below."""
     while len(s) > n:
         s = s[: len(s) // 2] ^ s[len(s) // 2 :]
     return s
 
 
+def _words(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+
+
+def near(bound: Bound):
+    """Of pairs with both sketches: those whose distance and sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            far = np.zeros(len(n), np.int64)
+            for i, (x, y) in enumerate(zip(_words(batch.column("sa")), _words(batch.column("sb")), strict=True)):
+                k = min(len(x), len(y))
+                far[i] = np.bitwise_count(fold(x, k) ^ fold(y, k)).sum()
+            ok = (far <= bound.differ(n + m)) & (bound.largest(np.minimum(n, m)) >= np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in "ab"], ["a", "b"])
+
+    return run
+
+
 def between(bound: Bound):
     """Pairs of a run's documents, of different components, whose sketches are near enough."""
 
     def run(rows: pa.Table) -> pa.Table:
-        run, ids, comp = (rows[c].to_numpy() for c in ("run", "doc_id", "component"))
-        sets = rows["set"].combine_chunks()
-        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
-        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        run, ids, comp, size = (rows[c].to_numpy() for c in ("run", "doc_id", "component", "n"))
+        dense = _words(rows["sketch"])
         order = np.argsort(run, kind="stable")
         out = [np.zeros((2, 0), np.int64)]
         for x in np.split(order, W.heads(run[order])[1:]):
-            sk = [sketch(flat[at[i] : at[i + 1]]) for i in x]
-            least = min(map(len, sk))
-            sk = np.stack([fold(s, least) for s in sk])
-            n, c, d = (at[x + 1] - at[x]).astype(np.int64), comp[x], ids[x]
+            least = min(len(dense[i]) for i in x)
+            sk = np.stack([fold(dense[i], least) for i in x])
+            n, c, d = size[x], comp[x], ids[x]
             for i in range(len(x) - 1):
                 j = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-                a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                j = j[bound.largest(a) >= b]
+                j = j[bound.largest(np.minimum(n[i], n[j])) >= np.maximum(n[i], n[j])]
                 far = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1)
                 j = j[far <= bound.differ(n[i] + n[j])]
                 out.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])]))
@@ -275,6 +307,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     return both.where(F.col("i") * bound.den >= (F.col("n") - F.col("i")) * bound.num).select("a", "b").distinct()
 
 
+def _sets(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The sets of the documents in the pairs."""
+    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return _cuts.written(rows.join(need, "doc_id", "left_semi").mapInArrow(sets_of(k), "doc_id long, set array<long>"))
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component yet."""
     end = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
@@ -289,13 +327,16 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     targets = _cuts.text_blocks(rows)
     sent = rows.mapInArrow(send_parts(targets, k, bound), "_t long, keys binary, counts binary, ids binary, sigs binary, sizes binary, nulls binary")
-    met = _cuts.written(sent.groupBy("_t").applyInArrow(meet, "kind byte, x long, y long, sig long, nil boolean"))
+    met = _cuts.written(sent.groupBy("_t").applyInArrow(meet, "kind byte, x long, y long, sig long, nil boolean, sketch binary"))
     every = met.where(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), "sig", "nil")
-    pairs = _cuts.written(met.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    dense = met.where((F.col("kind") == DOC) & ~F.col("nil")).select(F.col("x").alias("id"), F.col("y").alias("n"), "sketch")
+    pairs = met.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     runs = met.where(F.col("kind") == RUN).select(F.col("x").alias("run"), F.col("y").alias("doc_id"))
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = _cuts.written(rows.join(need, "doc_id", "left_semi").mapInArrow(sets_of(k), "doc_id long, set array<long>"))
+    side = lambda c: dense.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    pairs = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+    pairs = _cuts.written(pairs.mapInArrow(near(bound), "a long, b long").distinct())
     # one leader for each document first, then what that leaves apart
+    sets = _sets(rows, pairs, k)
     links = _cuts.written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, bound))
     label = components(links)
     links = _cuts.written(links.union(_verified(_apart(pairs, label), sets, bound)))
@@ -303,12 +344,11 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     member = runs.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = _cuts.written(member)
     mixed = member.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("run")
-    member = member.join(mixed, "run", "left_semi").distinct().join(sets, "doc_id")
+    member = member.join(mixed, "run", "left_semi").distinct().join(dense.withColumnRenamed("id", "doc_id"), "doc_id")
     group = F.pmod(F.xxhash64("run"), F.lit(4 * _cuts.partitions(spark)))
-    found = member.groupBy(group.alias("_g")).applyInArrow(between(bound), "a long, b long").distinct()
-    more = _cuts.written(_verified(found, sets, bound))
-    if not more.isEmpty():
-        links = links.union(more)
+    found = _cuts.written(member.groupBy(group.alias("_g")).applyInArrow(between(bound), "a long, b long").distinct())
+    if not found.isEmpty():
+        links = _cuts.written(links.union(_verified(found, _sets(rows, found, k), bound)))
         label = components(links)
     # equal sets: the least doc_id stands for all of them
     known = every.where(~F.col("nil") & (F.col("n_shingles") > 0))
