@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import top_n
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -72,7 +74,7 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_i
     n = max(1, -(-vectors.count() // block_rows))
     m = max(1, -(-queries.count() // block_rows))
     left = _blocks(queries, key, column, m).select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("d"), F.lit(0).alias("side"), "id", "v")
-    right = _blocks(vectors, key, column, n).select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("q"), F.col("block").cast("int").alias("d"), F.lit(1).alias("side"), "id", "v")
+    right = _blocks(vectors, key, column, n).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("q"), F.col("block").cast("int").alias("d"), F.lit(1).alias("side"), "id", "v")
 
     def run(t: pa.Table) -> pa.Table:
         side, ids = t["side"].to_numpy(), t["id"].to_numpy()
@@ -88,8 +90,6 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_i
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "similarity": pa.array([o[2] for o in out], pa.float64())})
 
     best = left.union(right).groupBy("q", "d").applyInArrow(run, "a long, b long, similarity double")
-    from .windows import top_n
-
     return top_n(best, ["a"], [F.desc("similarity"), F.asc("b")], k, "rank")
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import analytics, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [relational]
+MODULES = [relational, analytics]
 
 
 def queries() -> dict[str, Query]:
