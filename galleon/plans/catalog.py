@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, relational
+from . import analytics, relational, sequential
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [relational, analytics]
+MODULES = [relational, analytics, sequential]
 
 
 def queries() -> dict[str, Query]:
