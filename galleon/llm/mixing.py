@@ -31,7 +31,7 @@ from . import _cuts
 
 CELLS = 4096
 CUTS = 31
-SPACE = " \t\n\x0b\x0c\r"
+MADE = ("mix_copy", "mix_tokens", "mix_block", "mix_slot")
 
 
 def n_words(text: Column) -> Column:
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, e
     blocks = max(1, math.ceil(amount / block_tokens))
     slot = F.xxhash64("id", F.lit(seed + 2), F.col("mix_copy"))
     return rows.select(
-        *(F.col(f"row.`{c}`").alias(c) for c in names if not c.startswith("mix_")), "mix_copy", F.col("tokens").alias("mix_tokens"),
+        *(F.col(f"row.`{c}`").alias(c) for c in names if c.lower() not in MADE), "mix_copy", F.col("tokens").alias("mix_tokens"),
         F.pmod(slot, F.lit(blocks)).alias("mix_block"), slot.alias("mix_slot"),
     )
 
