@@ -21,7 +21,7 @@ INWORD = np.ones(256, bool)
 INWORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-SLICE = 4 << 20
+SLICE = 2 << 20
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 

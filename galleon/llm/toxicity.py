@@ -46,7 +46,7 @@ class Model(NamedTuple):
 
 def grams(t: W.Texts, keep: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of texts [a, b): distinct (text, feature) pairs, of the masked features only."""
-    for a, b in t.slices(2 << 20):
+    for a, b in t.slices(1 << 19):
         lo, hi = int(t.offsets[a]), int(t.offsets[b])
         # a blank before and after every text
         size = np.diff(t.offsets[a : b + 1]) + 2
