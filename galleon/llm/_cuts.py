@@ -28,10 +28,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_blocks(docs: DataFrame, column: str = "text", block_mb: int = 16) -> int:
-    """How many hash blocks keep a block's text near ``block_mb``: grows with the table."""
+def text_blocks(docs: DataFrame, column: str = "text", block_mb: int = 16, finer: int = 1) -> int | tuple[int, int]:
+    """How many hash blocks keep a block's text near ``block_mb``: grows with the table.
+
+    With ``finer``, also the number for blocks that many times smaller.
+    """
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(2 * partitions(docs.sparkSession), math.ceil(total / (block_mb << 20)))
+    least = 2 * partitions(docs.sparkSession)
+    found = tuple(max(least, math.ceil(total * f / (block_mb << 20))) for f in (1, finer))
+    return found if finer > 1 else found[0]
 
 
 def written(df: DataFrame) -> DataFrame:

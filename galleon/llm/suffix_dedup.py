@@ -265,14 +265,15 @@ def cut_strings(targets: int, length: int, unit: int):
 def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte ranges) and kept bytes of every row."""
     unit = max(1, min(UNIT, length // 3))
-    blocks = _cuts.text_blocks(docs)
+    # a target's transform takes some hundred bytes of memory for each byte it holds
+    blocks, targets = _cuts.text_blocks(docs, finer=4)
     rows = blocked(docs, blocks)
-    sent = rows.groupBy("_b").applyInArrow(find_minimizers(blocks, length, unit), "_t long, _b long, one binary, many binary")
+    sent = rows.groupBy("_b").applyInArrow(find_minimizers(targets, length, unit), "_t long, _b long, one binary, many binary")
     shared = sent.groupBy("_t").applyInArrow(shared_anchors, "_b long, hashes binary")
     sent = rows.groupBy("_b").cogroup(shared.groupBy("_b")).applyInArrow(
-        find_segments(blocks, length, unit), "_t long, _b long, keys binary, counts binary, ids binary, places binary, bytes binary"
+        find_segments(targets, length, unit), "_t long, _b long, keys binary, counts binary, ids binary, places binary, bytes binary"
     )
     firsts = sent.groupBy("_t").applyInArrow(first_starts(length), "_b long, keys binary, bits binary, _t long")
     return rows.groupBy("_b").cogroup(firsts.groupBy("_b")).applyInArrow(
-        cut_strings(blocks, length, unit), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+        cut_strings(targets, length, unit), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     )
