@@ -39,6 +39,7 @@ from . import _words as W
 WALKS, TABLES, SAMPLE = 4, 4, 3
 EDITS = 0.15
 SMALL = 1 << 16
+FOLD = np.uint32(0x9E3779B1)
 
 
 class Group(NamedTuple):
@@ -60,29 +61,55 @@ class Queries(NamedTuple):
     exact: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes, items
 
 
-def _masks(h: np.ndarray, walk: int, part: int) -> np.ndarray:
-    """For each word, 64 random bits: whether the walk moves on at steps of this part."""
-    return W.mix(h ^ np.uint64((walk * 64 + part + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+class Laid(NamedTuple):
+    """Words of many texts in a row, with a blank after each text on which walks stay."""
 
+    hash: np.ndarray
+    blank: np.ndarray
+    symbol: np.ndarray  # 32 bits of the word
+    place: np.ndarray  # of every word
 
-def embed(h: np.ndarray, stop: np.ndarray, walk: int, wanted: dict[int, list[np.ndarray]]) -> None:
-    """Walks from every place at once; ``wanted[step]`` arrays are folded with the words then written.
 
-    Past the text's end (``stop``) the walk writes a blank.
+def lay(w: W.Words) -> Laid:
+    place = np.arange(len(w.hash)) + w.text_of()
+    h = np.zeros(len(w.hash) + len(w.first) - 1, np.uint64)
+    h[place] = w.hash
+    blank = np.ones(len(h), bool)
+    blank[place] = False
+    symbol = (h >> np.uint64(32)).astype(np.uint32)
+    symbol[blank] = 1
+    return Laid(h, blank, symbol, place.astype(np.int32))
+
+
+def walk_keys(text: Laid, start: np.ndarray, walk: int, steps: list[list[int]]) -> list[np.ndarray]:
+    """For each table, the sampled steps of the embeddings that begin at ``start``, folded to 32 bits.
+
+    At step ``j`` every walk writes the word under it, then moves on by bit ``j`` of that
+    word's random mask; all walks of a kind advance together.
     """
-    n = len(h)
-    padded = np.append(h, np.uint64(0))
-    at = np.arange(n, dtype=np.int32)
-    last = stop.astype(np.int32)
+    keys, wanted = [np.zeros(len(start), np.uint32) for _ in steps], defaultdict(list)
+    for key, at in zip(keys, steps, strict=True):
+        for j in at:
+            wanted[j].append(key)
+    at, here = start.copy(), np.empty(len(start), np.uint32)
     for j in range(max(wanted, default=-1) + 1):
-        if j % 64 == 0:
-            bits = np.append(_masks(h.copy(), walk, j // 64), np.uint64(0))
-        for key in wanted.get(j, ()):
-            key *= W.STEP
-            key += np.where(at < last, padded[at], np.uint64(1))
-        move = (bits[at] >> np.uint64(j % 64)).astype(np.int32) & 1
-        at += move
-        np.minimum(at, last, out=at)
+        if j % 32 == 0:
+            salt = np.uint64(((walk * 64 + j // 32 + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+            bits = (W.mix(text.hash ^ salt) >> np.uint64(32)).astype(np.uint32)
+            bits[text.blank] = 0
+        if j in wanted:
+            np.take(text.symbol, at, out=here, mode="clip")
+            for key in wanted[j]:
+                key *= FOLD
+                key += here
+        np.take(bits, at, out=here, mode="clip")
+        here >>= np.uint32(j % 32)
+        here &= np.uint32(1)
+        at += here.view(np.int32)
+    for key in keys:
+        key *= FOLD
+        key ^= key >> np.uint32(15)
+    return keys
 
 
 def _plan(length: int, walk: int, seed: int) -> list[list[int]]:
@@ -102,39 +129,24 @@ def prepare(items: list[tuple[int | None, str | None]], edits: float = EDITS, se
         h = np.array([W.windows(w.hash[w.first[i] : w.first[i + 1]], size)[0] for i in of])
         order = np.argsort(h)
         exact[size] = h[order], of[order]
-    classes = defaultdict(list)
+    laid, classes = lay(w), defaultdict(list)
     for i, a in enumerate(allowed):
         if a:
             classes[1 << (int(n[i]).bit_length() - 1)].append(i)
     for length, of in sorted(classes.items()):
         steps = [_plan(length, k, seed) for k in range(WALKS)]
-        keys = [[[] for _ in range(TABLES)] for _ in range(WALKS)]
-        for i in of:
-            h = w.hash[w.first[i] : w.first[i + 1]]
-            for k in range(WALKS):
-                for table, x in zip(keys[k], _keys(h, np.full(len(h), len(h)), k, steps[k]), strict=True):
-                    table.append(x[0])
-        packed = [[np.array(x, np.uint64) for x in row] for row in keys]
-        order = [[np.argsort(x) for x in row] for row in packed]
-        maybe = [[np.isin(np.arange(SMALL), (x % np.uint64(SMALL)).astype(int)) for x in row] for row in packed]
+        first = laid.place[w.first[:-1][of]]
+        packed = [walk_keys(laid, first, k, steps[k]) for k in range(WALKS)]
+        order = [[np.argsort(x, kind="stable") for x in row] for row in packed]
+        maybe = [[np.isin(np.arange(SMALL), x % np.uint32(SMALL)) for x in row] for row in packed]
         groups.append(Group(steps, [[x[o] for x, o in zip(p, q, strict=True)] for p, q in zip(packed, order, strict=True)], [[np.array(of)[o] for o in q] for q in order], maybe))
     words = [tuple(map(int, w.hash[a:b])) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
     return Queries([i for i, _ in items], words, allowed, groups, exact)
 
 
-def _keys(h: np.ndarray, stop: np.ndarray, walk: int, steps: list[list[int]]) -> list[np.ndarray]:
-    out = [np.zeros(len(h), np.uint64) for _ in steps]
-    wanted = defaultdict(list)
-    for key, at in zip(out, steps, strict=True):
-        for j in at:
-            wanted[j].append(key)
-    embed(h, stop, walk, wanted)
-    return [W.mix(x) for x in out]
-
-
 def candidates(w: W.Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     """(place, item) of windows that agree with an item in some table."""
-    stop, found = w.stop(), [np.zeros(0, np.int64)]
+    found, text = [np.zeros(0, np.int64)], lay(w)
     k = len(q.ids)
     for size, (h, of) in q.exact.items():
         at = W.whole(w, size)
@@ -147,11 +159,11 @@ def candidates(w: W.Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
         return found[0], found[0]
     for walk in range(WALKS):
         plans = [g.steps[walk] for g in q.groups]
-        keys = _keys(w.hash, stop, walk, [s for plan in plans for s in plan])
+        keys = walk_keys(text, text.place, walk, [s for plan in plans for s in plan])
         for i, g in enumerate(q.groups):
             for t in range(TABLES):
                 key = keys[i * TABLES + t]
-                at = np.flatnonzero(g.maybe[walk][t][(key & np.uint64(SMALL - 1)).astype(np.int32)])
+                at = np.flatnonzero(g.maybe[walk][t][key & np.uint32(SMALL - 1)])
                 lo = np.searchsorted(g.keys[walk][t], key[at], "left")
                 n = np.searchsorted(g.keys[walk][t], key[at], "right") - lo
                 which = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
@@ -160,6 +172,29 @@ def candidates(w: W.Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     return pair // k, pair % k
 
 
+def plausible(w: W.Words, q: Queries, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Mask of the candidates around which enough words are words of the item.
+
+    Within ``k`` edits all but ``k`` of an item's words are there, so nothing near is
+    lost; windows that agree by common words alone mostly are.
+    """
+    ok = np.zeros(len(at), bool)
+    low = (w.hash & np.uint64(SMALL - 1)).astype(np.int64)
+    order = np.argsort(item, kind="stable")
+    doc = np.searchsorted(w.first, at, "right") - 1
+    for x in np.split(order, W.heads(item[order])[1:]) if len(at) else []:
+        i = int(item[x[0]])
+        n, k = len(q.words[i]), q.allowed[i]
+        inside = np.zeros(SMALL, bool)
+        inside[[h & (SMALL - 1) for h in q.words[i]]] = True
+        for y in np.array_split(x, -(-len(x) * (n + 3 * k) // (1 << 20))):
+            near = at[y][:, None] + np.arange(-k, n + 2 * k)
+            here = (near >= w.first[doc[y]][:, None]) & (near < w.first[doc[y] + 1][:, None])
+            here &= inside[low[np.clip(near, 0, len(low) - 1)]]
+            ok[y] = here.sum(axis=1) >= n - k
+    return ok
+
+
 def nearest(item: tuple[int, ...], text: list[int]) -> tuple[int, int]:
     """Least edit distance of the item to a stretch of the text, and where the first such stretch ends.
 
@@ -199,6 +234,8 @@ def _search(q: Queries):
                 t = W.Texts(whole.data[whole.offsets[a] : whole.offsets[b]], whole.offsets[a : b + 1] - whole.offsets[a])
                 w = W.words(t, lower=True)
                 at, item = candidates(w, q)
+                ok = plausible(w, q, at, item)
+                at, item = at[ok], item[ok]
                 doc = np.searchsorted(w.first, at, "right") - 1
                 best: dict[tuple[int, int], tuple] = {}
                 seen: dict[tuple[int, int], int] = {}
@@ -244,22 +281,25 @@ def find(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, seed: int
     return out
 
 
-def _clean(q: Queries):
+def _clean(q: Queries, text: str):
     search = _search(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbered = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(batch.num_rows), pa.int64()), "text": batch.column("_text")})
+            numbered = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(batch.num_rows), pa.int64()), "text": batch.column(text)})
             bad = next(search(iter([numbered]))).column("doc_id").to_numpy()
             ok = np.ones(batch.num_rows, bool)
             ok[bad] = False
-            yield batch.filter(pa.array(ok)).select([c for c in batch.schema.names if c != "_text"])
+            yield batch.filter(pa.array(ok)).select([c for c in batch.schema.names if c != text])
 
     return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, seed: int = 0) -> DataFrame:
     """The documents that no item contaminates, with their columns as they were."""
+    name = "_text"
+    while name in map(str.lower, docs.columns):
+        name = "_" + name
     for block in blocks_of(benchmark):
-        docs = docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_clean(prepare(block, edits, seed)), docs.schema)
+        docs = docs.withColumn(name, F.col("text").cast("string")).mapInArrow(_clean(prepare(block, edits, seed), name), docs.schema)
     return docs
