@@ -32,8 +32,10 @@ RULES: dict[str, tuple[str, str, float]] = {
     "lines": ("10 * n_dup_lines > 5 * n_lines", "n_dup_lines = 0", 0.7),
     "word_length": ("2 * word_chars < 5 * n_words or word_chars > 15 * n_words", "word_chars >= 4 * n_words and word_chars <= 8 * n_words", 0.8),
     "shouting": ("10 * n_upper > 4 * word_chars", "10 * n_upper <= word_chars", 0.97),
-    "variety": ("100 * n_distinct < 15 * least(n_words, 400)", "100 * n_distinct >= 40 * least(n_words, 400)", 0.97),
+    "variety": ("100 * n_distinct < 15 * n_words", "100 * n_distinct >= 40 * n_words", 0.97),
 }
+#: Long texts repeat more of their words, so distinct words are counted in each stretch of so many words and added up.
+STRETCH = 400
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -41,16 +43,18 @@ def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     """``docs`` with the whole-text counts as columns ``prefix + name``.
 
     Every expression stays in the row: no shuffle, no Python, whatever one document
-    repeats.  Repeated windows are found by sorting the hashes of a text's own
+    repeats.  ``n_distinct`` adds up the distinct words of all consecutive stretches of
+    ``STRETCH`` words.  Repeated windows are found by sorting the hashes of a text's own
     5-word windows, and only in texts where two of them are equal.
     """
     p = prefix
     c = lambda name: F.col(p + name)
     df = docs.withColumn(p + "body", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     df = df.withColumn(p + "w", F.array_remove(F.split(F.translate(p + "body", SPACE, " " * len(SPACE)), " "), ""))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c("w"))), F.lit(STRETCH))
     df = df.withColumns({
         p + "n_words": F.size(c("w")).cast("long"),
-        p + "n_distinct": F.size(F.array_distinct(F.slice(c("w"), 1, 400))).cast("long"),
+        p + "n_distinct": F.aggregate(starts, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice(c("w"), i, STRETCH)))).cast("long"),
         p + "word_chars": F.char_length(F.array_join(c("w"), "")).cast("long"),
         p + "n_symbols": F.regexp_count(c("body"), F.lit(r"[#*$%&|<>]")).cast("long"),
         p + "n_upper": F.regexp_count(c("body"), F.lit("[A-Z]")).cast("long"),

@@ -61,6 +61,19 @@ def test_one_weak_vote_is_outvoted():
     assert op._odds(weak, weights[0], weights[1]) > 0 > op._odds(strong, weights[0], weights[1])
 
 
+def test_variety_reads_the_whole_text(spark):
+    prose = lambda k: " ".join(f"word{i}" for i in range(k))
+    r = random.Random(5)
+    dull = lambda k: " ".join(r.choice(["salt", "pepper", "vinegar"]) for _ in range(k))
+    rows = {1: prose(400) + " " + dull(4000), 2: dull(400) + " " + prose(4000), 3: prose(4401), 4: dull(401), 5: prose(1), 6: ""}
+    w = {i: WORD.findall(t) for i, t in rows.items()}
+    want = {i: sum(len(set(x[k : k + 400])) for k in range(0, len(x), 400)) for i, x in w.items()}
+    at = list(op.RULES).index("variety")
+    out = op.counts(frame(spark, list(rows.items()))).select("doc_id", "_q_n_distinct", op.votes()[at].alias("vote")).collect()
+    assert {x.doc_id: x._q_n_distinct for x in out} == want
+    assert [v for _, v in sorted((x.doc_id, x.vote) for x in out)][:5] == [-1, 1, 1, -1, 1]
+
+
 def test_nothing_to_judge(spark):
     df = frame(spark, [])
     assert op.judge(df).collect() == [] and op.keep(df).collect() == []
