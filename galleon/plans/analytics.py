@@ -81,6 +81,11 @@ def q_components(spark, sf):
     return graph.components(e)
 
 
+def q_components_all(spark, sf):
+    """Components of orders and suppliers (as negative ids, which no order has) over all line items."""
+    return graph.components(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
+
+
 def q_centroids(spark, sf):
     return vectors.centroids(table(spark, sf, "embeddings"), "label", F.greatest(F.lit(0.15), (F.col("vec_id") % 10) / 10.0), digits=5)
 
@@ -297,6 +302,7 @@ QUERIES = {
     "q_similarity_join": (q_similarity_join, f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {DOT} >= {SIM}"),
     "q_near_groups": (q_near_groups, f"WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {DOT} >= 0.42), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS node FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node), c AS (SELECT id, min(node) AS component FROM r GROUP BY 1) SELECT 'near-' || x.component AS key, x.size, y.similarity FROM (SELECT component, count(*) AS size FROM c GROUP BY 1) x JOIN (SELECT component, round(max(s), 6) AS similarity FROM p JOIN c ON p.a = c.id GROUP BY 1) y USING (component)"),
     "q_components": (q_components, "WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 3 = 0), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS node FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node) SELECT id, min(node) AS component FROM r GROUP BY 1"),
+    "q_components_all": (q_components_all, None),
     "q_centroids": (q_centroids, "WITH u AS (SELECT label, greatest(0.15, (vec_id % 10) / 10.0) AS w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), s AS (SELECT label, pos, sum(w * x) AS wx, sum(x) AS x, count(*) AS n FROM u GROUP BY 1, 2), g AS (SELECT label, max(n) AS members, list(wx ORDER BY pos) AS c, list(x ORDER BY pos) AS p, sqrt(sum(wx * wx)) AS len FROM s GROUP BY 1) SELECT label, members, list_transform(c, lambda v: round(v / len, 5)) AS centroid, round(greatest(0, 1 - list_dot_product(c, p) / len / members), 5) AS variance FROM g"),
     "q_unit_vectors": (q_unit_vectors, "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, len(embedding) AS dim FROM embeddings"),
     "q_loo_eval": (q_loo_eval, None),
