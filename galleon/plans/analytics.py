@@ -67,6 +67,12 @@ def q_knn_join(spark, sf):
     return k.select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+def q_knn_join_all(spark, sf):
+    """The five nearest others of every vector."""
+    e = table(spark, sf, "embeddings")
+    return vectors.top_k_join(e, e, 5).select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 def q_similarity_join(spark, sf):
     p = vectors.similarity_join(table(spark, sf, "embeddings"), SIM)
     return p.select("a", "b", F.round("similarity", 6).alias("similarity"))
@@ -299,6 +305,7 @@ QUERIES = {
     "q_knn_filtered": (q_knn_filtered, f"SELECT a.vec_id, a.label, round({DOT}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 AND a.label IN (1, 4, 7) ORDER BY {DOT} DESC, a.vec_id LIMIT 20"),
     "q_best_per_label": (q_best_per_label, f"SELECT a.label, round(max({DOT}), 6) AS similarity, count(*) AS n FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 GROUP BY 1"),
     "q_knn_join": (q_knn_join, f"SELECT a, b, rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < 100 AND a.vec_id <> b.vec_id)) WHERE rank <= 5"),
+    "q_knn_join_all": (q_knn_join_all, None),
     "q_similarity_join": (q_similarity_join, f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {DOT} >= {SIM}"),
     "q_near_groups": (q_near_groups, f"WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {DOT} >= 0.42), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS node FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node), c AS (SELECT id, min(node) AS component FROM r GROUP BY 1) SELECT 'near-' || x.component AS key, x.size, y.similarity FROM (SELECT component, count(*) AS size FROM c GROUP BY 1) x JOIN (SELECT component, round(max(s), 6) AS similarity FROM p JOIN c ON p.a = c.id GROUP BY 1) y USING (component)"),
     "q_components": (q_components, "WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 3 = 0), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS node FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node) SELECT id, min(node) AS component FROM r GROUP BY 1"),

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from galleon.plans import catalog
@@ -30,3 +31,15 @@ def test_components_over_all_line_items(spark, tmp_path, seed):
     found = [(c.id, c.component) for c in catalog.queries()["q_components_all"](spark, str(tmp_path)).collect()]
     want = joined([(o, -1 - s) for o, s, _, _ in rows])
     assert len(found) == len(want) and dict(found) == want and len(set(want.values())) > 20
+
+
+def test_neighbours_of_every_vector(spark, tmp_path):
+    v = np.random.default_rng(2).normal(size=(230, 6)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j), k + 1) for i in range(len(v)) for k, j in enumerate(np.argsort(-s[i])[:5])}
+    found = catalog.queries()["q_knn_join_all"](spark, str(tmp_path)).collect()
+    assert len(found) == len(want) and {(x.a, x.b, x.rank) for x in found} == want
