@@ -205,6 +205,12 @@ def q_cdc_latest(spark, sf):
     return changes.apply_changes(base, journal, "key", "seq", F.col("event_type") == "purchase")
 
 
+def q_cdc_latest_all(spark, sf):
+    journal = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value").alias("v"), F.col("event_id").alias("seq"), "event_type")
+    base = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
+    return changes.apply_changes(base, journal, "key", "seq", F.col("event_type") == "purchase")
+
+
 def q_audit_state(spark, sf):
     return changes.audit_state(table(spark, sf, "events"), "user_id", "event_id", "event_type")
 
@@ -269,6 +275,13 @@ def q_people_in_selection(spark, sf):
     return li.groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("media"), F.min("l_partkey").alias("face"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("kinds"))
 
 
+def q_people_in_selection_all(spark, sf):
+    """The selection is the orders with a returned line: it grows with the table."""
+    li = table(spark, sf, "lineitem")
+    li = li.join(li.where("l_returnflag = 'R'").select("l_orderkey").distinct(), "l_orderkey", "left_semi")
+    return li.groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("media"), F.min("l_partkey").alias("face"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("kinds"))
+
+
 def q_median_centre(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.median("value"), 6).alias("lat"), F.round(F.median(F.col("event_id") % 360), 6).alias("lon"))
 
@@ -327,6 +340,7 @@ QUERIES = {
     "q_tags": (q_tags, None),
     "q_scan_diff": (q_scan_diff, "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'new' WHEN o_orderkey % 10 = 7 THEN 'gone' WHEN o_orderkey % 4 = 1 THEN 'changed' ELSE 'same' END AS change FROM orders"),
     "q_cdc_latest": (q_cdc_latest, "WITH l AS (SELECT user_id AS key, value AS v, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 2 = 0) WHERE r = 1) SELECT c_custkey AS key, c_acctbal AS v FROM customer WHERE c_custkey <= 200 AND c_custkey NOT IN (SELECT key FROM l) UNION ALL SELECT key, v FROM l WHERE event_type <> 'purchase'"),
+    "q_cdc_latest_all": (q_cdc_latest_all, "WITH l AS (SELECT user_id AS key, value AS v, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) SELECT c_custkey AS key, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT key FROM l) UNION ALL SELECT key, v FROM l WHERE event_type <> 'purchase'"),
     "q_audit_state": (q_audit_state, "SELECT user_id, arg_max(event_type, event_id) AS action, count(*) AS entries FROM events GROUP BY 1"),
     "q_merge_keep_both": (_merge("keep_both"), MERGE + "SELECT *, 'mine' AS origin FROM m UNION ALL SELECT *, 'theirs' FROM t"),
     "q_merge_skip": (_merge("skip"), MERGE + "SELECT *, 'mine' AS origin FROM m UNION ALL SELECT *, 'theirs' FROM t WHERE key NOT IN (SELECT key FROM m)"),
@@ -340,5 +354,6 @@ QUERIES = {
     "q_memories": (q_memories, "SELECT strftime(o_orderdate, '%m-%d') AS md, count(*) AS n, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) >= 2"),
     "q_label_max": (q_label_max, "SELECT user_id, max(value) AS score FROM events WHERE event_type IN ('view', 'click') GROUP BY 1"),
     "q_people_in_selection": (q_people_in_selection, "SELECT l_suppkey, count(DISTINCT l_orderkey) AS media, min(l_partkey) AS face, array_to_string(list_sort(list(DISTINCT l_returnflag)), '') AS kinds FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1"),
+    "q_people_in_selection_all": (q_people_in_selection_all, "SELECT l_suppkey, count(DISTINCT l_orderkey) AS media, min(l_partkey) AS face, array_to_string(list_sort(list(DISTINCT l_returnflag)), '') AS kinds FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1"),
     "q_median_centre": (q_median_centre, "SELECT user_id, round(median(value), 6) AS lat, round(median(event_id % 360), 6) AS lon FROM events GROUP BY 1"),
 }
