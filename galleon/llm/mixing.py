@@ -93,12 +93,15 @@ def _mirror(table: DataFrame, target: float, rounds: int) -> float:
     return hi
 
 
-def plan(table: DataFrame, alpha: float, budget: float) -> DataFrame:
-    """source, docs, tokens, weight, whole epochs and the remainder in tokens."""
+def plan(table: DataFrame, alpha: float, budget: float, cover: bool = False) -> DataFrame:
+    """source, docs, tokens, weight, whole epochs and the remainder in tokens; with
+    ``cover`` every source is whole at least once, however the floats are rounded."""
     total = table.agg(F.sum(F.pow("tokens", F.lit(alpha))).alias("z")).first()["z"] or 1.0
     w = table.where("tokens > 0").withColumn("weight", F.pow("tokens", F.lit(alpha)) / F.lit(float(total)))
     # whole tokens: sums are then equal however they are grouped
     w = w.withColumn("quota", F.floor(F.col("weight") * F.lit(float(budget)) + F.lit(1e-6)).cast("long"))
+    if cover:
+        w = w.withColumn("quota", F.greatest("quota", "tokens"))
     w = w.withColumn("epochs", F.floor(F.col("quota") / F.col("tokens")).cast("int"))
     w = w.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))
     none = table.where("tokens = 0 or tokens is null").select("*", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota"), F.lit(1).alias("epochs"), F.lit(0).cast("long").alias("rest"))
@@ -140,7 +143,7 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, e
         amount = spread(alpha)[0]
     else:
         amount = float(total if budget == "tokens" else budget)
-    quota = _cuts.written(plan(table, alpha, amount))
+    quota = _cuts.written(plan(table, alpha, amount, budget == "cover"))
     # the last epoch's order of a source: cells, cells of a cell, documents of such a cell
     rows = rows.join(F.broadcast(quota.select(F.col("source").alias("s"), "epochs", "rest")) if _small(quota) else quota.select(F.col("source").alias("s"), "epochs", "rest"), F.col("source").eqNullSafe(F.col("s")))
     rows = rows.drop("s").withColumn("h", F.xxhash64("id", F.lit(seed + 1), F.col("epochs")))

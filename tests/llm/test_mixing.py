@@ -76,6 +76,16 @@ def test_against_brute_force(spark, budget):
     assert {"doc_id", "text", "source", "tokens"} <= set(out[0].asDict())
 
 
+def test_cover_keeps_large_sources_whole(spark):
+    for seed in (2, 43):
+        r = random.Random(seed)
+        sizes = [r.randint(3 * 10**10, 5 * 10**10)] + [r.randint(10**9, 2 * 10**10) for _ in range(3)]
+        rows = [(10 * i + j, f"s{i}", n // 2 + j * (n % 2)) for i, n in enumerate(sizes) for j in range(2)]
+        df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+        out = op.mix(df, tokens=F.col("row.n"), entropy=None, repeats=None, budget="cover").collect()
+        assert {x.doc_id for x in out} == {i for i, _, _ in rows}
+
+
 def test_one_source_and_empty(spark):
     _, df = sample(spark)
     one = df.withColumn("source", F.lit("x"))
