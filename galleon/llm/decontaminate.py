@@ -7,7 +7,7 @@ The CGK random walk reads a word sequence step by step: at step ``j`` it writes
 it stands on and moves on or stays by a random bit of (``j``, word), so sequences a few
 edits apart write nearly the same string, and edit distance becomes Hamming distance.
 Every word of a document starts an item-sized window; the walks of all windows advance
-together.  ``WALKS`` walks times ``TABLES`` samples of ``SAMPLE`` steps make the hash
+together.  ``WALKS`` walks times ``tables`` samples of ``SAMPLE`` steps make the hash
 tables of an item length class; a window that agrees with an item in one table is a
 candidate, and the edit distance around it decides, exactly, by bit-parallel dynamic
 programming.  Items for which no edit is allowed are found by the hash of their words,
@@ -38,6 +38,8 @@ from . import _words as W
 
 WALKS, TABLES, SAMPLE = 4, 4, 3
 EDITS = 0.15
+#: Tables whose keys are held at once.
+HELD = 32
 SMALL = 1 << 16
 FOLD = np.uint32(0x9E3779B1)
 
@@ -112,10 +114,16 @@ def walk_keys(text: Laid, start: np.ndarray, walk: int, steps: list[list[int]])
     return keys
 
 
+def tables(length: int) -> int:
+    """Tables of each walk for the class of ``length`` words and more: edits grow with the
+    items and walks drift apart, so long items agree in a smaller part of their tables."""
+    return max(TABLES, length // 4 if length >= 64 else 0)
+
+
 def _plan(length: int, walk: int, seed: int) -> list[list[int]]:
     """Steps sampled by each table from the embedding of ``length`` words and more."""
     r = np.random.default_rng([seed, length, walk])
-    return [sorted(int(x) for x in r.choice(2 * length - 1, SAMPLE, replace=False)) for _ in range(TABLES)]
+    return [sorted(int(x) for x in r.choice(2 * length - 1, SAMPLE, replace=False)) for _ in range(tables(length))]
 
 
 def prepare(items: list[tuple[int | None, str | None]], edits: float = EDITS, seed: int = 0) -> Queries:
@@ -158,11 +166,10 @@ def candidates(w: W.Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     if not len(w.hash):
         return found[0], found[0]
     for walk in range(WALKS):
-        plans = [g.steps[walk] for g in q.groups]
-        keys = walk_keys(text, text.place, walk, [s for plan in plans for s in plan])
-        for i, g in enumerate(q.groups):
-            for t in range(TABLES):
-                key = keys[i * TABLES + t]
+        todo = [(g, t) for g in q.groups for t in range(len(g.steps[walk]))]
+        for part in (todo[i : i + HELD] for i in range(0, len(todo), HELD)):
+            keys = walk_keys(text, text.place, walk, [g.steps[walk][t] for g, t in part])
+            for (g, t), key in zip(part, keys, strict=True):
                 at = np.flatnonzero(g.maybe[walk][t][key & np.uint32(SMALL - 1)])
                 lo = np.searchsorted(g.keys[walk][t], key[at], "left")
                 n = np.searchsorted(g.keys[walk][t], key[at], "right") - lo

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from galleon.llm import decontaminate as op
@@ -90,3 +92,19 @@ def test_empty(spark):
     df, bench = frames(spark, *corpus(5))
     assert op.find(df.limit(0), bench).collect() == [] and op.find(df, bench.limit(0)).collect() == []
     assert op.clean(df, bench.limit(0)).count() == df.count()
+
+
+@pytest.mark.parametrize("n", [60, 90, 120, 200, 400, 800])
+def test_recall_at_the_full_bound(n):
+    r = random.Random(n)
+    vocab = [f"w{i}" for i in range(3000)]
+    items, docs = [r.choices(vocab, k=n) for _ in range(100)], []
+    for x in items:
+        y = list(x)
+        for _ in range(int(op.EDITS * n)):
+            p, kind = r.randrange(len(y)), r.choice("ids")
+            y[p : p + (kind != "i")] = [] if kind == "d" else [r.choice(vocab)]
+        docs.append(" ".join(r.choices(vocab, k=20) + y + r.choices(vocab, k=20)))
+    w = op.W.words(op.W.texts(pa.array(docs, pa.string())), lower=True)
+    at, item = op.candidates(w, op.prepare([(i, " ".join(x)) for i, x in enumerate(items)]))
+    assert len(set(item[np.searchsorted(w.first, at, "right") - 1 == item])) >= 90
