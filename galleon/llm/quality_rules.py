@@ -1,10 +1,18 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Rules look at whole-text counts and vote good (1), bad (-1) or abstain (0).  The
-accuracy of each rule in either class and the share of good documents are estimated
-by expectation maximisation over the counts of vote patterns (at most ``3 ** rules`` rows, whatever
-the corpus), and a document is kept where its posterior probability of being good is
-at least ``keep_at``.  Hard floors (``base_failed``) come before the verdict.
+Rules look at whole-text counts and vote good (1), bad (-1) or abstain (0).  Nobody
+says how far a rule is to be trusted: expectation maximisation over the counts of vote
+patterns (at most ``3 ** rules`` rows, whatever the corpus) estimates it.  Kinds of junk
+rarely overlap, so a rule that knows one kind is wrong about the others; documents are
+therefore taken to be good or of one of the ``KINDS`` of junk, and estimated are the
+share of each class and how often each rule votes good on it, where it votes at all.  A
+document is kept where its posterior probability of being good is at least ``keep_at``.
+Hard floors (``base_failed``) come before the verdict; documents under them vote too,
+as they show what junk looks like.
+
+The votes alone do not say which class is which.  Estimation starts where most
+documents are good, and where the rules listed for a kind vote bad on it; the start
+weighs as much as ``WEIGHT`` documents and votes, so it decides in tiny tables only.
 
 Defined cases: a null text counts as no words; texts without words fail the floor;
 repeated rows are judged alike; an empty table gives an empty result; extra columns,
@@ -15,28 +23,49 @@ also ones named like the results, do not matter to ``judge`` (it reads ``doc_id`
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _cuts
 
-#: Bounds of the estimates: accuracy of bad votes from above, of good votes, and the share of good documents.
-BAD, GOOD, SHARE = 0.99, (0.5, 0.56), (0.5, 0.8)
+#: Kinds of junk, and the rules that are expected to vote bad on them.
+KINDS: dict[str, tuple[str, ...]] = {
+    "marks": ("symbols", "plain_words"),
+    "repetition": ("repeats", "echoes", "lines", "variety"),
+    "shouting": ("shouting", "capitals"),
+    "shape": ("length", "word_length", "line_ends"),
+}
+#: Where estimation starts: the share of good documents; good votes of a rule on these, on junk it knows, on other junk.
+SHARE, ON_GOOD, KNOWN, UNKNOWN = 0.85, 0.97, 0.2, 0.9
+#: So many documents, and votes of each rule on each class, does the start count for.
+WEIGHT = 2.0
 SPACE = " \t\n\x0b\x0c\r"
-#: name -> (bad if, good if, least accuracy of its bad votes); neither: the rule abstains
-RULES: dict[str, tuple[str, str, float]] = {
-    "length": ("n_words < 12", "n_words >= 40", 0.6),
-    "symbols": ("10 * n_symbols > n_words", "n_symbols = 0", 0.97),
-    "repeats": ("100 * n_repeat_words > 15 * n_words", "n_repeat_words = 0", 0.7),
-    "lines": ("10 * n_dup_lines > 5 * n_lines", "n_dup_lines = 0", 0.7),
-    "word_length": ("2 * word_chars < 5 * n_words or word_chars > 15 * n_words", "word_chars >= 4 * n_words and word_chars <= 8 * n_words", 0.8),
-    "shouting": ("10 * n_upper > 4 * word_chars", "10 * n_upper <= word_chars", 0.97),
-    "variety": ("100 * n_distinct < 15 * n_words", "100 * n_distinct >= 40 * n_words", 0.97),
+#: name -> (bad if, good if); neither: the rule abstains
+RULES: dict[str, tuple[str, str]] = {
+    "length": ("n_words < 12", "n_words >= 40"),
+    "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    "plain_words": ("10 * n_plain < 6 * n_words", "10 * n_plain >= 8 * n_words"),
+    "line_ends": ("n_lines > 0 and 10 * n_ended < n_lines", "2 * n_ended >= n_lines"),
+    "repeats": ("100 * n_repeat_words > 15 * n_words", "n_repeat_words = 0"),
+    "echoes": ("10 * n_echoes > n_words", "100 * n_echoes <= 2 * n_words"),
+    "lines": ("10 * n_dup_lines > 5 * n_lines", "n_dup_lines = 0"),
+    "word_length": ("2 * word_chars < 5 * n_words or word_chars > 15 * n_words", "word_chars >= 3 * n_words and word_chars <= 9 * n_words"),
+    "shouting": ("10 * n_upper > 4 * word_chars", "10 * n_upper <= word_chars"),
+    "capitals": ("10 * n_caps > 4 * n_words", "10 * n_caps <= n_words"),
+    "variety": ("100 * n_distinct < 25 * n_words", "100 * n_distinct >= 40 * n_words"),
 }
 #: Long texts repeat more of their words, so distinct words are counted in each stretch of so many words and added up.
 STRETCH = 400
+#: A word of letters, with marks before and after it as prose has them.
+PLAIN = r"(?:^|[ \t\n\x0b\f\r])[(\[\"'«“‘¿¡]*+\p{L}++(?:['’-]\p{L}++)*+[.,;:!?…)\]\"'»”’]*+(?=[ \t\n\x0b\f\r]|\z)"
+#: A word of two letters or more, all of them A-Z.
+CAPS = r"(?<![^ \t\n\x0b\f\r])[A-Z]{2,}+(?!\p{L})"
+END = ".!?:;…\"'”’»)。"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+OTHER = ("n_lines", "n_upper", "n_distinct", "n_plain", "n_echoes", "n_ended", "n_caps")
 
 
 def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
@@ -58,6 +87,8 @@ def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
         p + "word_chars": F.char_length(F.array_join(c("w"), "")).cast("long"),
         p + "n_symbols": F.regexp_count(c("body"), F.lit(r"[#*$%&|<>]")).cast("long"),
         p + "n_upper": F.regexp_count(c("body"), F.lit("[A-Z]")).cast("long"),
+        p + "n_caps": F.regexp_count(c("body"), F.lit(CAPS)).cast("long"),
+        p + "n_plain": F.regexp_count(c("body"), F.lit(PLAIN)).cast("long"),
         p + "l": F.filter(F.split(c("body"), "\n"), lambda x: F.translate(x, SPACE, "") != ""),
         p + "x": F.transform(c("w"), lambda x: F.xxhash64(x)),
     })
@@ -67,6 +98,8 @@ def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     ))
     df = df.withColumns({
         p + "n_lines": F.size(c("l")).cast("long"),
+        p + "n_ended": F.size(F.filter(c("l"), lambda x: F.substring(F.rtrim(F.translate(x, SPACE, " " * len(SPACE))), -1, 1).isin(*END))).cast("long"),
+        p + "n_echoes": F.size(F.filter(c("x"), lambda x, i: x == F.get(c("x"), i - 1))).cast("long"),
         p + "n_dup_lines": (F.size(c("l")) - F.size(F.array_distinct(c("l")))).cast("long"),
         p + "s": F.when(
             F.size(F.array_distinct(c("h"))) < F.size(c("h")),
@@ -78,12 +111,12 @@ def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     steps = F.transform(c("at"), lambda a, i: F.least(F.lit(5), F.coalesce(F.get(c("at"), i + 1) - a, F.lit(5))))
     df = df.withColumn(p + "n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0), lambda x, y: x + y), F.lit(0)).cast("long"))
     # a generator of one row: filters above read its columns instead of evaluating the counts again
-    made = F.struct(*(c(x).alias(p + x) for x in (*COUNTS, "n_lines", "n_upper", "n_distinct")))
+    made = F.struct(*(c(x).alias(p + x) for x in (*COUNTS, *OTHER)))
     return df.select(*(F.col(f"`{x}`") for x in docs.columns), F.inline(F.array(made)))
 
 
 def _rule(sql: str, prefix: str) -> Column:
-    for name in (*COUNTS, "n_lines", "n_upper", "n_distinct"):
+    for name in (*COUNTS, *OTHER):
         sql = sql.replace(name, f"`{prefix}{name}`")
     return F.expr(sql)
 
@@ -95,54 +128,71 @@ def base_failed(prefix: str = "_q_") -> Column:
 
 def votes(prefix: str = "_q_") -> Column:
     """Array of the rules' votes, in the order of ``RULES``."""
-    return F.array(*(F.when(_rule(bad, prefix), -1).when(_rule(good, prefix), 1).otherwise(0) for bad, good, _ in RULES.values()))
-
-
-def fit(patterns: list[tuple[list[int], int]], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
-    """Expectation maximisation over (votes, documents) counts.
-
-    Estimates the share of good documents and, for each rule, how often its bad and
-    its good votes are right; returns the log prior odds and, by rule, the log odds of
-    a bad and of a good vote.  Kinds of junk rarely overlap, so agreement alone would
-    outvote every rule that knows one kind: accuracies stay within ``BAD`` (from the
-    rule's own least accuracy up) and ``GOOD``, the share within ``SHARE``.
-    """
-    bounds = [((least, BAD), GOOD) for _, _, least in RULES.values()]
-    total = sum(n for _, n in patterns)
-    share, acc = SHARE[1], [[(lo + hi) / 2 for lo, hi in b] for b in bounds]
-    for _ in range(rounds if total else 0):
-        good, seen = 1.0, [[[1.0, 2.0], [1.0, 2.0]] for _ in RULES]
-        for v, n in patterns:
-            p = 1 / (1 + math.exp(-_odds(v, _logit(share), [[_logit(x) for x in a] for a in acc])))
-            good += n * p
-            for j, x in enumerate(v):
-                if x:
-                    seen[j][x > 0][0] += n * (p if x > 0 else 1 - p)
-                    seen[j][x > 0][1] += n
-        before, share = share, min(SHARE[1], max(SHARE[0], good / (total + 2)))
-        acc = [[min(hi, max(lo, r / c)) for (r, c), (lo, hi) in zip(s, b, strict=True)] for s, b in zip(seen, bounds, strict=True)]
-        if abs(share - before) < 1e-12:
+    return F.array(*(F.when(_rule(bad, prefix), -1).when(_rule(good, prefix), 1).otherwise(0) for bad, good in RULES.values()))
+
+
+class Estimates(NamedTuple):
+    """Shares of the classes (good ones first), and how often each rule's votes on each class are good."""
+
+    share: list[float]
+    good_votes: list[list[float]]
+
+    def odds(self) -> list[tuple[float, list[tuple[float, float]]]]:
+        """For each kind of junk: its log odds against good before votes, and what a bad and a good vote of each rule add."""
+        ok, *junk = self.good_votes
+        return [
+            (math.log(share / self.share[0]), [(math.log((1 - y) / (1 - x)), math.log(y / x)) for x, y in zip(ok, kind, strict=True)])
+            for share, kind in zip(self.share[1:], junk, strict=True)
+        ]
+
+
+def start() -> Estimates:
+    junk = [[KNOWN if rule in known else UNKNOWN for rule in RULES] for known in KINDS.values()]
+    return Estimates([SHARE, *[(1 - SHARE) / len(KINDS)] * len(KINDS)], [[ON_GOOD] * len(RULES), *junk])
+
+
+def memberships(votes: list[int], odds: list[tuple[float, list[tuple[float, float]]]]) -> list[float]:
+    """Posterior probability of each class."""
+    logs = [0.0] + [prior + sum(good if v > 0 else bad for v, (bad, good) in zip(votes, rules, strict=True) if v) for prior, rules in odds]
+    top = max(logs)
+    parts = [math.exp(x - top) for x in logs]
+    return [x / sum(parts) for x in parts]
+
+
+def fit(patterns: list[tuple[list[int], int]], rounds: int = 5000, settled: float = 1e-9) -> Estimates:
+    """Expectation maximisation over (votes, documents) counts, until no estimate moves by more than ``settled``."""
+    first = now = start()
+    cast_good = np.array([[v > 0 for v in votes] for votes, _ in patterns], float)
+    cast_bad = np.array([[v < 0 for v in votes] for votes, _ in patterns], float)
+    documents = np.array([[n] for _, n in patterns], float)
+    for _ in range(rounds if patterns else 0):
+        prior, bad, good = (np.array(x) for x in zip(*((c, [b for b, _ in rules], [g for _, g in rules]) for c, rules in now.odds()), strict=True))
+        log = np.hstack([np.zeros_like(documents), prior + cast_bad @ bad.T + cast_good @ good.T])
+        of = np.exp(log - log.max(axis=1, keepdims=True))
+        of *= documents / of.sum(axis=1, keepdims=True)
+        share = of.sum(axis=0) + WEIGHT * np.array(first.share)
+        yes = of.T @ cast_good + WEIGHT * np.array(first.good_votes)
+        rate = np.minimum(yes / (of.T @ (cast_good + cast_bad) + WEIGHT), 1 - 1e-12)
+        new = Estimates((share / share.sum()).tolist(), rate.tolist())
+        moved = max(np.abs(share / share.sum() - now.share).max(), np.abs(rate - now.good_votes).max())
+        now = new
+        if moved < settled:
             break
-    return _logit(share), [(_logit(bad), _logit(good)) for bad, good in acc]
-
+    return now
 
-def _logit(p: float) -> float:
-    return math.log(p / (1 - p))
 
-
-def _odds(v: list[int], prior: float, logits: list) -> float:
-    return prior + sum(a[1] if x > 0 else -a[0] if x < 0 else 0.0 for x, a in zip(v, logits, strict=True))
-
-
-def posterior(vote: Column, weights: tuple[float, list[tuple[float, float]]]) -> Column:
+def posterior(vote: Column, found: Estimates) -> Column:
     """Probability that a document is good, given its votes."""
-    odds = F.lit(weights[0])
-    for j, (bad, good) in enumerate(weights[1]):
-        odds = odds + F.when(vote[j] < 0, -bad).when(vote[j] > 0, good).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    junk = F.lit(0.0)
+    for prior, rules in found.odds():
+        log = F.lit(prior)
+        for j, (bad, good) in enumerate(rules):
+            log = log + F.when(vote[j] < 0, bad).when(vote[j] > 0, good).otherwise(0.0)
+        junk = junk + F.exp(F.least(log, F.lit(700.0)))
+    return 1 / (1 + junk)
 
 
-def _weights(judged: DataFrame, vote: str) -> tuple[float, list[tuple[float, float]]]:
+def _estimates(judged: DataFrame, vote: str) -> Estimates:
     found = judged.groupBy(vote).count().collect()  # at most 3 ** len(RULES) rows
     return fit(sorted((list(r[0]), r[1]) for r in found))
 
@@ -155,18 +205,22 @@ def judge(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """
     rows = counts(docs.select("doc_id", "text"))
     rows = _cuts.cut(rows.select("doc_id", *(F.col("_q_" + c).alias(c) for c in COUNTS), base_failed().alias("base_failed"), votes().alias("_v")))
-    weights = _weights(rows.where(~F.col("base_failed")), "_v")
-    rows = rows.withColumn("posterior", posterior(F.col("_v"), weights))
+    rows = rows.withColumn("posterior", posterior(F.col("_v"), _estimates(rows, "_v")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at)).drop("_v")
 
 
 def keep(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
-    """The documents that the rules keep, with their columns as they were."""
+    """The documents that the rules keep, with their columns as they were.
+
+    Rows and votes are written once; fitting reads the votes alone.
+    """
     prefix = "_q_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    rows = counts(docs, prefix=prefix).where(~base_failed(prefix))
-    weights = _weights(rows.select(votes(prefix).alias("_v")), "_v")
-    vote = prefix + "votes"
-    good = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.inline(F.array(F.struct(votes(prefix).alias(vote)))))
-    return good.where(posterior(F.col(vote), weights) >= keep_at).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row, vote = prefix + "row", prefix + "votes"
+    rows = counts(docs, prefix=prefix)
+    whole = F.when(~base_failed(prefix), F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    rows = _cuts.written(rows.select(whole.alias(row), votes(prefix).alias(vote)))
+    found = _estimates(rows.select(vote), vote)
+    good = rows.where(F.col(row).isNotNull() & (posterior(F.col(vote), found) >= keep_at))
+    return good.select(*(F.col(f"{row}.`{c}`") for c in docs.columns))

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from galleon.llm import quality_rules as op
@@ -52,13 +53,67 @@ def test_clean_stays_and_junk_goes(spark):
     assert {x.doc_id for x in kept.collect()} == {i for i, x in out.items() if x.kept}
 
 
-def test_one_weak_vote_is_outvoted():
-    names = list(op.RULES)
-    good = [1] * len(names)
-    weak = [-1 if n == "lines" else 1 for n in names]
-    strong = [-1 if n == "symbols" else 1 for n in names]
-    weights = op.fit([(good, 900), (weak, 50), (strong, 50)])
-    assert op._odds(weak, weights[0], weights[1]) > 0 > op._odds(strong, weights[0], weights[1])
+def pattern(**votes):
+    return [votes.get(n, 1) for n in op.RULES]
+
+
+def brute_fit(patterns, rounds=3000):
+    """The same model by whole matrices: good votes are 1, bad ones 0, abstentions missing."""
+    v = np.array([p for p, _ in patterns])
+    n = np.array([c for _, c in patterns], float)
+    yes, no = (v > 0).astype(float), (v < 0).astype(float)
+    first = op.start()
+    share0, rate0 = np.array(first.share), np.array(first.good_votes)
+    share, rate = share0, rate0
+    for _ in range(rounds):
+        like = share * np.exp(yes @ np.log(rate).T + no @ np.log(1 - rate).T)
+        of = like / like.sum(1, keepdims=True) * n[:, None]
+        share = (of.sum(0) + op.WEIGHT * share0) / (n.sum() + op.WEIGHT)
+        rate = (of.T @ yes + op.WEIGHT * rate0) / (of.T @ (yes + no) + op.WEIGHT)
+    like = share * np.exp(yes @ np.log(rate).T + no @ np.log(1 - rate).T)
+    return share, rate, like[:, 0] / like.sum(1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_estimates_against_brute_force(seed):
+    r = random.Random(seed)
+    kinds = [[0.95] * len(op.RULES), *([0.2 if n in known else 0.9 for n in op.RULES] for known in op.KINDS.values())]
+    seen = Counter()
+    for _ in range(1500):
+        k = r.choices(range(5), [0.8, 0.1, 0.05, 0.03, 0.02])[0]
+        seen[tuple(0 if r.random() < 0.1 else 1 if r.random() < kinds[k][j] else -1 for j in range(len(op.RULES)))] += 1
+    patterns = sorted((list(p), c) for p, c in seen.items())
+    found = op.fit(patterns)
+    share, rate, good = brute_fit(patterns)
+    assert np.abs(np.array(found.share) - share).max() < 1e-6 and np.abs(np.array(found.good_votes) - rate).max() < 1e-6
+    odds = found.odds()
+    assert max(abs(op.memberships(p, odds)[0] - g) for (p, _), g in zip(patterns, good, strict=True)) < 1e-6
+
+
+def test_the_data_decide_the_verdict():
+    """One vote pattern, two corpora: it is junk where the rule agrees with another one, and style where it stands alone."""
+    clean, alone, both = pattern(), pattern(symbols=-1), pattern(symbols=-1, plain_words=-1)
+    good = lambda p, corpus: op.memberships(p, op.fit(corpus).odds())[0]
+    assert op.memberships(alone, op.start().odds())[0] > 0.5
+    assert good(alone, [(clean, 9000), (both, 900), (alone, 5)]) < 0.5
+    assert good(alone, [(clean, 9000), (both, 900), (alone, 4000)]) > 0.5
+    assert good(clean, [(clean, 9000), (both, 900)]) > 0.99 > 0.01 > good(both, [(clean, 9000), (both, 900)])
+    for rule in op.RULES:  # no rule is a veto: common enough, its bad votes are style
+        assert good(pattern(**{rule: -1}), [(clean, 1000), (pattern(**{rule: -1}), 1000)]) > 0.5
+
+
+def test_verdicts_leave_the_start_values(spark):
+    """On a table with little-known junk, estimation rejects what the start would keep."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 8)))
+    prose = lambda k, mark="": " ".join(word() + mark for _ in range(k)) + "."
+    some = lambda k: " ".join(word() + ("%%" if i % 3 == 0 else "") for i in range(k)) + "."
+    rows = [(i, prose(50)) for i in range(900)] + [(1000 + i, prose(50, "%%")) for i in range(90)] + [(2000 + i, some(50)) for i in range(9)]
+    out = {x.doc_id: x for x in op.judge(frame(spark, rows)).collect()}
+    assert all(out[i].kept for i in range(900)) and not any(out[1000 + i].kept for i in range(90))
+    vote = op.votes()
+    first = op.counts(frame(spark, rows)).select("doc_id", (op.posterior(vote, op.start()) >= 0.5).alias("kept")).collect()
+    assert {x.doc_id for x in first if x.kept != out[x.doc_id].kept}
 
 
 def test_variety_reads_the_whole_text(spark):
