@@ -1,12 +1,17 @@
 """Vectorised text primitives over Arrow batches: bytes, words and rolling hashes.
 
-Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``.  Hashes are
-polynomial prefix sums modulo 2**64, finished by a bijective mixer; equal strings
-always have equal hashes.
+Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``.  A word's hash sums
+its bytes, each times a coefficient of its place that the key draws at random (modulo
+2**64): two different words collide with a probability below 2**-56 whatever they are,
+as long as the key was not known when the text was written, so keys that decide results
+are drawn for each run (``new_key``).  Byte ranges of running text have polynomial
+prefix sums instead (``prefix``); these can collide by construction, so they only sort
+candidates and never decide.  Equal strings always have equal hashes.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +27,7 @@ INWORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SLICE = 2 << 20
+KEPT = 4096  # places of words whose coefficients are kept
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
@@ -100,29 +106,70 @@ class Words(NamedTuple):
         return np.repeat(self.first[1:], np.diff(self.first))
 
 
-def words(t: Texts, lower: bool = False) -> Words:
+_coefficients: dict[int, np.ndarray] = {}
+
+
+def new_key() -> int:
+    """A key for one run, drawn on the driver and sent to all its tasks."""
+    return secrets.randbits(62)
+
+
+def coefficients(key: int, n: int) -> np.ndarray:
+    """The key's random coefficients of the first ``n`` places of a word."""
+    def made(n: int) -> np.ndarray:
+        places = np.arange(n, dtype=np.uint64) * STEP + np.uint64(key)
+        return mix(mix(places) + np.uint64(BASE))
+
+    if n > KEPT:
+        return made(n)
+    if key not in _coefficients:
+        if len(_coefficients) >= 8:
+            _coefficients.clear()
+        _coefficients[key] = made(KEPT)
+    return _coefficients[key][:n]
+
+
+def spans(x: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of bytes in which texts begin at ``edge``."""
+    w = INWORD[x]
+    s = w.copy()
+    s[1:] &= ~w[:-1]
+    edge = edge[edge < len(x)]
+    s[edge] = w[edge]
+    e = w
+    e[:-1] &= ~INWORD[x[1:]] | s[1:]
+    return np.flatnonzero(s), np.flatnonzero(e) + 1
+
+
+def _hash(x: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    longest = int((end - start).max())
+    first = int(start[0])
+    place = np.arange(len(x) - first)
+    place -= np.repeat(start - first, np.diff(np.append(start, len(x))))
+    np.minimum(place, longest - 1, out=place)
+    v = coefficients(key, longest)[place]
+    del place
+    byte = x[first:].astype(np.uint64)
+    byte += np.uint64(1)
+    v *= byte
+    sums = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(v, out=sums[1:])
+    return mix(sums[end - first] - sums[start - first])
+
+
+def words(t: Texts, lower: bool = False, key: int = 0) -> Words:
     starts, ends, hashes = [], [], []
     for a, b in t.slices():
         lo, hi = int(t.offsets[a]), int(t.offsets[b])
+        if lo == hi:
+            continue
         x = t.data[lo:hi]
         if lower:
             x = LOWER[x]
-        n = hi - lo
-        if not n:
-            continue
-        w = INWORD[x]
-        s = w.copy()
-        s[1:] &= ~w[:-1]
-        edge = t.offsets[a:b] - lo
-        edge = edge[edge < n]
-        s[edge] = w[edge]
-        e = w
-        e[:-1] &= ~INWORD[x[1:]] | s[1:]
-        st, en = np.flatnonzero(s), np.flatnonzero(e) + 1
-        sums = prefix(x)
-        h = sums[en] - sums[st]
-        h *= powers(INVERSE, n)[st]
-        hashes.append(mix(h))
+        st, en = spans(x, t.offsets[a:b] - lo)
+        hashes.append(_hash(x, st, en, key))
         starts.append(st + lo)
         ends.append(en + lo)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
@@ -130,6 +177,51 @@ def words(t: Texts, lower: bool = False) -> Words:
     return Words(start, join(ends, np.int64), join(hashes, np.uint64), np.searchsorted(start, t.offsets))
 
 
+def rehash(t: Texts, w: Words, lower: bool = False, key: int = 1) -> np.ndarray:
+    """The words' hashes under another key."""
+    found = []
+    for a, b in t.slices():
+        lo, hi = int(t.offsets[a]), int(t.offsets[b])
+        p, q = int(w.first[a]), int(w.first[b])
+        if p < q:
+            x = t.data[lo:hi]
+            found.append(_hash(LOWER[x] if lower else x, w.start[p:q] - lo, w.end[p:q] - lo, key))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def distinct(t: Texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word's own, and where each text's words begin; by bytes, without hashes of ours."""
+    start, end = spans(t.data, t.offsets[:-1])
+    mask = INWORD[t.data] if len(t.data) else np.zeros(0, bool)
+    ends = np.concatenate(([0], np.cumsum(end - start)))
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(t.data[mask]))])
+    found = column.dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(start, t.offsets)
+
+
+def order2(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the pairs (h, g), stable, and where runs of equal pairs begin in it."""
+    order = np.argsort(h, kind="stable")
+    for again in (False, True):
+        if again:
+            order = np.lexsort((g, h))
+        x, y = h[order], g[order]
+        same, other = x[1:] == x[:-1], y[1:] != y[:-1]
+        if again or not (same & other).any():
+            break
+    new = np.ones(len(h), bool)
+    new[1:] = ~same | other
+    return order, np.flatnonzero(new)
+
+
+def find2(h: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the pairs (x, y), all of which are there, among ordered pairs (h, g)."""
+    at = np.searchsorted(h, x)
+    while (late := g[at] != y).any():
+        at[late] += 1
+    return at
+
+
 def prefix(x: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial over bytes: the hash of ``x[a:b]`` is
     ``(sums[b] - sums[a]) * powers(INVERSE)[a]``."""

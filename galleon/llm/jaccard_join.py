@@ -9,11 +9,22 @@ non-empty part (pigeonhole).  A document with too many empty parts to be sure of
 is sketched again under further seeds until it is.  Documents meet where a part agrees;
 within such a run only a star from its least document is proposed, then, where a run
 still spans several components, the pairs between components whose dense sketches are
-near enough.  Every proposed pair is verified on the sets themselves, so links are
-exact; links between documents of one component need no look.
+near enough.  Every proposed pair is verified on the sets themselves; links between
+documents of one component need no look.
 
-Documents with equal sets collapse to the least ``doc_id`` first.  Part keys travel as
-packed arrays, one a slice of text and target.
+A phrase in very many documents makes long runs.  A part that so many share is set
+aside for every document that agrees with its likes elsewhere in any case, because it
+has more filled parts than differences allowed and such parts together; only documents
+without that surplus are compared there, in chunks of bounded size.
+
+Documents with equal sets collapse to the least ``doc_id`` first, in every slice of
+text, and a set that very many share is looked up in a table of at most ``1 / HOT_SHARE``
+rows.  Part keys travel as packed arrays, one a slice of text and target.  Shingles are
+told apart by 64 bits within a pair and sets by 128 bits, under keys drawn for the run
+(see ``_words``): no text can be written to collide, and by chance two documents of
+20,000 words are misjudged with a probability below 10**-8.
+
+Similarities of 0.6 and more can be asked for; others raise ``ValueError``, as small sets would not agree on any part.
 
 Defined cases: fewer than five words: the whole sequence is the one shingle; no words
 or null text: the empty set, linked with nothing; rows without ``doc_id`` link with
@@ -23,35 +34,45 @@ through any of them; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _cuts
 from . import _words as W
 from .components import components
 
-RATIO = 1.7  # between the edges of size bands
+RATIO = 1.7  # between the edges of size bands, or a little more than sizes of linked sets may differ
 SEEDS = 64
-MASK = np.uint64(0xFFFFFFFF)
+SURPLUS = 1.2  # filled parts for each difference allowed, on average
+HOT = 1000  # documents of a run from which its part is set aside
+CHUNK = 512  # documents of a run that are compared at once
+HOT_SHARE = 0.001  # part of all documents from which a set is hot
 
 
 class Bound:
     """Integer arithmetic of a similarity of at least ``num / den``."""
 
     def __init__(self, num: int, den: int):
+        if not 0 < 6 * den <= 10 * num <= 10 * den:
+            raise ValueError("the similarity must be from 0.6 to 1")
         self.num, self.den = num, den
-        self.edges = [1]
+        self.edges, ratio = [1], max(RATIO, 1.05 * den / num)
         while self.edges[-1] < 1 << 40:
-            self.edges.append(max(self.edges[-1] + 1, int(np.ceil(self.edges[-1] * RATIO))))
+            self.edges.append(max(self.edges[-1] + 1, int(np.ceil(self.edges[-1] * ratio))))
         self.edges = np.array(self.edges)
         top = self.edges[1:] - 1
         differ = self.differ(2 * top)
-        share = 1.03 * (den - num) / (den + num) * 2  # a little over the bound, for empty parts
-        self.parts = np.where(differ == 0, 1, np.maximum(differ + 1, np.ceil(share * top).astype(np.int64) + 2))
+        # parts a member, of which exp(-1 / parts) stay empty
+        share = SURPLUS * 2 * (den - num) / (den + num)
+        parts = share
+        while parts and parts * (1 - np.exp(-1 / parts)) < share:
+            parts *= 1.01
+        self.parts = np.where(differ == 0, 1, np.maximum(differ + 1, np.ceil(parts * top).astype(np.int64) + 2))
 
     def differ(self, sizes: np.ndarray) -> np.ndarray:
         """Largest symmetric difference of two linked sets whose sizes sum to ``sizes``."""
@@ -62,43 +83,58 @@ class Bound:
         return n * self.den // self.num
 
 
-def shingle_sets(t: W.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every text, and where each text's begin."""
-    w = W.words(t, lower=True)
+def _sequence(h: np.ndarray) -> np.uint64:
+    """Hash of a whole short sequence, told apart from shingles of k words by its length."""
+    x = len(h)
+    for v in h.tolist():
+        x = (x * int(W.STEP) + v) & ((1 << 64) - 1)
+    return np.uint64(x)
+
+
+def shingle_sets(t: W.Texts, k: int, keys: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct shingle hashes of every text under the first key, those under further
+    keys beside them, and where each text's begin."""
+    w = W.words(t, lower=True, key=keys[0])
     n = np.diff(w.first)
     at = W.whole(w, k)
-    h = W.windows(w.hash, k)[at]
+    words = [w.hash, *(W.rehash(t, w, lower=True, key=key) for key in keys[1:])]
+    hashes = [W.windows(x, k)[at] for x in words]
     size = np.maximum(0, n - k + 1)
     ends = np.cumsum(size)
     for a, b in zip(ends - size, ends, strict=True):
         if b - a > 1:
-            h[a:b].sort()
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+            if len(hashes) == 1:
+                hashes[0][a:b].sort()
+            else:
+                order = np.argsort(hashes[0][a:b])
+                for h in hashes:
+                    h[a:b] = h[a:b][order]
+    new = np.ones(len(at), bool)
+    new[1:] = hashes[0][1:] != hashes[0][:-1]
     new[(ends - size)[size > 0]] = True
-    count = np.add.reduceat(np.append(new, False), np.minimum(ends - size, len(h))) * (size > 0) if len(size) else size
+    count = np.add.reduceat(np.append(new, False), np.minimum(ends - size, len(new))) * (size > 0) if len(size) else size
+    hashes = [h[new] for h in hashes]
     short = np.flatnonzero((n > 0) & (n < k))
-    if len(short):  # the whole sequence, told apart from shingles of k words by its length
-        one = np.zeros(len(short), np.uint64)
-        for i, d in enumerate(short):
-            x = np.uint64(n[d])
-            with np.errstate(over="ignore"):
-                for v in w.hash[w.first[d] : w.first[d + 1]]:
-                    x = x * W.STEP + v
-            one[i] = x
-        flat = h[new]
-        h, count = np.insert(flat, np.cumsum(count)[short] - count[short], W.mix(one)), count.copy()
+    if len(short):
+        count = count.copy()
+        places = np.cumsum(count)[short] - count[short]
+        for i, x in enumerate(words):
+            one = np.array([_sequence(x[w.first[d] : w.first[d + 1]]) for d in short], np.uint64)
+            hashes[i] = np.insert(hashes[i], places, W.mix(one))
         count[short] = 1
-    else:
-        h = h[new]
-    return h, np.concatenate(([0], np.cumsum(count)))
+    return hashes, np.concatenate(([0], np.cumsum(count)))
+
 
+def part_keys(h: np.ndarray, first: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key) of the sketch parts through which the texts can meet, and each text's surplus
+    of filled parts under the first seed, for even and odd bands.
 
-def part_keys(h: np.ndarray, first: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the sketch parts through which the texts can meet."""
+    The lowest bit of a key is its band's, the next is set under further seeds.
+    """
     n = np.diff(first)
     band = np.searchsorted(bound.edges, n, "right") - 1
     out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    surplus = np.full((len(n), 2), -1)
     for up in (0, 1):
         group = band + up
         live = np.flatnonzero((n > 0) & ((bound.largest(n) >= bound.edges[group]) | (up == 0)))
@@ -123,15 +159,19 @@ def part_keys(h: np.ndarray, first: np.ndarray, bound: Bound) -> tuple[np.ndarra
             key = np.bitwise_xor.reduceat(W.mix(x >> np.uint64(20)), at)
             of = live[own[at]]
             key += part[at] * W.STEP + group[of].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed)
-            out.append((of, W.mix(key)))
+            key = W.mix(key) & ~np.uint64(3)
+            key |= (group[of] & 1).astype(np.uint64) | np.uint64(2 if seed else 0)
+            out.append((of, key))
             filled = np.bincount(own[at], minlength=len(live))
+            if not seed:
+                surplus[live, group[live] & 1] = filled - need[live]
             live = live[filled < need[live]]
         if len(live):
             raise RuntimeError("no seed spreads a document's shingles over enough parts")
-    return np.concatenate([o for o, _ in out]), np.concatenate([k for _, k in out])
+    return np.concatenate([o for o, _ in out]), np.concatenate([k for _, k in out]), surplus
 
 
-def _batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[tuple[pa.Table, W.Texts]]:
+def _batches(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[pa.Table, W.Texts]]:
     for batch in batches:
         whole = pa.table(batch)
         sizes = W.texts(whole["text"])
@@ -140,18 +180,21 @@ def _batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterato
             yield part, W.texts(part["text"])
 
 
-def send_parts(targets: int, k: int, bound: Bound):
+def send_parts(targets: int, k: int, bound: Bound, keys: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (rows, t) in enumerate(_batches(batches)):
             ids = W.ids(rows["doc_id"])
-            h, first = shingle_sets(t, k)
+            (h, g), first = shingle_sets(t, k, keys)
             n = np.diff(first)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(h + np.uint64(7)))))
-            sig = sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)
-            of, key = part_keys(h, first, bound)
-            ok = ids[of] != W.NO_ID
-            of, key = of[ok], key[ok]
-            to = (key % np.uint64(targets)).astype(np.int64)
+            sig, check = (_total(W.mix(x + np.uint64(7)), first) + n.astype(np.uint64) for x in (h, g))
+            of, key, surplus = part_keys(h, first, bound)
+            # of the documents with one set, the least speaks for all
+            order = np.lexsort((ids, check, sig))
+            lead = np.ones(len(ids), bool)
+            lead[order[1:]] = (sig[order[1:]] != sig[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+            lead &= ids != W.NO_ID
+            of, key = of[lead[of]], key[lead[of]]
+            to = ((key >> np.uint64(2)) % np.uint64(targets)).astype(np.int64)
             order = np.lexsort((of, to))
             of, key, to = of[order], key[order], to[order]
             out = []
@@ -161,27 +204,44 @@ def send_parts(targets: int, k: int, bound: Bound):
                 out.append((int(to[x[0]]), key[x].tobytes(), np.diff(np.append(start, len(x))).tobytes(), ids[d].tobytes(), sig[d].tobytes(), None, None))
             nulls = rows["doc_id"].is_null().to_numpy()
             dense = b"".join(sketch(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True))
-            out.append((number % targets, dense, None, ids.tobytes(), sig.tobytes(), n.astype(np.int64).tobytes(), nulls.tobytes()))
-            names = ("_t", "keys", "counts", "ids", "sigs", "sizes", "nulls")
+            about = np.column_stack([n, check.view(np.int64), surplus]).astype(np.int64)
+            out.append((number % targets, dense, None, ids.tobytes(), sig.tobytes(), about.tobytes(), nulls.tobytes()))
+            names = ("_t", "keys", "counts", "ids", "sigs", "about", "nulls")
             yield from pa.table({c: pa.array([r[i] for r in out], pa.int64() if c == "_t" else pa.binary()) for i, c in enumerate(names)}).to_batches()
 
     return run
 
 
-DOC, PAIR, RUN = 0, 1, 2
+def _total(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``x`` that begin at ``first``."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))
+    return sums[first[1:]] - sums[first[:-1]]
+
+
+DOC, PAIR, RUN, HOT_PART = 0, 1, 2, 3
+MET = "kind byte, x long, y long, sig long, check long, even long, odd long, nil boolean, sketch binary"
+
+
+def _met(kind: int, x: np.ndarray, y: np.ndarray, **more) -> pa.Table:
+    made = {"kind": np.full(len(x), kind, np.int8), "x": x, "y": y}
+    made |= {c: more.get(c, np.zeros(len(x), np.int64)) for c in ("sig", "check", "even", "odd")}
+    made |= {"nil": more.get("nil", np.zeros(len(x), bool)), "sketch": pa.array(more.get("sketch", [None] * len(x)), pa.binary())}
+    return pa.table(made)
 
 
 def meet(sent: pa.Table) -> pa.Table:
-    """Of a target's parts: every document's size and sketch, stars of the runs, and runs of three sets or more."""
-    sizes, out = sent["sizes"].is_null(), []
-    docs = sent.filter(pa.compute.invert(sizes))
-    for i, s, n, z, dense in zip(docs["ids"], docs["sigs"], docs["sizes"], docs["nulls"], docs["keys"], strict=True):
-        of, size = np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+    """Of a target's parts: every document's size and sketch, stars of the runs, runs of three
+    sets or more (``even``: whether hot, ``odd``: the band's bit), and who is in hot runs of the first seed."""
+    docs, out = sent.filter(sent["about"].is_valid()), [_met(DOC, *np.zeros((2, 0), np.int64))]
+    for i, s, a, z, dense in zip(docs["ids"], docs["sigs"], docs["about"], docs["nulls"], docs["keys"], strict=True):
+        of = np.frombuffer(i.as_py(), np.int64)
+        size, check, even, odd = np.frombuffer(a.as_py(), np.int64).reshape(-1, 4).T
         ends = np.cumsum([sketch_bits(x) // 8 for x in size])
         dense = dense.as_py()
         cut = [dense[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        out.append((DOC, of, size, np.frombuffer(s.as_py(), np.int64), np.frombuffer(z.as_py(), bool), cut))
-    parts = sent.filter(sizes)
+        nil = np.frombuffer(z.as_py(), bool)
+        out.append(_met(DOC, of, np.ascontiguousarray(size), sig=np.frombuffer(s.as_py(), np.int64), check=check, even=even, odd=odd, nil=nil, sketch=cut))
+    parts = sent.filter(sent["about"].is_null())
     if parts.num_rows:
         key = np.concatenate(W.u64(parts["keys"]))
         count = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in parts["counts"]])
@@ -206,29 +266,24 @@ def meet(sent: pa.Table) -> pa.Table:
         lead = np.repeat(ids[start], size) if len(run) else ids
         star = lead != ids
         pair = np.unique(np.stack([lead[star], ids[star]]), axis=1)
-        out.append((PAIR, pair[0], pair[1], None, None, None))
+        out.append(_met(PAIR, pair[0], pair[1]))
+        odd, later = (key & np.uint64(1)).astype(np.int64), (key & np.uint64(2)) > 0
+        hot = np.repeat(size > HOT, size)
+        out.append(_met(HOT_PART, ids[hot & ~later], odd[hot & ~later]))
         # runs with the same documents say the same
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(ids.astype(np.uint64)))))
-        what = sums[start + size] - sums[start] if len(run) else np.zeros(0, np.uint64)
+        of = W.mix(ids.astype(np.uint64) + np.where(hot, odd + 1, 0).astype(np.uint64) * W.STEP)
+        what = _total(of, np.append(start, len(run))) if len(run) else np.zeros(0, np.uint64)
         first = np.zeros(len(start), bool)
         first[np.unique(what, return_index=True)[1]] = True
         rows = np.repeat((size > 2) & first, size)
-        out.append((RUN, np.repeat(what, size)[rows].view(np.int64), ids[rows], None, None, None))
-    cols = [np.concatenate([np.zeros(0, k), *c]) for k, c in (
-        (np.int8, [np.full(len(o[1]), o[0], np.int8) for o in out]),
-        (np.int64, [o[1] for o in out]),
-        (np.int64, [o[2] for o in out]),
-        (np.int64, [np.zeros(len(o[1]), np.int64) if o[3] is None else o[3] for o in out]),
-        (bool, [np.zeros(len(o[1]), bool) if o[4] is None else o[4] for o in out]),
-    )]
-    dense = pa.array([x for o in out for x in (o[5] or [None] * len(o[1]))], pa.binary())
-    return pa.table(dict(zip(("kind", "x", "y", "sig", "nil", "sketch"), [*cols, dense], strict=True)))
-
-
-def sets_of(k: int):
+        out.append(_met(RUN, np.repeat(what, size)[rows].view(np.int64), ids[rows], even=hot[rows].astype(np.int64), odd=odd[rows]))
+    return pa.concat_tables(out)
+
+
+def sets_of(k: int, keys: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in _batches(batches):
-            h, first = shingle_sets(t, k)
+            (h,), first = shingle_sets(t, k, keys[:1])
             sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
             yield from pa.table({"doc_id": rows["doc_id"].cast(pa.int64()), "set": sets}).to_batches()
 
@@ -275,19 +330,26 @@ def near(bound: Bound):
 
 
 def between(bound: Bound):
-    """Pairs of a run's documents, of different components, whose sketches are near enough."""
+    """Pairs of a run's documents, of different components, whose sketches are near enough.
+
+    A run comes whole, or as two of its chunks: ``part`` 0 and 1 are then compared with each other.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        run, ids, comp, size = (rows[c].to_numpy() for c in ("run", "doc_id", "component", "n"))
+        run, i1, i2, part, ids, comp, size = (rows[c].to_numpy() for c in ("run", "i", "j", "part", "doc_id", "component", "n"))
         dense = _words(rows["sketch"])
-        order = np.argsort(run, kind="stable")
+        order = np.lexsort((part, i2, i1, run))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (run, i1, i2)], axis=0)
         out = [np.zeros((2, 0), np.int64)]
-        for x in np.split(order, W.heads(run[order])[1:]):
+        for x in np.split(order, np.flatnonzero(new)[1:]):
             least = min(len(dense[i]) for i in x)
             sk = np.stack([fold(dense[i], least) for i in x])
             n, c, d = size[x], comp[x], ids[x]
-            for i in range(len(x) - 1):
-                j = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
+            cross = int((part[x] == 0).sum()) if i1[x[0]] != i2[x[0]] else 0
+            for i in range(cross or len(x) - 1):
+                at = cross or i + 1
+                j = at + np.flatnonzero(c[at:] != c[i])
                 j = j[bound.largest(np.minimum(n[i], n[j])) >= np.maximum(n[i], n[j])]
                 far = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1)
                 j = j[far <= bound.differ(n[i] + n[j])]
@@ -298,6 +360,15 @@ def between(bound: Bound):
     return run
 
 
+def _chunked(member: DataFrame) -> DataFrame:
+    """The members of runs (with the run's ``size``), once for each pair of chunks that theirs belongs to."""
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
+    rows = member.withColumn("chunks", chunks).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     """The pairs (a, b) whose sets link, decided on the sets."""
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -307,10 +378,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     return both.where(F.col("i") * bound.den >= (F.col("n") - F.col("i")) * bound.num).select("a", "b").distinct()
 
 
-def _sets(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _sets(rows: DataFrame, pairs: DataFrame, k: int, keys: tuple[int, int]) -> DataFrame:
     """The sets of the documents in the pairs."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return _cuts.written(rows.join(need, "doc_id", "left_semi").mapInArrow(sets_of(k), "doc_id long, set array<long>"))
+    return _cuts.written(rows.join(need, "doc_id", "left_semi").mapInArrow(sets_of(k, keys), "doc_id long, set array<long>"))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -323,39 +394,28 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, n_shingles and component_id of every row; verified links
     (a, b) between documents with different sets that span the components."""
-    bound, spark = Bound(num, den), docs.sparkSession
+    bound, spark, keys = Bound(num, den), docs.sparkSession, (W.new_key(), W.new_key())
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     targets = _cuts.text_blocks(rows)
-    sent = rows.mapInArrow(send_parts(targets, k, bound), "_t long, keys binary, counts binary, ids binary, sigs binary, sizes binary, nulls binary")
-    met = _cuts.written(sent.groupBy("_t").applyInArrow(meet, "kind byte, x long, y long, sig long, nil boolean, sketch binary"))
-    every = met.where(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), "sig", "nil")
+    sent = rows.mapInArrow(send_parts(targets, k, bound, keys), "_t long, keys binary, counts binary, ids binary, sigs binary, about binary, nulls binary")
+    met = _cuts.written(sent.groupBy("_t").applyInArrow(meet, MET))
+    every = met.where(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), "sig", "check", "nil")
     dense = met.where((F.col("kind") == DOC) & ~F.col("nil")).select(F.col("x").alias("id"), F.col("y").alias("n"), "sketch")
     pairs = met.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    runs = met.where(F.col("kind") == RUN).select(F.col("x").alias("run"), F.col("y").alias("doc_id"))
     side = lambda c: dense.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
     pairs = _cuts.written(pairs.mapInArrow(near(bound), "a long, b long").distinct())
     # one leader for each document first, then what that leaves apart
-    sets = _sets(rows, pairs, k)
+    sets = _sets(rows, pairs, k, keys)
     links = _cuts.written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, bound))
     label = components(links)
     links = _cuts.written(links.union(_verified(_apart(pairs, label), sets, bound)))
     label = components(links)
-    member = runs.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    member = _cuts.written(member)
-    mixed = member.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("run")
-    member = member.join(mixed, "run", "left_semi").distinct().join(dense.withColumnRenamed("id", "doc_id"), "doc_id")
-    group = F.pmod(F.xxhash64("run"), F.lit(4 * _cuts.partitions(spark)))
-    found = _cuts.written(member.groupBy(group.alias("_g")).applyInArrow(between(bound), "a long, b long").distinct())
+    found = _cuts.written(_members(met, label, dense).groupBy("_g").applyInArrow(between(bound), "a long, b long").distinct())
     if not found.isEmpty():
-        links = _cuts.written(links.union(_verified(found, _sets(rows, found, k), bound)))
+        links = _cuts.written(links.union(_verified(found, _sets(rows, found, k, keys), bound)))
         label = components(links)
-    # equal sets: the least doc_id stands for all of them
-    known = every.where(~F.col("nil") & (F.col("n_shingles") > 0))
-    least = known.groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    home = known.select("doc_id", "sig", "n_shingles").join(least, ["sig", "n_shingles"])
-    home = home.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    home = home.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    home = _homes(every.where(~F.col("nil") & (F.col("n_shingles") > 0)), label)
     out = every.join(home, "doc_id", "left").select(
         F.when(~F.col("nil"), F.col("doc_id")).alias("doc_id"),
         "n_shingles",
@@ -364,12 +424,52 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     return out, links
 
 
+def _members(met: DataFrame, label: DataFrame, dense: DataFrame) -> DataFrame:
+    """Members of the runs that span several components, in groups of bounded size; of hot runs,
+    those whose surplus of parts does not make up for the hot ones."""
+    runs = met.where(F.col("kind") == RUN).select(F.col("x").alias("run"), F.col("y").alias("doc_id"), F.col("even").alias("hot"), "odd")
+    bare = met.where(F.col("kind") == HOT_PART).groupBy(F.col("x").alias("doc_id"), F.col("y").alias("odd")).agg(F.count("*").alias("parts"))
+    about = met.where((F.col("kind") == DOC) & ~F.col("nil")).select(F.col("x").alias("doc_id"), "even", F.col("odd").alias("uneven"))
+    safe = bare.join(about, "doc_id").where(F.col("parts") <= F.when(F.col("odd") == 1, F.col("uneven")).otherwise(F.col("even")))
+    safe = safe.select("doc_id", "odd", F.lit(1).cast("long").alias("hot")).distinct()
+    member = runs.join(safe, ["doc_id", "odd", "hot"], "left_anti").select("run", "doc_id").distinct()
+    member = member.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    member = _cuts.written(member)
+    mixed = member.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("run", "size")
+    member = _chunked(member.join(mixed, "run")).join(dense.withColumnRenamed("id", "doc_id"), "doc_id")
+    member = _cuts.written(member.select("run", "i", "j", "part", "doc_id", "component", "n", "sketch"))
+    size = member.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
+    groups = max(4 * _cuts.partitions(met.sparkSession), size >> 25)
+    return member.withColumn("_g", F.pmod(F.xxhash64("run", "i", "j"), F.lit(groups)))
+
+
+def _homes(known: DataFrame, label: DataFrame) -> DataFrame:
+    """(doc_id, component_id): the least ``doc_id`` of equal sets stands for all of them."""
+    same = ["sig", "check", "n_shingles"]
+    least = known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
+    least = least.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "docs", F.coalesce("component", "rep").alias("component_id"))
+    least = _cuts.written(least)
+    bar = max(HOT, math.ceil(HOT_SHARE * (least.agg(F.sum("docs")).first()[0] or 0)))
+    hot = least.where(F.col("docs") >= bar).select(*same, F.col("component_id").alias("hot_id"))  # at most 1 / HOT_SHARE rows
+    rows = known.select("doc_id", *same).join(F.broadcast(hot), same, "left")
+    rest = rows.where("hot_id is null").drop("hot_id").join(least.where(F.col("docs") < bar).drop("docs"), same)
+    home = rows.where("hot_id is not null").select("doc_id", F.col("hot_id").alias("component_id")).union(rest.select("doc_id", "component_id"))
+    return home.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group of similar ones: that with the least ``doc_id``.
 
-    Rows without ``doc_id`` stay; of rows that repeat a ``doc_id`` one stays.
+    Rows without ``doc_id`` stay.  Of rows that repeat the ``doc_id`` kept, one stays for
+    each different text (by the hash of all its columns).
     """
+    names = docs.columns
     found, _ = link(docs, k, num, den)
     gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in names))
+    twice = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = known.join(twice, "doc_id", "left_anti").select(*names)
+    again = known.join(twice, "doc_id", "left_semi").select(F.struct(*names).alias("row")).dropDuplicates()
+    place = F.row_number().over(Window.partitionBy("row.doc_id", "row.text").orderBy(F.xxhash64("row")))
+    again = again.select("row", place.alias("place")).where("place = 1").select("row.*")
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -10,13 +10,21 @@ budget is so many whole epochs and a remainder; each epoch is a permutation of t
 source by a hash seeded with the epoch's number, and the last takes that permutation's
 longest prefix within the remainder.  Prefixes are found by two rounds of 4096 hash
 cells: token sums of cells, then of the cells of the one cell where the remainder ends,
-then single documents of one such cell.  So a source with a third of all rows is summed
-map-side and never sorted or windowed whole.
+then single documents of one such cell.  The epochs of a source, one after the other,
+are then laid over all blocks: every block holds its budget of ``block_tokens`` tokens
+in the target mixture, of each source its weight's part to within a document.  Places
+are token sums of cells before and of documents within a cell, so a source with a third
+of all rows is summed map-side and never sorted or windowed whole.
+
+Words are counted once: the rows are written with their counts and hashes, and all but
+the last pass read these alone.
 
 Defined cases: a null source is a source of its own; null or empty texts have no tokens
-and come with every epoch begun; repeated rows are so many documents, ordered by their
-text where the id is equal, and equal in all else together; an empty table gives an
-empty result; the input's columns may bear any names.
+and come with every epoch begun; rows that share an id are documents of their own, told
+apart by the hash of all their columns (maps aside) and, where equal in these, by their
+place in the written table; an empty table gives an empty result; the input's columns
+may bear any names, and one named like a result (``mix_copy``, ...) comes back as
+``input_mix_copy``, with more ``input_`` before it until it is free.
 """
 
 from __future__ import annotations
@@ -31,6 +39,7 @@ from . import _cuts
 
 CELLS = 4096
 CUTS = 31
+SLOTS = 1 << 40
 MADE = ("mix_copy", "mix_tokens", "mix_block", "mix_slot")
 
 
@@ -121,8 +130,10 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, e
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     text = F.col("row.text") if "text" in names else F.lit(None).cast("string")
     count = tokens if tokens is not None else n_words(text)
-    ident = F.xxhash64(F.lit(seed), F.col("row.doc_id"), F.when(F.col("row.doc_id").isNull(), text))
-    rows = rows.withColumns({"source": F.col(f"row.`{source}`"), "tokens": count, "id": ident})
+    apart = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = rows.withColumns({"source": F.col(f"row.`{source}`"), "tokens": F.coalesce(count, F.lit(0)).cast("long"), "id": F.xxhash64(F.lit(seed), *apart)})
+    whole = [F.col(f"row.`{c}`").alias(f"in{i}") for i, c in enumerate(names)]
+    rows = _cuts.written(rows.select("source", "tokens", "id", F.monotonically_increasing_id().alias("place"), *whole))
     table = _cuts.written(shares(rows, F.col("source"), F.col("tokens")))
     total = table.agg(F.sum("tokens")).first()[0] or 0
     share = 1.0
@@ -143,34 +154,60 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, e
         amount = spread(alpha)[0]
     else:
         amount = float(total if budget == "tokens" else budget)
-    quota = _cuts.written(plan(table, alpha, amount, budget == "cover"))
+    quota = _cuts.written(plan(table, alpha, amount, budget == "cover").withColumn("sid", F.monotonically_increasing_id()))
     # the last epoch's order of a source: cells, cells of a cell, documents of such a cell
-    rows = rows.join(F.broadcast(quota.select(F.col("source").alias("s"), "epochs", "rest")) if _small(quota) else quota.select(F.col("source").alias("s"), "epochs", "rest"), F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.drop("s").withColumn("h", F.xxhash64("id", F.lit(seed + 1), F.col("epochs")))
-    cell = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(CELLS - 1).cast("long"))
-    rows = rows.withColumns({"c1": cell(52), "c2": cell(40)})
-    key = F.col("source")
-    light = rows.select("source", "tokens", "rest", "h", "id", "c1", "c2")
-    first = _edge(light, "c1", F.col("rest")).select(key.alias("s1"), F.col("edge").alias("e1"), F.col("left").alias("r1"))
-    first = _cuts.written(first)
-    inner = _join(light, first, "s1").where("c1 = e1")
-    second = _edge(inner, "c2", F.col("r1")).select(key.alias("s2"), F.col("edge").alias("e2"), F.col("left").alias("r2"))
-    second = _cuts.written(second)
-    last = _join(_join(light, first, "s1").where("c1 = e1"), second, "s2").where("c2 = e2")
-    order = Window.partitionBy("source").orderBy(F.struct("h", "id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    third = last.withColumn("upto", F.sum("tokens").over(order)).where("upto <= r2").groupBy(key.alias("s3")).agg(F.max(F.struct("h", "id")).alias("e3"))
+    side = quota.select(F.col("source").alias("s"), "sid", "epochs", "rest")
+    rows = rows.join(F.broadcast(side) if _small(side) else side, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    rows = rows.withColumn("h", F.xxhash64("id", F.lit(seed + 1), F.col("epochs")))
+    rows = rows.withColumns({"c1": _cell("h", 52), "c2": _cell("h", 40)})
+    light = rows.select("sid", "tokens", "epochs", "rest", "h", "id", "place", "c1", "c2")
+    first = _cuts.written(_edge(light, "c1", F.col("rest"), "1"))
+    second = _cuts.written(_edge(_join(light, first).where("c1 = e1"), "c2", F.col("r1"), "2"))
+    last = _join(_join(light, first).where("c1 = e1"), second).where("c2 = e2")
+    order = Window.partitionBy("sid").orderBy(F.struct("h", "place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    third = last.withColumn("upto", F.sum("tokens").over(order)).where("upto <= r2").groupBy("sid").agg(F.max(F.struct("h", "place")).alias("e3"))
     third = _cuts.written(third)
-    rows = _join(_join(_join(rows, first, "s1", "left"), second, "s2", "left"), third, "s3", "left")
-    within = (F.col("c1") < F.col("e1")) | ((F.col("c1") == F.col("e1")) & ((F.col("c2") < F.col("e2")) | ((F.col("c2") == F.col("e2")) & (F.struct("h", "id") <= F.col("e3")))))
-    more = F.when(F.col("rest") > 0, F.coalesce(within, F.lit(False))).otherwise(F.lit(False))
-    copies = F.col("epochs") + F.when(more, 1).otherwise(0)
-    rows = rows.withColumn("mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+
+    def copies(of: DataFrame) -> DataFrame:
+        of = _join(_join(_join(of, first, "left"), second, "left"), third, "left")
+        inner = (F.col("c2") < F.col("e2")) | ((F.col("c2") == F.col("e2")) & (F.struct("h", "place") <= F.col("e3")))
+        within = (F.col("c1") < F.col("e1")) | ((F.col("c1") == F.col("e1")) & inner)
+        n = F.col("epochs") + F.when((F.col("rest") > 0) & F.coalesce(within, F.lit(False)), 1).otherwise(0)
+        of = of.withColumn("mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
+        of = of.withColumn("turn", F.xxhash64("id", F.lit(seed + 2), F.col("mix_copy")))
+        return of.withColumn("cell", _cell("turn", 52))
+
+    # epochs one after the other, each in the order of its turns: token sums before every cell
+    cells = copies(light).groupBy("sid", "mix_copy", "cell").agg(F.sum("tokens").alias("tokens"))
+    along = Window.partitionBy("sid").orderBy("mix_copy", "cell")  # at most CELLS rows an epoch of a source
+    before = F.coalesce(F.sum("tokens").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumns({"before": before, "all": F.sum("tokens").over(Window.partitionBy("sid"))}).drop("tokens")
+    cells = _cuts.written(cells)
     blocks = max(1, math.ceil(amount / block_tokens))
-    slot = F.xxhash64("id", F.lit(seed + 2), F.col("mix_copy"))
-    return rows.select(
-        *(F.col(f"row.`{c}`").alias(c) for c in names if c.lower() not in MADE), "mix_copy", F.col("tokens").alias("mix_tokens"),
-        F.pmod(slot, F.lit(blocks)).alias("mix_block"), slot.alias("mix_slot"),
-    )
+    mixed = copies(rows).join(cells, ["sid", "mix_copy", "cell"])
+    inside = Window.partitionBy("sid", "mix_copy", "cell").orderBy("turn", "place").rowsBetween(Window.unboundedPreceding, -1)
+    at = (F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))) / F.greatest("all", F.lit(1)) * blocks
+    mixed = mixed.withColumn("at", at).withColumn("mix_block", F.least(F.floor("at"), F.lit(blocks - 1)).cast("long"))
+    slot = ((F.col("at") - F.col("mix_block")) * SLOTS).cast("long")
+    return mixed.select(
+        *(F.col(f"in{i}").alias(c) for i, c in enumerate(_free(names))),
+        "mix_copy", F.col("tokens").alias("mix_tokens"), "mix_block", slot.alias("mix_slot"),
+    )
+
+
+def _free(names: list[str]) -> list[str]:
+    """The input's names, those of results told apart."""
+    out: list[str] = []
+    for name in names:
+        c, held = name, {*MADE, *map(str.lower, [*names, *out])} - {name.lower()}
+        while c.lower() in MADE or (c != name and c.lower() in held):
+            c = "input_" + c
+        out.append(c)
+    return out
+
+
+def _cell(name: str, shift: int) -> Column:
+    return F.shiftrightunsigned(name, shift).bitwiseAND(F.lit(CELLS - 1).cast("long"))
 
 
 def _small(table: DataFrame, limit: int = 10_000) -> bool:
@@ -178,16 +215,16 @@ def _small(table: DataFrame, limit: int = 10_000) -> bool:
     return table.limit(limit + 1).count() <= limit
 
 
-def _join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Rows with their source's line of a table that has one a source, broadcast where it is small."""
-    side = F.broadcast(table) if _small(table) else table
-    return rows.join(side, F.col("source").eqNullSafe(F.col(key)), how).drop(key)
+def _join(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with their source's line of a table that has at most one a source, broadcast where it is small."""
+    return rows.join(F.broadcast(table) if _small(table) else table, "sid", how)
 
 
-def _edge(rows: DataFrame, cell: str, rest: Column) -> DataFrame:
-    """For each source: the cell in which the remainder ends, and what is left for it."""
-    sums = rows.groupBy("source", cell).agg(F.sum("tokens").alias("tokens"), F.max(rest).alias("rest"))
-    order = Window.partitionBy("source").orderBy(cell)  # at most CELLS rows a source
+def _edge(rows: DataFrame, cell: str, rest: Column, name: str) -> DataFrame:
+    """For each source: the cell ``e`` in which the remainder ends, and what is left for it, ``r``."""
+    sums = rows.groupBy("sid", cell).agg(F.sum("tokens").alias("tokens"), F.max(rest).alias("rest"))
+    order = Window.partitionBy("sid").orderBy(cell)  # at most CELLS rows a source
     sums = sums.withColumn("upto", F.sum("tokens").over(order))
-    over = sums.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct(F.col(cell).alias("edge"), (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("x"))
-    return over.select("source", "x.edge", "x.left")
+    left = F.col("rest") - F.col("upto") + F.col("tokens")
+    over = sums.where(F.col("upto") > F.col("rest")).groupBy("sid").agg(F.min(F.struct(F.col(cell).alias("edge"), left.alias("left"))).alias("x"))
+    return over.select("sid", F.col("x.edge").alias("e" + name), F.col("x.left").alias("r" + name))

@@ -17,7 +17,7 @@ Writing ranges rows over shards by key, sorts within shards, and streams; only o
 block is held.  Each task writes under a name of its own, and the manifest (written
 last) names the files of the tasks that counted, so a lost executor leaves no harm.
 Words are encoded once a worker: the tokenizer drops white space, so a text's ids are
-those of its words in order; the cache of words is bounded.
+those of its words in order; the cache of words, by their bytes, is bounded.
 
 Defined cases: null and empty texts have the end id alone; null ids come last; rows that
 repeat an id are all kept; an empty table gives no shard; other columns are not read.
@@ -46,7 +46,7 @@ MAGIC = b"GSSTABL1"
 FOOTER = struct.Struct("<QQQQIIQQ8s")
 BLOCK = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
-CACHE_WORDS = 4_000_000
+CACHE_WORDS, CACHE_BYTES, AT_ONCE = 500_000, 32 << 20, 1000
 
 
 class Encoder:
@@ -62,43 +62,36 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, starts, counts
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, self.kind)
 
-    def _known(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, count = np.full(len(u), -1), np.zeros(len(u), np.int64)
-        for h, s, c in self.runs:
-            at = np.minimum(np.searchsorted(h, u), len(h) - 1)
-            hit = h[at] == u
-            start[hit], count[hit] = s[at[hit]], c[at[hit]]
-        return start, count
+    def _learn(self, words: list[bytes]) -> None:
+        ids = []
+        for i in range(0, len(words), AT_ONCE):  # an encoding holds far more than its ids
+            some = [w.decode("utf-8", "replace") for w in words[i : i + AT_ONCE]]
+            ids += [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), self.kind, int(count.sum()))
+        self.known.update(zip(words, range(len(self.count), len(self.count) + len(words)), strict=True))
+        self.bytes += sum(map(len, words))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, flat])
 
     def encode(self, t: W.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
-        w = W.words(t)
-        u, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        start, count = self._known(u)
-        new = np.flatnonzero(start < 0)
-        if len(new):
-            if sum(len(h) for h, _, _ in self.runs) + len(new) > CACHE_WORDS:
-                self.forget()
-                start, count = np.full(len(u), -1), np.zeros(len(u), np.int64)
-                new = np.arange(len(u))
-            words = [t.data[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace") for i in at[new]]
-            ids = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            count[new] = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), self.kind, int(count[new].sum()))
-            start[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
-            self.pool = np.concatenate([self.pool, flat])
-            self.runs.append((u[new], start[new], count[new]))
-            if len(self.runs) > 8:
-                h, s, c = (np.concatenate(x) for x in zip(*self.runs, strict=True))
-                order = np.argsort(h)
-                self.runs = [(h[order], s[order], c[order])]
-        n = count[inverse]
+        words, kind, first = W.distinct(t)
+        if len(self.known) + len(words) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.forget()
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[kind]
+        n = self.count[at]
         ends = np.concatenate(([0], np.cumsum(n)))
-        flat = self.pool[np.arange(ends[-1]) + np.repeat(start[inverse] - ends[:-1], n)]
-        return flat, ends[w.first]
+        flat = self.pool[np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], n)]
+        return flat, ends[first]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -4,7 +4,9 @@ A window of 13 words that repeats elsewhere holds, whatever the two alignments,
 *aligned anchor*: some shift below the period puts both copies on positions whose
 residues lie in the difference cover.  So only windows of 7 words at 3 of every 7
 positions are hashed and shipped; anchors seen in one document alone end there, and
-shared ones are extended to full windows, whose smallest ``doc_id`` decides.
+shared ones are extended to full windows, whose smallest ``doc_id`` decides.  Windows
+are told apart by 128 bits under two keys drawn for the run (see ``_words``): whatever
+the texts say, 10**13 windows hold a false match with a probability below 10**-7.
 
 Documents are dealt to hash blocks of about 16 MB of text.  A block sends each anchor
 (then each candidate window) once, however often the block repeats it, so a passage
@@ -36,6 +38,12 @@ def period_for(window: int) -> int:
     return max(p for p in COVERS if 2 * p <= window + 1)
 
 
+def both(t: W.Texts, keys: tuple[int, int]) -> tuple[W.Words, np.ndarray]:
+    """The words with their hashes under the first key, and those under the second."""
+    w = W.words(t, key=keys[0])
+    return w, W.rehash(t, w, key=keys[1])
+
+
 def anchors(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors at cover positions of every text."""
     p = period_for(window)
@@ -66,10 +74,10 @@ def _block(docs: pa.Table) -> int:
     return docs["_b"][0].as_py()
 
 
-def find_anchors(targets: int, window: int):
+def find_anchors(targets: int, window: int, keys: tuple[int, int]):
     def run(docs: pa.Table) -> pa.Table:
         _, ids, t = _read(docs)
-        w = W.words(t)
+        w = W.words(t, key=keys[0])
         at, h = anchors(w, window)
         of = ids[w.text_of()[at]]
         order = np.argsort(h, kind="stable")
@@ -97,26 +105,26 @@ def shared_anchors(sent: pa.Table) -> pa.Table:
     return _table(rows, "_b", "hashes")
 
 
-def find_windows(targets: int, window: int):
+def find_windows(targets: int, window: int, keys: tuple[int, int]):
     p = period_for(window)
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
-            return _table([], "_t", "_b", "hashes", "ids")
+            return _table([], "_t", "_b", "hashes", "checks", "ids")
         _, ids, t = _read(docs)
-        w = W.words(t)
+        w, second = both(t, keys)
         at, h = anchors(w, window)
         at = at[W.member(h, np.sort(np.concatenate(W.u64(shared["hashes"]))))]
         first = np.repeat(w.first[:-1], np.diff(w.first))[at]
         lo, hi = np.maximum(at - p + 1, first), np.minimum(at, w.stop()[at] - window)
         ok = lo <= hi
         at = np.flatnonzero(W.covered(lo[ok], hi[ok] - lo[ok] + 1, len(w.hash)))
-        h, of = W.windows(w.hash, window)[at], ids[w.text_of()[at]]
-        order = np.argsort(h, kind="stable")
-        h, of = h[order], of[order]
-        start = W.heads(h)
-        h, of = h[start], of[start]
-        return _table([(to, _block(docs), h[x].tobytes(), of[x].tobytes()) for to, x in _deal(h, targets)], "_t", "_b", "hashes", "ids")
+        h, g, of = W.windows(w.hash, window)[at], W.windows(second, window)[at], ids[w.text_of()[at]]
+        order, start = W.order2(h, g)
+        first = order[start]
+        h, g, of = h[first], g[first], of[first]
+        rows = [(to, _block(docs), h[x].tobytes(), g[x].tobytes(), of[x].tobytes()) for to, x in _deal(h, targets)]
+        return _table(rows, "_t", "_b", "hashes", "checks", "ids")
 
     return run
 
@@ -125,32 +133,32 @@ def first_windows(sent: pa.Table) -> pa.Table:
     """For each block, the windows that start in an earlier document of another block."""
     hs, blocks = W.u64(sent["hashes"]), sent["_b"].to_pylist()
     of = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in sent["ids"]])
-    h, row = np.concatenate(hs), np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-    order = np.argsort(h, kind="stable")
-    h, of, row = h[order], of[order], row[order]
-    start = W.heads(h)
+    h, g, row = np.concatenate(hs), np.concatenate(W.u64(sent["checks"])), np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+    order, start = W.order2(h, g)
+    h, g, of, row = h[order], g[order], of[order], row[order]
     least = np.repeat(np.minimum.reduceat(of, start), np.diff(np.append(start, len(h)))) if len(h) else of
     late = np.flatnonzero(of > least)
     late = late[np.argsort(row[late], kind="stable")]
     at = W.heads(row[late])
     parts = np.split(late, at[1:]) if len(late) else []
-    return _table([(blocks[row[x[0]]], h[x].tobytes(), least[x].tobytes()) for x in parts], "_b", "hashes", "ids")
+    return _table([(blocks[row[x[0]]], h[x].tobytes(), g[x].tobytes(), least[x].tobytes()) for x in parts], "_b", "hashes", "checks", "ids")
 
 
-def cut_windows(window: int):
+def cut_windows(window: int, keys: tuple[int, int]):
     def run(docs: pa.Table, firsts: pa.Table) -> pa.Table:
         kept, n_words, n_removed = [], [], []
         if docs.num_rows:
             order, ids, t = _read(docs)
-            w = W.words(t)
+            w, second = both(t, keys)
             at = W.whole(w, window)
-            h, of = W.windows(w.hash, window)[at], ids[w.text_of()[at]]
-            by = np.argsort(h, kind="stable")
-            start = W.heads(h[by])
-            u, least = h[by][start], of[by][start]
+            h, g, of = W.windows(w.hash, window)[at], W.windows(second, window)[at], ids[w.text_of()[at]]
+            by, start = W.order2(h, g)
+            first = by[start]
+            least = of[first]
             if firsts.num_rows:
-                fh, fi = np.concatenate(W.u64(firsts["hashes"])), np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in firsts["ids"]])
-                x = np.searchsorted(u, fh)
+                fh, fg = (np.concatenate(W.u64(firsts[c])) for c in ("hashes", "checks"))
+                fi = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in firsts["ids"]])
+                x = W.find2(h[first], g[first], fh, fg)
                 least[x] = np.minimum(least[x], fi)
             late = np.empty(len(h), bool)
             late[by] = of[by] > np.repeat(least, np.diff(np.append(start, len(h))))
@@ -187,10 +195,10 @@ def blocked(docs: DataFrame, blocks: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row."""
-    blocks = _cuts.text_blocks(docs)
+    blocks, keys = _cuts.text_blocks(docs), (W.new_key(), W.new_key())
     rows = blocked(docs, blocks)
-    sent = rows.groupBy("_b").applyInArrow(find_anchors(blocks, window), "_t long, _b long, one binary, many binary")
+    sent = rows.groupBy("_b").applyInArrow(find_anchors(blocks, window, keys), "_t long, _b long, one binary, many binary")
     shared = sent.groupBy("_t").applyInArrow(shared_anchors, "_b long, hashes binary")
-    sent = rows.groupBy("_b").cogroup(shared.groupBy("_b")).applyInArrow(find_windows(blocks, window), "_t long, _b long, hashes binary, ids binary")
-    firsts = sent.groupBy("_t").applyInArrow(first_windows, "_b long, hashes binary, ids binary")
-    return rows.groupBy("_b").cogroup(firsts.groupBy("_b")).applyInArrow(cut_windows(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    sent = rows.groupBy("_b").cogroup(shared.groupBy("_b")).applyInArrow(find_windows(blocks, window, keys), "_t long, _b long, hashes binary, checks binary, ids binary")
+    firsts = sent.groupBy("_t").applyInArrow(first_windows, "_b long, hashes binary, checks binary, ids binary")
+    return rows.groupBy("_b").cogroup(firsts.groupBy("_b")).applyInArrow(cut_windows(window, keys), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -135,12 +135,38 @@ def _distinct(t: W.Texts, s: Segments, keys: np.ndarray, targets: int, length: i
     at = np.flatnonzero(W.member(s.key, keys))
     digest = _digest(t, s.start[at], s.count[at] + length - 1)
     to = (s.key[at] % np.uint64(targets)).astype(np.int64)
-    order = np.lexsort((digest, s.key[at], to))
+    size = s.count[at] + length - 1
+    order = np.lexsort((digest, size, s.key[at], to))
+    key, digest, sized = s.key[at][order], digest[order], size[order]
     new = np.ones(len(at), bool)
-    new[1:] = (s.key[at][order][1:] != s.key[at][order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]) | (sized[1:] != sized[:-1])
     kind = np.empty(len(at), np.int64)
     kind[order] = np.cumsum(new) - 1
     head = order[new]  # stable: the earliest of equal ones
+    # digests sort, bytes decide: what differs from its head is told apart by its own bytes
+    start = s.start[at]
+    rest = np.setdiff1d(np.arange(len(at)), head)
+    odd = [np.zeros(0, np.int64)]
+    for x in np.array_split(rest, 1 + int(size[rest].sum()) // W.SLICE):
+        if len(x):
+            differ = t.data[_ranges(start[x], size[x])] != t.data[_ranges(start[head[kind[x]]], size[x])]
+            odd.append(x[np.add.reduceat(differ, np.cumsum(size[x]) - size[x]) > 0])
+    odd = np.concatenate(odd)
+    if len(odd):
+        known: dict[tuple[int, bytes], int] = {}
+        heads = head.tolist()
+        for i in odd.tolist():
+            key = int(to[i]), t.data[start[i] : start[i] + size[i]].tobytes()
+            if key not in known:
+                known[key] = len(heads)
+                heads.append(i)
+            kind[i] = known[key]
+        # heads by target again, in an order that depends on the segments alone
+        head = np.array(heads)
+        by = np.lexsort((head, to[head]))
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        head, kind = head[by], back[kind]
     return Distinct(at, kind, at[head], to[head])
 
 

@@ -1,11 +1,13 @@
 """Toxicity by a linear classifier over character n-grams with naive Bayes features.
 
-Texts are lower-cased (A-Z), their white space made blanks; every n-gram of 4 to 7
-bytes is hashed to one of 2**20 features, present or absent.  Each feature is scaled by
+Texts are lower-cased (A-Z), their white space made blanks, and a blank put before and
+after; every n-gram of 4 to 7 characters (code points) is hashed to one of 2**20
+features, present or absent.  Each feature is scaled by
 its naive Bayes log-count ratio between the classes, and logistic regression with an L2
 penalty is fitted on the scaled features.
 
-Fitting reads a bounded sample of labelled rows (``max_train``, by hash of the id): the
+Fitting reads a bounded sample of labelled rows (``max_train``, by hash of id and text; rows
+equal in both count once): the
 features' document counts are summed per task and merged by ranges of features, the
 ``max_features`` with the strongest ratios are kept, and only their presence in the
 sample comes to the driver.  Scoring is one pass over every whole text.
@@ -23,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +56,14 @@ def grams(t: W.Texts, keep: np.ndarray | None = None) -> Iterator[tuple[int, int
         ends = np.cumsum(size)
         x = np.full(int(ends[-1]), 0x20, np.uint8)
         x[np.arange(hi - lo) + np.repeat(np.arange(b - a) * 2 + 1, size - 2)] = CLEAN[t.data[lo:hi]]
-        sums = W.prefix(x)
-        stop = np.repeat(ends, size)
-        inverse = W.powers(W.INVERSE, len(x))
+        start = np.append(np.flatnonzero((x & 0xC0) != 0x80), len(x))  # of every character
+        sums = W.prefix(x)[start]
+        inverse = W.powers(W.INVERSE, len(x))[start[:-1]]
+        stop = np.searchsorted(start, ends)
+        stop = np.repeat(stop, np.diff(stop, prepend=0))  # the character after a text's last
         found = []
         for k in SIZES:
-            n = len(x) - k + 1
+            n = len(start) - k
             if n <= 0:
                 continue
             h = sums[k:] - sums[:-k]
@@ -68,11 +73,17 @@ def grams(t: W.Texts, keep: np.ndarray | None = None) -> Iterator[tuple[int, int
             if keep is not None:
                 ok &= keep[f]
             at = np.flatnonzero(ok)
-            found.append((np.searchsorted(ends, at, "right") << BITS) | f[at])
+            found.append((np.searchsorted(ends, start[at], "right") << BITS) | f[at])
         pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         yield a, b, (pair >> BITS) + a, pair & ((1 << BITS) - 1)
 
 
+def feature_of(gram: str) -> int:
+    """The feature of one n-gram, cleaned as texts are."""
+    x = CLEAN[np.frombuffer(gram.encode(), np.uint8)]
+    return int(W.mix(W.prefix(x)[-1:])[0] >> np.uint64(64 - BITS))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
@@ -114,20 +125,20 @@ def _present(features: np.ndarray):
     return run
 
 
-def _logistic(has: list, y: np.ndarray, scale: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the mean log loss plus the L2 penalty; both classes weigh the same."""
+def _logistic(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on the mean log loss plus the L2 penalty; both classes weigh
+    the same.  Row ``i`` has ``size[i]`` features, listed in ``col``."""
     share = y.mean()
     each = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    size = np.array([len(x) for x in has])
-    row, col = np.repeat(np.arange(len(has)), size), np.concatenate([*map(np.asarray, has), np.zeros(0, int)]).astype(int)
+    row = np.repeat(np.arange(len(size)), size)
     v = scale[col]
-    rate = 4 / max(1.0, float(np.bincount(row, v * v, minlength=len(has)).max(initial=0)) + 1)
+    rate = 4 / max(1.0, float(np.bincount(row, v * v, minlength=len(size)).max(initial=0)) + 1)
     rate = min(rate * 8, 0.5)
     w = np.zeros(len(scale) + 1)
     prev, best = w.copy(), (np.inf, w)
     for i in range(steps):
         z = w + (i / (i + 3)) * (w - prev)
-        m = np.bincount(row, v * z[col], minlength=len(has)) + z[-1]
+        m = np.bincount(row, v * z[col], minlength=len(size)) + z[-1]
         p = 1 / (1 + np.exp(-np.clip(m, -50, 50)))
         loss = float(each @ (np.logaddexp(0, m) - y * m) + penalty / 2 * (z[:-1] @ z[:-1]))
         if loss > best[0] + 1e-9:
@@ -141,18 +152,25 @@ def _logistic(has: list, y: np.ndarray, scale: np.ndarray, penalty: float, steps
     return best[1][:-1] * scale, float(best[1][-1])
 
 
-def fit(labelled: DataFrame, max_features: int = 8192, least: int = 4, smooth: float = 1.0, penalty: float = 1e-4) -> Model:
-    """A model from rows of ``text`` and ``toxic`` (0 or 1); read twice, so give a written table."""
+def ratios(labelled: DataFrame, max_features: int = 8192, least: int = 4, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The strongest features, in order, and their naive Bayes log-count ratios."""
     ranges = labelled.select("text", "toxic").mapInArrow(_counts, "range long, clean binary, toxic binary, n_clean long, n_toxic long")
     found = ranges.groupBy("range").applyInArrow(_ratios(least, smooth), "feature long, ratio double, strength double")
     kept = sorted((r.feature, r.ratio) for r in found.orderBy(F.desc("strength"), "feature").limit(max_features).collect())
-    features, ratio = np.array([f for f, _ in kept], np.int64), np.array([r for _, r in kept])
-    rows = labelled.select("text", "toxic").mapInArrow(_present(features), "toxic int, has array<int>").collect()
-    y = np.array([r.toxic for r in rows], float)
-    if not len(rows) or y.min() == y.max():
-        share = np.clip(y.mean() if len(rows) else 0.0, 1e-6, 1 - 1e-6)
+    return np.array([f for f, _ in kept], np.int64), np.array([r for _, r in kept])
+
+
+def fit(labelled: DataFrame, max_features: int = 8192, least: int = 4, smooth: float = 1.0, penalty: float = 1e-4) -> Model:
+    """A model from rows of ``text`` and ``toxic`` (0 or 1); read twice, so give a written table."""
+    features, ratio = ratios(labelled, max_features, least, smooth)
+    rows = labelled.select("text", "toxic").mapInArrow(_present(features), "toxic int, has array<int>").toArrow()
+    y = rows["toxic"].to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        share = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    weights, bias = _logistic([r.has for r in rows], y, ratio, penalty)
+    size = pa.compute.list_value_length(rows["has"]).to_numpy()
+    col = pa.compute.list_flatten(rows["has"]).to_numpy().astype(np.int64)
+    weights, bias = _logistic(size, col, y, ratio, penalty)
     return Model(features, weights, bias)
 
 
@@ -172,11 +190,17 @@ def _score(model: Model):
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> DataFrame:
-    """Texts and labels of at most ``max_train`` labelled ids outside the held-out third."""
+    """Texts and labels of at most ``max_train`` labelled rows outside the held-out third; rows
+    that repeat id and text count once, and an id labelled both ways is toxic."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return _cuts.written(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(_cuts.written(known)), "doc_id").select("text", "toxic"))
+    known = _cuts.written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(known), "doc_id")  # at most max_train rows
+    chosen = rows.groupBy("doc_id", "h").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_train)
+    chosen = _cuts.written(chosen.select("doc_id", "h"))
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return _cuts.written(rows.select("text", "toxic"))
 
 
 def held_out(doc_id):

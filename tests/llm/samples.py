@@ -31,3 +31,11 @@ def documents(seed=0, n=60, vocabulary=30, words=120):
 def frame(spark, rows):
     """doc_id and text beside extra columns whose names clash with the operators' own."""
     return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _b int, n_words string")
+
+
+def thue_morse(n, other=False):
+    """Two strings of 2**n letters that polynomial hashes modulo 2**64 take for one."""
+    x = "ab"
+    for _ in range(n - 1):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x.translate(str.maketrans("ab", "ba")) if other else x

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from galleon.llm import html_extract as op
@@ -34,6 +36,43 @@ def test_tree_fits_its_table_and_uses_neighbours():
     assert {0, 1} & seen and {2, 3, 4, 5} & seen and 7 in seen
 
 
+def test_one_container_both_verdicts():
+    """Link density and neighbours decide within one element: names and article tags are not there, or the same for all."""
+    text = " ".join(LONG.split()[:30])
+    links = "".join(f"<p><a href=/{i}>more of this site {i}</a></p>" for i in range(4))
+    for before, after in (("<article>", "</article>"), ("<div>", "</div>"), ("", "")):
+        page = f"{before}<h1>Head</h1><p>{text}</p><p>Short.</p><p>{text}</p><h2>Related</h2><ul>{links}</ul>{after}"
+        assert op.main_text(page) == f"Head\n{text}\nShort.\n{text}\nRelated" or op.main_text(page) == f"Head\n{text}\nShort.\n{text}"
+    page = f"<div><div>Menu</div><div><a>One</a></div><div><a>Two</a></div><div>{text}</div><div>{text}</div><div>All rights</div></div>"
+    assert op.main_text(page) == f"{text}\n{text}"
+
+
+def test_without_names_and_containers(spark):
+    """Of the generated pages' blocks, nearly all keep their verdict when every name is taken away."""
+    import re
+
+    seen = same = 0
+    for (page,) in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        body = page[page.index("<body>") :]
+        found = op.blocks(body)
+        want = {b.text for b, x in zip(found, op.features(found), strict=True) if op.is_main(x, op.tree())}
+        found = op.blocks(re.sub("</?(?:nav|footer|article)>| class=\"ad\"", "", body))
+        seen += len(found)
+        same += sum(op.is_main(x, op.tree()) == (b.text in want) for b, x in zip(found, op.features(found), strict=True))
+    assert same > 0.97 * seen > 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 60_000 + "</section>" * 60_000, "<button>x" * 110_000, "<a '\">" * 160_000, "<" * 1_000_000, "<ul><li>" * 120_000, "<svg>" * 200_000, "<p class=a class=b id=\"" * 45_000, "<b><i></div>" * 80_000, "&a" * 500_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    op.tree()
+    start = time.perf_counter()
+    op.main_text(page)
+    assert time.perf_counter() - start < 4  # a second by itself; the rest for a busy machine
+
+
 def test_generated_pages_round_trip(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = {r.page_id: r for r in op.extract(pages).collect()}

@@ -92,3 +92,51 @@ def test_one_source_and_empty(spark):
     assert op.mix(one).count() == one.count()
     assert op.mix(df.limit(0)).collect() == []
     assert op.mix(df.withColumn("text", F.lit(None).cast("string"))).count() == df.count()
+
+
+def test_blocks_hold_their_budget_and_mixture(spark):
+    r = random.Random(8)
+    rows = [(i, "w " * r.randint(1, 20), r.choice(["hot"] * 6 + ["a", "b", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = op.mix(df, entropy=0.97, block_tokens=2000).collect()
+    total = sum(x.mix_tokens for x in out)
+    of = Counter()
+    for x in out:
+        of[x.source] += x.mix_tokens
+    blocks = max(x.mix_block for x in out) + 1
+    assert blocks == math.ceil(sum(len(t.split()) for _, t, _ in rows) / 2000)
+    held = defaultdict(Counter)
+    for x in out:
+        held[x.mix_block][x.source] += x.mix_tokens
+    for b in range(blocks):
+        assert all(abs(held[b][s] - of[s] / blocks) <= 20 for s in of)
+        assert abs(sum(held[b].values()) - total / blocks) <= 40
+    # epochs come one after the other, and slots mix the sources evenly
+    one = sorted((x.mix_block, x.mix_slot, x.mix_copy) for x in out if x.source == "a")
+    assert [c for _, _, c in one] == sorted(c for _, _, c in one)
+    half = Counter()
+    for x in out:
+        half[x.source] += x.mix_tokens * (x.mix_slot < op.SLOTS // 2)
+    assert all(abs(half[s] - of[s] / 2) <= 20 * blocks for s in of)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c d", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = op.mix(df, budget=5).collect()
+    assert len(out) == 1 and out[0].mix_tokens in (3, 4)
+    same = spark.createDataFrame([(1, "a b", "s")] * 10 + [(None, "c d", "s")] * 10, df.schema)
+    assert sum(x.mix_tokens for x in op.mix(same, budget=30).collect()) == 30
+
+
+def test_names_that_clash_come_back(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 7, 8, 9, {"x": 1})], "doc_id long, text string, source string, mix_copy int, input_mix_copy int, tokens int, h map<string,int>")
+    (row,) = op.mix(df).collect()
+    assert (row.input_input_mix_copy, row.input_mix_copy, row.mix_copy, row.tokens, row.h) == (7, 8, 1, 9, {"x": 1})
+
+
+def test_very_long_and_empty_texts(spark):
+    rows = [(0, "w " * 200_000, "s"), *((i, "w " * (i % 3), "s") for i in range(1, 100)), (200, None, "t"), (201, "", "t")]
+    out = op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=1000).collect()
+    assert Counter(x.doc_id for x in out) == Counter(i for i, _, _ in rows)
+    assert sum(x.mix_tokens for x in out) == sum(len((t or "").split()) for _, t, _ in rows)

@@ -9,10 +9,10 @@ from tokenizers import Tokenizer
 from galleon.llm import _words as W
 from galleon.llm import sstable as op
 
-from .samples import documents, frame
+from .samples import documents, frame, thue_morse
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["don't STOP <|endoftext|>x", "a b c", "İ ́x é ΑΣ", "12 345!?", "x" * 300, "\x0b\x0c", "日本語 テキスト", "'s 'S it's"]
+ODD = [thue_morse(11), thue_morse(11, True), "don't STOP <|endoftext|>x", "a b c", "İ ́x é ΑΣ", "12 345!?", "x" * 300, "\x0b\x0c", "日本語 テキスト", "'s 'S it's"]
 
 
 def rows_of(seed):

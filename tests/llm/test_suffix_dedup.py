@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from galleon.llm import _words as W
 from galleon.llm import suffix_dedup as op
 
 from .samples import documents, frame
@@ -36,5 +39,31 @@ def test_against_brute_force(spark, seed):
     assert sorted(found, key=str) == brute(rows)
 
 
+def test_bytes_decide_where_digests_collide(monkeypatch):
+    r = random.Random(1)
+    base = ["".join(r.choices("abc", k=400)) for _ in range(6)]
+    t = W.texts(pa.array([x + y for x in base for y in base], pa.string()))
+    s = op.segments(t, 100, 32)
+    keys = np.unique(s.key)
+    want = op._distinct(t, s, keys, 7, 100)
+    monkeypatch.setattr(op, "_digest", lambda t, start, size: np.zeros(len(start), np.uint64))
+    found = op._distinct(t, s, keys, 7, 100)
+    text = lambda d, i: (int(d.to[d.kind[i]]), t.data[s.start[i] : s.start[i] + s.count[i] + 99].tobytes())
+    head = lambda d, k: t.data[s.start[d.head[k]] : s.start[d.head[k]] + s.count[d.head[k]] + 99].tobytes()
+    for d in (want, found):
+        assert len({head(d, k) for k in range(len(d.head))}) == len(d.head) and (np.diff(d.to) >= 0).all()
+        assert all(text(d, i)[1] == head(d, d.kind[i]) for i in range(len(d.places)))
+    assert {head(want, k) for k in range(len(want.head))} == {head(found, k) for k in range(len(found.head))}
+
+
+def test_a_document_larger_than_a_slice(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefghij") for _ in range(2_300_000))
+    rows = [(2, long), (1, long[:5000]), (3, long[1_500_000:1_600_000]), (4, "x" + long[:700_000])]
+    found = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans)) for r in op.deduplicate(frame(spark, rows)).collect()]
+    n = len(long)
+    assert sorted(found) == [(1, 5000, 0, 0), (2, n, 5000, 1), (3, 100_000, 100_000, 1), (4, 700_001, 700_000, 1)]
+
+
 def test_empty_table(spark):
     assert op.deduplicate(frame(spark, [])).collect() == []

@@ -1,7 +1,13 @@
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from galleon.llm import _words as W
 from galleon.llm import toxicity as op
 
 
@@ -47,3 +53,44 @@ def test_edges(spark):
     assert all(r.score > 0.9 for r in op.score(odd, one).collect())
     assert op.score(odd.limit(0), one).collect() == []
     assert op.score(odd, op.fit(op.sample(docs, labels))).count() == 5
+
+
+def features(text):
+    """Features of a text by plain Python: every distinct run of 4 to 7 characters."""
+    x = " " + "".join(c.lower() if "A" <= c <= "Z" else c for c in re.sub("[\x20\x09-\x0d]", " ", text)) + " "
+    return {op.feature_of(x[i : i + k]) for k in op.SIZES for i in range(len(x) - k + 1)}
+
+
+ODD = ["", "a", "ab", "caf\u00e9 \u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8", "\U0001f600\U0001f601\U0001f602\U0001f603", "A\tB\nC d\u00c9", "\u00e9" * 9, "x" * 40]
+
+
+def test_features_are_those_of_characters():
+    texts = [*ODD, *ODD[::-1]]
+    found = [set() for _ in texts]
+    for _, _, of, f in op.grams(W.texts(pa.array(texts))):
+        for i, x in zip(of.tolist(), f.tolist(), strict=True):
+            found[i].add(x)
+    assert found == [features(t) for t in texts]
+
+
+def test_ratios_against_brute_force(spark):
+    docs, labels = labelled(spark, 200)
+    rows = [(r.text + " \u00e9t\u00e9", r.toxic) for r in docs.join(labels, "doc_id").where("toxic is not null").collect()]
+    counts, n = {0: Counter(), 1: Counter()}, Counter(y for _, y in rows)
+    for t, y in rows:
+        counts[y].update(features(t))
+    want = {}
+    for f in counts[0] | counts[1]:
+        r = math.log((counts[1][f] + 1) / (n[1] + 2)) - math.log((counts[0][f] + 1) / (n[0] + 2))
+        if counts[0][f] + counts[1][f] >= 4 and abs(r) >= 0.7:
+            want[f] = r
+    found = op.ratios(spark.createDataFrame(rows, "text string, toxic int"), max_features=10**6)
+    assert found[0].tolist() == sorted(want) and np.allclose(found[1], [want[f] for f in sorted(want)])
+
+
+def test_sample_bounds_rows(spark):
+    docs, labels = labelled(spark, 60)
+    i = next(r.doc_id for r in docs.where(~op.held_out(F.col("doc_id"))).orderBy("doc_id").collect() if r.doc_id != 3)
+    more = docs.union(spark.createDataFrame([(i, f"text {j % 50}", "x") for j in range(500)], docs.schema))
+    assert op.sample(more, labels, max_train=20).count() == 20
+    assert op.sample(more, labels).count() == op.sample(docs, labels).count() + 50
