@@ -1,27 +1,30 @@
 """Event detection: link by time and place, split by looks, fold into trips.
 
-All links and folds need gaps of at most 36 hours, so each user's rows between longer
-gaps (a *super-session*) are independent: they are found by window functions, and the
-order-dependent fold runs once for each in Arrow batches.
+Links, pauses and super-sessions (no link or fold reaches over more than 36 hours) are
+window columns.  What depends on order runs over Arrow columns of many users at once:
+runs of linked items are cut where their looks change, and the stretches of a
+super-session are folded from left to right.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Any
+from bisect import insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sessions
+from ..functions import scalars
+from . import sessions, windows
 
 # Fixed values of the semantics: hours, kilometres, speeds and shares.
 LINK_HOURS, LINK_KM, LINK_KMH, FLOOR_HOURS = 4.0, 150.0, 300.0, 0.25
-SPLIT_MINUTES, SPLIT_COSINE, SPLIT_VECTORS = 90.0, 0.45, 4
+SPLIT_MINUTES, SPLIT_COSINE, SPLIT_ITEMS, SPLIT_SIDE = 90.0, 0.45, 4, 2
 AWAY_KM, TRIP_KM, TRIP_HOURS, UNLOCATED_HOURS = 40.0, 400.0, 36.0, 18.0
 PEOPLE_HOURS, PEOPLE_SHARE, PEOPLE_KM = 12.0, 0.5, 40.0
+DAY = 86400
 
 
 def km(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -30,90 +33,64 @@ def km(a: tuple[float, float], b: tuple[float, float]) -> float:
     return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
 
 
-def _place(item: dict[str, Any]) -> tuple[float, float] | None:
-    return None if item["lat"] is None or item["lon"] is None else (item["lat"], item["lon"])
+def stretches(a: int, b: int, s: np.ndarray, seen: np.ndarray, vec: np.ndarray) -> list[tuple[int, int]]:
+    """Places [a, b) cut at the first long pause whose two sides look different, each side again.
+
+    ``seen`` marks the items with a vector; a cut needs two items and two vectors on
+    either side, and four vectors in all.
+    """
+    if b - a < SPLIT_ITEMS or seen[a:b].sum() < SPLIT_ITEMS:
+        return [(a, b)]
+    pauses = a + SPLIT_SIDE + np.flatnonzero(np.diff(s[a + SPLIT_SIDE - 1 : b - SPLIT_SIDE + 1]) >= SPLIT_MINUTES * 60)
+    if not len(pauses):
+        return [(a, b)]
+    count, total = np.cumsum(seen[a:b]), np.cumsum(vec[a:b], axis=0)
+    for k in pauses.tolist():
+        left = count[k - a - 1]
+        right = count[-1] - left
+        if min(left, right) < SPLIT_SIDE:
+            continue
+        x, y = total[k - a - 1] / left, (total[-1] - total[k - a - 1]) / right
+        if x @ y < SPLIT_COSINE * max(np.linalg.norm(x) * np.linalg.norm(y), 1e-9):
+            return stretches(a, k, s, seen, vec) + stretches(k, b, s, seen, vec)
+    return [(a, b)]
 
 
-def linked(a: dict[str, Any], b: dict[str, Any]) -> bool:
-    """Whether ``b`` follows ``a`` in one stretch."""
-    hours = (b["s"] - a["s"]) / 3600
-    if hours > LINK_HOURS:
-        return False
-    p, q = _place(a), _place(b)
-    if p is None or q is None:
-        return True
-    far = km(p, q)
-    return far <= LINK_KM and far / max(hours, FLOOR_HOURS) <= LINK_KMH
-
-
-class Stretch:
-    """Consecutive items with their span, median place, vectors and people."""
-
-    def __init__(self, items: list[dict[str, Any]]):
-        self.items = items
-        self.start, self.end = items[0]["s"], items[-1]["s"]
-        places = [p for p in map(_place, items) if p]
-        self.centre = tuple(np.median(np.array(places), axis=0)) if places else None
-        self.people = {p for i in items for p in (i["people"] if i["people"] is not None else ())}
-
-
-def _mean(items: list[dict[str, Any]]) -> np.ndarray | None:
-    v = [np.asarray(i["vec"], float) for i in items if i["vec"] is not None]
-    if not v:
-        return None
-    m = np.mean(v, axis=0)
-    n = np.linalg.norm(m)
-    return m / n if n > 1e-12 else None
-
-
-def split(items: list[dict[str, Any]]) -> list[list[dict[str, Any]]]:
-    """Cuts at long pauses where the looks on either side differ; the widest pause first."""
-    pauses = sorted(((items[i]["s"] - items[i - 1]["s"], -i) for i in range(1, len(items))), reverse=True)
-    for pause, i in pauses:
-        if pause < SPLIT_MINUTES * 60:
-            break
-        left, right = items[:-i], items[-i:]
-        if min(sum(x["vec"] is not None for x in side) for side in (left, right)) < SPLIT_VECTORS:
-            continue
-        a, b = _mean(left), _mean(right)
-        if a is not None and b is not None and float(a @ b) < SPLIT_COSINE:
-            return split(left) + split(right)
-    return [items]
+class Event:
+    """Items so far: span, sorted coordinates (for the median place) and people."""
+
+    def __init__(self, start: float, end: float, lat: list[float], lon: list[float], people: frozenset):
+        self.start, self.end, self.people = start, end, people
+        self.lat, self.lon = sorted(lat), sorted(lon)
+
+    def centre(self) -> tuple[float, float] | None:
+        n = len(self.lat)
+        return ((self.lat[n // 2] + self.lat[(n - 1) // 2]) / 2, (self.lon[n // 2] + self.lon[(n - 1) // 2]) / 2) if n else None
 
+    def take(self, other: Event) -> None:
+        self.end, self.people = other.end, self.people | other.people
+        if len(other.lat) > len(self.lat):
+            self.lat, self.lon, other.lat, other.lon = other.lat, other.lon, self.lat, self.lon
+        for mine, new in ((self.lat, other.lat), (self.lon, other.lon)):
+            for x in new:
+                insort(mine, x)
 
-def joined(a: Stretch, b: Stretch, home: tuple[float, float] | None) -> bool:
+
+def joined(a: Event, b: Event, home: tuple[float, float] | None) -> bool:
     """Whether the next stretch belongs to the event so far."""
     hours = (b.start - a.end) / 3600
     if hours > TRIP_HOURS:
         return False
-    if home is not None:
-        if a.centre and b.centre:
-            if min(km(a.centre, home), km(b.centre, home)) > AWAY_KM and km(a.centre, b.centre) <= TRIP_KM:
-                return True
-        elif (a.centre or b.centre) and hours <= UNLOCATED_HOURS and km(a.centre or b.centre, home) > AWAY_KM:
+    p, q = a.centre(), b.centre()
+    if home and p and km(p, home) > AWAY_KM:
+        if q is None and hours <= UNLOCATED_HOURS:
+            return True
+        if q and km(q, home) > AWAY_KM and km(p, q) <= TRIP_KM:
             return True
-    if a.people and b.people and hours <= PEOPLE_HOURS and a.start // 86400 == b.start // 86400:
-        share = len(a.people & b.people) / len(a.people | b.people)
-        return share >= PEOPLE_SHARE and (not a.centre or not b.centre or km(a.centre, b.centre) <= PEOPLE_KM)
-    return False
-
-
-def cluster(items: list[dict[str, Any]], home: tuple[float, float] | None) -> list[list[dict[str, Any]]]:
-    """Events of one super-session's items in time order."""
-    parts: list[list[dict[str, Any]]] = []
-    for x in items:
-        if parts and linked(parts[-1][-1], x):
-            parts[-1].append(x)
-        else:
-            parts.append([x])
-    events: list[Stretch] = []
-    for p in (s for part in parts for s in split(part)):
-        nxt = Stretch(p)
-        if events and joined(events[-1], nxt, home):
-            events[-1] = Stretch(events[-1].items + p)
-        else:
-            events.append(nxt)
-    return [e.items for e in events]
+    if not (a.people and b.people) or hours > PEOPLE_HOURS or a.start // DAY != b.start // DAY:
+        return False
+    share = len(a.people & b.people) / len(a.people | b.people)
+    return share >= PEOPLE_SHARE and (not p or not q or km(p, q) <= PEOPLE_KM)
 
 
 def home_of(items: DataFrame, by: str) -> DataFrame:
@@ -124,17 +101,58 @@ def home_of(items: DataFrame, by: str) -> DataFrame:
     return best.select(by, (-F.col("x.a")).alias("home_lat"), (-F.col("x.o")).alias("home_lon"))
 
 
-def detect(items: DataFrame, by: str = "user_id", key: str = "event_id") -> DataFrame:
-    """(by, key, super, event) of items (by, key, ts, lat, lon, vec, people)."""
-    rows = sessions.sessions(items, TRIP_HOURS, by, "ts", key).withColumnRenamed("session", "super")
-    rows = rows.join(home_of(items, by), by, "left").withColumn("s", sessions.seconds(F.col("ts"))).drop("ts")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", key])
-        items = [{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
-        home = (items[0]["home_lat"], items[0]["home_lon"])
-        found = cluster(items, None if home[0] is None else home)
-        out = [(x[by], x[key], x["super"], i + 1) for i, e in enumerate(found) for x in e]
-        return pd.DataFrame(out, columns=[by, key, "super", "event"])
-
-    return rows.groupBy(by, "super").applyInPandas(run, f"{by} long, {key} long, super long, event long")
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a vector, and all of them as a matrix (zeros without)."""
+    seen = column.is_valid().to_numpy().astype(bool)
+    flat = pa.compute.list_flatten(column.drop_null()).to_numpy().astype(float)
+    width = len(flat) // max(1, seen.sum())
+    vec = np.zeros((len(seen), width))
+    vec[seen] = flat.reshape(-1, width) if width else 0
+    return seen, vec
+
+
+def _detect(rows: pa.Table) -> pa.Table:
+    """Numbers the events of every super-session of the rows."""
+    rows = rows.sort_by([(c, "ascending") for c in ("user", "super", "s", "key")])
+    user, sup, s, lat, lon, linked = (rows[c].to_numpy() for c in ("user", "super", "s", "lat", "lon", "linked"))
+    seen, vec = _vectors(rows["vec"])
+    people = [frozenset(p or ()) for p in rows["people"].to_pylist()]
+    here = ~(np.isnan(lat) | np.isnan(lon))
+    home = list(zip(rows["home_lat"].to_numpy().tolist(), rows["home_lon"].to_numpy().tolist(), strict=True))
+    n = len(s)
+    first = np.ones(n, bool)  # of a super-session
+    first[1:] = (user[1:] != user[:-1]) | (sup[1:] != sup[:-1])
+    runs = np.append(np.flatnonzero(first | ~linked.astype(bool)), n)
+    number, event, count = np.zeros(n, np.int64), None, 0
+    for i, j in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+        for a, b in stretches(i, j, s, seen, vec) if j - i >= SPLIT_ITEMS else [(i, j)]:
+            at = here[a:b]
+            new = Event(s[a], s[b - 1], lat[a:b][at].tolist(), lon[a:b][at].tolist(), frozenset().union(*people[a:b]))
+            if first[a]:
+                event, count = new, 1
+            elif joined(event, new, None if math.isnan(home[a][0]) else home[a]):
+                event.take(new)
+            else:
+                event, count = new, count + 1
+            number[a:b] = count
+    return pa.table({"user": rows["user"], "key": rows["key"], "super": rows["super"], "event": pa.array(number)})
+
+
+def detect(items: DataFrame, by: str = "user_id", key: str = "event_id", rows_a_group: int = 50_000) -> DataFrame:
+    """(by, key, super, event) of items (by, key, ts, lat, lon, vec, people).
+
+    Users are dealt to groups of about ``rows_a_group`` rows; one super-session is never cut.
+    """
+    rows = sessions.sessions(items, TRIP_HOURS, by, "ts", key).withColumnRenamed("session", "super").withColumn("s", sessions.seconds(F.col("ts")))
+    before = lambda c: windows.previous(c, [by], ["s", key])
+    hours = (F.col("s") - before("s")) / 3600
+    far = scalars.haversine_km(before("lat"), before("lon"), F.col("lat"), F.col("lon"))
+    near = far.isNull() | ((far <= LINK_KM) & (far / F.greatest(hours, F.lit(FLOOR_HOURS)) <= LINK_KMH))
+    rows = rows.withColumn("linked", F.coalesce((hours <= LINK_HOURS) & near, F.lit(False)))
+    rows = rows.join(home_of(items, by), by, "left")
+    real = [F.col(c).cast("double").alias(c) for c in ("lat", "lon", "home_lat", "home_lon")]
+    rows = rows.select(F.col(by).alias("user"), F.col(key).alias("key"), "super", "s", "linked", *real, F.col("vec").cast("array<double>").alias("vec"), F.col("people").cast("array<long>").alias("people"))
+    groups = max(1, -(-items.count() // rows_a_group))
+    rows = rows.withColumn("_g", F.pmod(F.xxhash64("user", "super"), F.lit(groups)))
+    found = rows.groupBy("_g").applyInArrow(lambda t: _detect(t), "user long, key long, super long, event long")
+    return found.select(F.col("user").alias(by), F.col("key").alias(key), "super", "event")

@@ -40,67 +40,87 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def box_iou(a, b) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    inner = max(w, 0.0) * max(h, 0.0)
-    union = a[2] * a[3] + b[2] * b[3] - inner
-    return inner / union if union > 0 else 0.0
-
-
-class Tracker:
-    """Two-stage tracking: sure detections first, then weak ones on what is left."""
-
-    def __init__(self, max_gap: float = 2.0, high: float = 0.6, w_iou: float = 0.4, min_iou: float = 0.1, strong: float = 0.5, weak: float = 0.4, momentum: float = 0.8):
-        self.max_gap, self.high, self.w_iou, self.min_iou, self.strong, self.weak, self.momentum = max_gap, high, w_iou, min_iou, strong, weak, momentum
-        self.tracks: dict[int, dict] = {}
-        self.next_id = 1
-
-    def _match(self, ids: list[int], found: list[dict], gate: float) -> list[tuple[int, int]]:
-        if not ids or not found:
-            return []
-        cost = np.full((len(ids), len(found)), 10.0)
-        for i, t in enumerate(ids):
-            for j, d in enumerate(found):
-                over, sim = box_iou(self.tracks[t]["box"], d["bbox"]), float(self.tracks[t]["vec"] @ d["vec"])
-                if (over >= self.min_iou and sim >= gate - 0.2) or sim >= gate:
-                    cost[i, j] = 1 - (self.w_iou * over + (1 - self.w_iou) * sim)
-        return [(ids[i], j) for i, j in assign(cost) if cost[i, j] < 10]
-
-    def update(self, ts: float, found: list[dict]) -> list[int]:
-        """The track of every detection of a frame; 0 for weak ones without a track."""
-        self.tracks = {i: t for i, t in self.tracks.items() if ts - t["ts"] <= self.max_gap}
-        out, free = [0] * len(found), sorted(self.tracks)
-        for sure in (True, False):
-            at = [j for j, d in enumerate(found) if (d["detection"] >= self.high) == sure]
-            for t, j in self._match(free, [found[j] for j in at], self.strong if sure else self.weak):
-                d, track = found[at[j]], self.tracks[t]
-                v = self.momentum * track["vec"] + (1 - self.momentum) * d["vec"] if sure else track["vec"]
-                track.update(box=d["bbox"], ts=ts, vec=v / max(np.linalg.norm(v), 1e-12))
-                out[at[j]] = t
-                free.remove(t)
-            if sure:
-                for j in at:
-                    if not out[j]:
-                        out[j] = self.next_id
-                        self.tracks[self.next_id] = {"box": found[j]["bbox"], "vec": found[j]["vec"], "ts": ts}
-                        self.next_id += 1
+    return float(overlaps(np.asarray([a], float), np.asarray([b], float))[0, 0])
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap over union of every box [x, y, w, h] of ``a`` with every one of ``b``."""
+    low = np.maximum(a[:, None, :2], b[None, :, :2])
+    high = np.minimum(a[:, None, :2] + a[:, None, 2:], b[None, :, :2] + b[None, :, 2:])
+    inner = np.clip(high - low, 0, None).prod(axis=2)
+    union = a[:, 2:].prod(axis=1)[:, None] + b[:, 2:].prod(axis=1)[None, :] - inner
+    return np.where(union > 0, inner / np.where(union > 0, union, 1), 0.0)
+
+
+# Fixed values of tracking: seconds, qualities, weights and similarities.
+TRACK_GAP, TRACK_SURE, TRACK_KEEP = 6.0, 0.45, 0.8
+TRACK_OVERLAP, TRACK_LOOKS = 0.4, 0.6
+NEAR_OVERLAP, FAR_LOOKS = 0.1, 0.55
+SURE_LOOKS, WEAK_LOOKS = 0.25, 0.6
+
+
+class Tracks:
+    """Open tracks of one video as arrays: number, last time, last box, mean look."""
+
+    def __init__(self, gap: float = TRACK_GAP):
+        self.gap, self.made = gap, 0
+        self.ids, self.seen, self.boxes, self.looks = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 4)), None
+
+    def frame(self, ts: float, boxes: np.ndarray, looks: np.ndarray, quality: np.ndarray) -> np.ndarray:
+        """The track of every detection of a frame, by the order of the detections.
+
+        Sure detections choose first; weak ones must look more alike to join what is left.
+        Whatever joins no track begins one, sure detections before weak ones.
+        """
+        if self.looks is None:
+            self.looks = np.zeros((0, looks.shape[1]))
+        alive = ts - self.seen <= self.gap
+        self.ids, self.seen, self.boxes, self.looks = self.ids[alive], self.seen[alive], self.boxes[alive], self.looks[alive]
+        out, taken = np.zeros(len(boxes), np.int64), np.zeros(len(self.ids), bool)
+        sure = quality >= TRACK_SURE
+        shared, alike = overlaps(self.boxes, boxes), self.looks @ looks.T
+        for stage, gate in ((sure, SURE_LOOKS), (~sure, WEAK_LOOKS)):
+            rows, cols = np.flatnonzero(~taken), np.flatnonzero(stage)
+            if not len(rows) or not len(cols):
+                continue
+            o, c = shared[np.ix_(rows, cols)], alike[np.ix_(rows, cols)]
+            ok = (c >= gate) & ((o >= NEAR_OVERLAP) | (c >= FAR_LOOKS))
+            for i, j in assign(np.where(ok, 1 - TRACK_OVERLAP * o - TRACK_LOOKS * c, 1e6)):
+                if ok[i, j]:
+                    t, d = rows[i], cols[j]
+                    look = TRACK_KEEP * self.looks[t] + (1 - TRACK_KEEP) * looks[d]
+                    self.looks[t] = look / max(np.linalg.norm(look), 1e-12)
+                    self.boxes[t], self.seen[t], taken[t], out[d] = boxes[d], ts, True, self.ids[t]
+        new = np.concatenate([np.flatnonzero(stage & (out == 0)) for stage in (sure, ~sure)])
+        out[new] = self.made + 1 + np.arange(len(new))
+        self.made += len(new)
+        self.ids, self.seen = np.append(self.ids, out[new]), np.append(self.seen, np.full(len(new), ts))
+        self.boxes, self.looks = np.vstack([self.boxes, boxes[new]]), np.vstack([self.looks, looks[new]])
         return out
 
 
-def track(detections: DataFrame, by: str = "media_id") -> DataFrame:
-    """(by, id, track) of detections (by, id, ts, bbox, vec, detection); one video a group."""
+def track(detections: DataFrame, by: str = "media_id", gap: float = TRACK_GAP) -> DataFrame:
+    """(by, id, track) of detections (by, id, ts, bbox, vec, detection and, where known, quality); one video a group."""
+    quality = F.coalesce("quality", "detection") if "quality" in detections.columns else F.col("detection")
+    rows = detections.select(by, "id", "ts", "bbox", "vec", quality.cast("double").alias("q"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(), []
-        for ts, frame in pdf.sort_values(["ts", "id"]).groupby("ts", sort=True):
-            rows = frame.to_dict("records")
-            for r in rows:
-                v = np.asarray(r["vec"], float)
-                r["vec"] = v / max(np.linalg.norm(v), 1e-12)
-            out += [(r[by], r["id"], t) for r, t in zip(rows, tracker.update(float(ts), rows), strict=True)]
-        return pd.DataFrame(out, columns=[by, "id", "track"])
+        pdf = pdf.sort_values(["ts", "id"])
+        boxes, looks = np.array(pdf["bbox"].tolist(), float), np.array(pdf["vec"].tolist(), float)
+        looks /= np.maximum(np.linalg.norm(looks, axis=1, keepdims=True), 1e-12)
+        ts, q, tracks = pdf["ts"].to_numpy(float), pdf["q"].to_numpy(float), Tracks(gap)
+        frames = np.split(np.arange(len(ts)), np.flatnonzero(np.diff(ts)) + 1)
+        found = np.concatenate([tracks.frame(ts[f[0]], boxes[f], looks[f], q[f]) for f in frames])
+        return pd.DataFrame({by: pdf[by], "id": pdf["id"], "track": found})
 
-    return detections.groupBy(by).applyInPandas(run, f"{by} long, id long, track long")
+    return rows.groupBy(by).applyInPandas(run, f"{by} long, id long, track long")
+
+
+def track_summary(detections: DataFrame, tracks: DataFrame, by: str = "media_id") -> DataFrame:
+    """(by, track, first_ts, last_ts, hits, best): the best detection is that of most quality, the first on ties."""
+    quality = F.coalesce("quality", "detection") if "quality" in detections.columns else F.col("detection")
+    rows = detections.select(by, "id", "ts", quality.alias("q")).join(tracks, [by, "id"])
+    return rows.groupBy(by, "track").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("hits"), F.max_by("id", F.struct("q", -F.col("ts"), -F.col("id"))).alias("best"))
 
 
 def suppress(boxes: DataFrame, by: str, limit: float = 0.6) -> DataFrame:
@@ -119,23 +139,37 @@ def suppress(boxes: DataFrame, by: str, limit: float = 0.6) -> DataFrame:
     return boxes.groupBy(by).applyInPandas(run, f"{by} long, id long, covered long")
 
 
+# Fixed values of diversity: shares of rank and score in relevance, of relevance and likeness in the gain.
+BY_RANK, BY_SCORE, UNKNOWN_SCORE, RELEVANCE, LIKENESS, DAY_FULL = 0.6, 0.4, 0.5, 0.7, 0.3, 4
+
+
 def diverse(candidates: DataFrame, size: int, limit: int = 200) -> DataFrame:
-    """(id, place): greedy picks that balance relevance and novelty over the best ``limit`` (id, rank, score, vec, day)."""
-    rows = candidates.orderBy("rank").limit(limit).toPandas().to_dict("records")
-    n, picked, days = len(rows), [], {}
-    vec = [None if r["vec"] is None else np.asarray(r["vec"], float) / max(np.linalg.norm(r["vec"]), 1e-12) for r in rows]
-    rel = [0.6 * (1 - i / n) + 0.4 * (0.5 if r["score"] is None else r["score"]) for i, r in enumerate(rows)]
-    left = list(range(n))
-    while left and len(picked) < size:
-        def gain(i):
-            near = max((float(vec[i] @ vec[j]) for j in picked if vec[j] is not None), default=0.0) if vec[i] is not None else min(1.0, days.get(rows[i]["day"], 0) / 4)
-            return 0.7 * rel[i] - 0.3 * near, -i
-
-        best = max(left, key=gain)
-        left.remove(best)
+    """(id, place): greedy picks that balance relevance and novelty over the best ``limit`` (id, rank, score, vec, day).
+
+    An item without a vector is like those picked of its day.  At most ``limit`` rows leave the cluster.
+    """
+    rows = candidates.orderBy("rank").limit(limit).toPandas()
+    n = len(rows)
+    have = rows["vec"].notna().to_numpy()
+    width = max((len(v) for v in rows["vec"][have]), default=1)
+    look = np.zeros((n, width))
+    look[have] = np.array(rows["vec"][have].tolist(), float).reshape(-1, width)
+    look /= np.maximum(np.linalg.norm(look, axis=1, keepdims=True), 1e-12)
+    score = rows["score"].astype(float).fillna(UNKNOWN_SCORE).to_numpy()
+    relevance = RELEVANCE * (BY_RANK * (1 - np.arange(n) / max(n, 1)) + BY_SCORE * score)
+    like = look @ look.T
+    day = pd.factorize(rows["day"])[0]
+    nearest, of_day, open_, picked = np.full(n, -np.inf), np.zeros(n), np.ones(n, bool), []
+    for _ in range(min(size, n)):
+        near = np.where(have, np.where(np.isinf(nearest), 0.0, nearest), np.minimum(1.0, of_day / DAY_FULL))
+        best = int(np.argmax(np.where(open_, relevance - LIKENESS * near, -np.inf)))
         picked.append(best)
-        days[rows[best]["day"]] = days.get(rows[best]["day"], 0) + 1
-    return candidates.sparkSession.createDataFrame([(int(rows[i]["id"]), k + 1) for k, i in enumerate(picked)], "id long, place long")
+        open_[best] = False
+        of_day[day == day[best]] += 1
+        if have[best]:
+            nearest = np.maximum(nearest, like[best])
+    ids = [(int(rows["id"][i]), k + 1) for k, i in enumerate(picked)]
+    return candidates.sparkSession.createDataFrame(ids, "id long, place long")
 
 
 def timeline_sections(days: DataFrame, least: int = 8) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, relational, sequential
+from . import analytics, curation, relational, sequential
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [relational, analytics, sequential]
+MODULES = [relational, analytics, sequential, curation]
 
 
 def queries() -> dict[str, Query]:

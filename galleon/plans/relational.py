@@ -10,7 +10,7 @@ from ..session import table
 
 
 def facet_filter_page(spark, sf):
-    d = table(spark, sf, "documents").where((F.col("lang") == "en") & F.col("n_chars").between(200, 20_000) & facets.contains(F.col("text"), "TH_e") | facets.contains(F.col("text"), "the "))
+    d = table(spark, sf, "documents").where((F.col("lang") == "en") & F.col("n_chars").between(200, 20_000) & (facets.contains(F.col("text"), "TH_e") | facets.contains(F.col("text"), "the ")))
     return facets.page(d.select("doc_id", "lang", "n_chars"), [F.desc("n_chars"), F.desc("doc_id")], 2, 50)
 
 
@@ -290,7 +290,7 @@ def ignored_groups(spark, sf):
 
 
 QUERIES = {
-    "q_facet_filter_page": (facet_filter_page, r"""SELECT doc_id, lang, n_chars FROM documents WHERE (lang = 'en' AND n_chars BETWEEN 200 AND 20000 AND text ILIKE '%TH\_e%' ESCAPE '\') OR text ILIKE '%the %' ORDER BY n_chars DESC, doc_id DESC LIMIT 50 OFFSET 50"""),
+    "q_facet_filter_page": (facet_filter_page, r"""SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars BETWEEN 200 AND 20000 AND (text ILIKE '%TH\_e%' ESCAPE '\' OR text ILIKE '%the %') ORDER BY n_chars DESC, doc_id DESC LIMIT 50 OFFSET 50"""),
     "q_date_range": (date_facet, "SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07' AND event_type IS NOT NULL"),
     "q_people_any": (people_any, f"SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey IN {PARTS})"),
     "q_people_all": (people_all, "SELECT user_id FROM events WHERE value > 60 AND event_type IN ('click', 'view', 'purchase') GROUP BY user_id HAVING count(DISTINCT event_type) = 3"),

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import facets, text, vectors
 
 # Words of the query language.
-MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m}
+MONTHS = {m.lower(): i for names in (calendar.month_name, calendar.month_abbr) for i, m in enumerate(names) if m}
 SEASONS = {"spring": 3, "summer": 6, "autumn": 9, "fall": 9, "winter": 12}
 KINDS = {"photo": "photo", "photos": "photo", "picture": "photo", "pictures": "photo", "image": "photo", "images": "photo", "video": "video", "videos": "video", "clip": "video", "clips": "video"}
+YEAR = r"19\d\d|20\d\d|2100"
 FILLER = frozenset("show me find all my the a an of with in on at from to by and or please any some".split())
 
 
@@ -41,6 +42,11 @@ def _month(year: int, month: int) -> tuple[date, date]:
     return date(year, month, 1), date(year, month, calendar.monthrange(year, month)[1])
 
 
+def _last_begun(name: str, today: date) -> int:
+    """The year in which the latest such season began."""
+    return today.year - (date(today.year, SEASONS[name], 1) > today)
+
+
 def _season(name: str, year: int) -> tuple[date, date]:
     first = SEASONS[name]
     end = (year + 1, 2) if first == 12 else (year, first + 2)
@@ -63,14 +69,15 @@ def parse_dates(words: str, today: date) -> tuple[str | None, str | None, str]:
         (r"last month", lambda m: _month(last_month.year, last_month.month)),
         (r"this year", lambda m: (date(today.year, 1, 1), date(today.year, 12, 31))),
         (r"last year", lambda m: (date(today.year - 1, 1, 1), date(today.year - 1, 12, 31))),
-        (rf"(?:(last|this) )?({'|'.join(SEASONS)})(?: ((?:19|20)\d\d))?", lambda m: _season(m[2], int(m[3]) if m[3] else today.year - (m[1] == "last"))),
-        (rf"({'|'.join(MONTHS)})(?: ((?:19|20)\d\d))?", lambda m: _month(int(m[2]) if m[2] else today.year - (MONTHS[m[1]] > today.month), MONTHS[m[1]])),
-        (r"((?:19|20)\d\d|2100)", lambda m: (date(int(m[1]), 1, 1), date(int(m[1]), 12, 31))),
+        (rf"(last|this) ({'|'.join(SEASONS)})", lambda m: _season(m[2], today.year - (m[1] == "last"))),
+        (rf"({'|'.join(SEASONS)})(?: ({YEAR}))?", lambda m: _season(m[1], int(m[2]) if m[2] else _last_begun(m[1], today))),
+        (rf"({'|'.join(MONTHS)})(?: ({YEAR}))?", lambda m: _month(int(m[2]) if m[2] else today.year - (MONTHS[m[1]] > today.month), MONTHS[m[1]])),
+        (rf"({YEAR})", lambda m: (date(int(m[1]), 1, 1), date(int(m[1]), 12, 31))),
     ]
     low = high = None
-    rest, found = words.lower(), []
+    rest, found = " ".join(w.strip(",.") for w in words.lower().split()), []
     for pattern, span in spans:
-        for m in re.finditer(rf"\b(?P<prep>(?:since|after|from|before|until|in|during|on) )?(?P<what>{pattern})\b", rest):
+        for m in re.finditer(rf"(?<!\S)(?P<prep>(?:since|after|from|before|until|in|during|on) )?(?P<what>{pattern})(?!\S)", rest):
             inner = re.fullmatch(pattern, m["what"])
             found.append((m.start(), (m["prep"] or "").strip(), *span(inner)))
             rest = rest[: m.start()] + " " * (m.end() - m.start()) + rest[m.end() :]
@@ -85,21 +92,35 @@ def parse_dates(words: str, today: date) -> tuple[str | None, str | None, str]:
 
 
 def match_people(words: str, people: DataFrame) -> tuple[tuple[int, ...], str]:
-    """Ids of people named in the words (longest phrases of three to one words first) and the other words."""
-    tokens = words.split()
-    phrases = {" ".join(tokens[i : i + n]).lower() for n in (3, 2, 1) for i in range(len(tokens) - n + 1)}
+    """Ids of people (id, name and, where known, face_count) named in the words, and the other words.
+
+    From left to right the longest phrase of up to three words that is a whole name counts;
+    else a word of three letters or more that lies in one person's name only.  People
+    without faces are not looked for; ids come by the length of their phrase.
+    """
+    tokens = words.lower().split()
+    phrases = {" ".join(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)}
     if not phrases:
         return (), words
-    low = F.lower(F.trim("name"))
-    known = {r.key: r.id for r in people.where(low.isin(*phrases)).groupBy(low.alias("key")).agg(F.min("id").alias("id")).collect()}
-    ids, used = [], [False] * len(tokens)
-    for n in (3, 2, 1):
-        for i in range(len(tokens) - n + 1):
-            key = " ".join(tokens[i : i + n]).lower()
-            if key in known and not any(used[i : i + n]):
-                ids.append(known[key])
-                used[i : i + n] = [True] * n
-    return tuple(dict.fromkeys(ids)), " ".join(t for t, u in zip(tokens, used, strict=True) if not u)
+    if "face_count" in people.columns:
+        people = people.where("face_count > 0")
+    low = F.lower("name")
+    whole = people.where(low.isin(*phrases)).groupBy(low.alias("key")).agg(F.min("id").alias("id")).collect()  # a row a phrase
+    known = {r.key: r.id for r in whole}
+    parts = sorted({t for t in tokens if len(t) > 2 and t not in FILLER})
+    if parts:
+        row = people.agg(*(F.count_if(F.contains(low, F.lit(t))).alias(f"n{i}") for i, t in enumerate(parts)), *(F.min(F.when(F.contains(low, F.lit(t)), F.col("id"))).alias(f"i{i}") for i, t in enumerate(parts))).first()
+        known |= {t: row[f"i{i}"] for i, t in enumerate(parts) if row[f"n{i}"] == 1 and t not in known}
+    found, left, i = [], [], 0
+    original = words.split()
+    while i < len(tokens):
+        n = next((n for n in (3, 2, 1) if i + n <= len(tokens) and " ".join(tokens[i : i + n]) in known), 0)
+        if n:
+            found.append((-n, i, known[" ".join(tokens[i : i + n])]))
+        else:
+            left.append(original[i])
+        i += n or 1
+    return tuple(dict.fromkeys(who for *_, who in sorted(found))), " ".join(left)
 
 
 def parse(words: str, today: date, people: DataFrame | None = None) -> HybridQuery:
