@@ -289,7 +289,7 @@ def package_identity(records: DataFrame, media: DataFrame) -> DataFrame:
 
 def sidecar_owner(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     """(sidecar, id): the item whose path is the sidecar's without its last extension, else the least id that has one extension more."""
-    stem = F.regexp_replace("sidecar", r"(?<=[^/])\\.[^./]*$", "")
+    stem = F.regexp_replace("sidecar", r"(?<=[^/])\.[^./]*$", "")
     rows = sidecars.select("sidecar", stem.alias("stem"))
     exact = media.select(F.col("path").alias("stem"), "id").groupBy("stem").agg(F.min("id").alias("_exact"))
     # what precedes any dot of a path may be a stem

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import facets, library, vectors
+from ..operators import facets, library, vectors, windows
 from ..session import table
 
 MEDIA = """media AS (SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'Screenshot_' WHEN 1 THEN 'Capture 7' ELSE 'IMG_' END || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '.PNG' ELSE '.jpg' END AS name,
@@ -20,7 +20,7 @@ MEDIA = """media AS (SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'S
 FACES = """faces AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS media_id, CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey END AS person_id, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 3 END AS track_id,
   CASE WHEN l_quantity <> 7 THEN l_quantity / 50 END AS quality, 0.4 + l_discount * 6 AS detection, CASE WHEN l_tax <> 0 THEN 0.3 + l_tax * 5 END AS similarity,
   CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'R' THEN 'rejected' ELSE 'unreviewed' END AS review_state, (l_linenumber = 5)::INT AS manual, CASE WHEN l_linenumber = 7 THEN 'x' END AS deleted_at,
-  l_quantity AS w, l_quantity + 3 AS h FROM lineitem)"""
+  l_quantity AS w, l_quantity + 3 AS h FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_partkey, l_suppkey) = 1)"""
 EDITS = "edits AS (SELECT c_custkey AS media_id, c_custkey % 6 AS rating, CASE c_custkey % 3 WHEN 0 THEN 'Red' WHEN 1 THEN 'GREEN' END AS label, CASE c_custkey % 4 WHEN 0 THEN 'pick' WHEN 1 THEN 'reject' END AS flag FROM customer)"
 PEOPLE = "people AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN ' ' END AS name FROM supplier)"
 MEMBERS = "members AS (SELECT o_orderkey AS media_id, o_custkey AS event_id, (o_orderkey % 3 = 0)::INT AS locked FROM orders)"
@@ -51,7 +51,7 @@ def media(spark, sf):
 
 
 def faces(spark, sf):
-    li, n = table(spark, sf, "lineitem"), F.col("l_linenumber")
+    li, n = windows.top_n(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], [F.asc("l_extendedprice"), F.asc("l_partkey"), F.asc("l_suppkey")]), F.col("l_linenumber")
     q = F.col("l_quantity")
     return li.select(
         (F.col("l_orderkey") * 10 + n).alias("id"), F.col("l_orderkey").alias("media_id"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey")).alias("person_id"), F.when(n % 2 == 0, F.col("l_partkey") % 3).alias("track_id"),
@@ -449,7 +449,7 @@ QUERIES = {
     "q_album_remove": (q_album_remove, _with(ALBUM) + "SELECT * FROM album WHERE album_id <> 7 OR media_id % 2 <> 0"),
     "q_album_covers": (q_album_covers, _with(ALBUM, "a AS (SELECT album_id, CASE album_id % 3 WHEN 0 THEN min(media_id) + 1 WHEN 1 THEN min(media_id) END AS c, min(media_id) AS f FROM album GROUP BY 1)") + "SELECT album_id, CASE WHEN (album_id, c) IN (SELECT (album_id, media_id) FROM album) THEN c ELSE f END AS cover_media_id FROM a"),
     "q_event_merge": (q_event_merge, _with(MEMBERS) + "SELECT media_id, CASE WHEN event_id IN (4, 7, 8) THEN 4 ELSE event_id END AS event_id, CASE WHEN event_id IN (4, 7, 8) THEN 1 ELSE locked END AS locked FROM members"),
-    "q_event_split": (q_event_split, _with(MEDIA, MEMBERS, "t AS (SELECT m.*, coalesce(captured_at, indexed_at) AS at FROM members m JOIN media ON id = media_id)", "s AS (SELECT at, media_id FROM t WHERE event_id = 7 ORDER BY media_id DESC LIMIT 1)") + "SELECT media_id, CASE WHEN event_id = 7 AND (at, media_id) >= (SELECT (at, media_id) FROM s) THEN 1000000 ELSE event_id END AS event_id, CASE WHEN event_id = 7 THEN 1 ELSE locked END AS locked FROM t"),
+    "q_event_split": (q_event_split, _with(MEDIA, MEMBERS, "t AS (SELECT m.*, coalesce(captured_at, indexed_at) AS seen FROM members m JOIN media ON id = media_id)", "s AS (SELECT seen, media_id FROM t WHERE event_id = 7 ORDER BY media_id DESC LIMIT 1)") + "SELECT media_id, CASE WHEN event_id = 7 AND (seen, media_id) >= (SELECT (seen, media_id) FROM s) THEN 1000000 ELSE event_id END AS event_id, CASE WHEN event_id = 7 THEN 1 ELSE locked END AS locked FROM t"),
     "q_event_move": (q_event_move, _with(MEMBERS) + "SELECT media_id, CASE WHEN media_id % 50 = 0 THEN 7 ELSE event_id END AS event_id, CASE WHEN media_id % 50 = 0 OR event_id = 7 OR event_id IN (SELECT event_id FROM members WHERE media_id % 50 = 0) THEN 1 ELSE locked END AS locked FROM members"),
     "q_detection_window": (q_detection_window, _with(MEDIA, "e AS (SELECT o_custkey AS id, min(o_orderdate) AS start_at, max(o_orderdate) AS end_at FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)", "s AS (SELECT min(coalesce(captured_at, indexed_at)) - INTERVAL 48 HOURS AS lo, max(coalesce(captured_at, indexed_at)) + INTERVAL 48 HOURS AS hi FROM media WHERE id > (SELECT max(id) - 3 FROM media) AND deleted_at IS NULL HAVING count(*) > 0)") + "SELECT strftime(least(lo, (SELECT min(start_at) FROM e WHERE end_at >= lo AND start_at <= hi)), '%Y-%m-%d %H:%M:%S') AS lo, strftime(greatest(hi, (SELECT max(end_at) FROM e WHERE end_at >= lo AND start_at <= hi)), '%Y-%m-%d %H:%M:%S') AS hi FROM s"),
     "q_stable_ids": (q_stable_ids, None),
