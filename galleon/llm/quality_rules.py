@@ -42,7 +42,6 @@ KINDS: dict[str, tuple[str, ...]] = {
 SHARE, ON_GOOD, KNOWN, UNKNOWN = 0.85, 0.97, 0.2, 0.9
 #: So many documents, and votes of each rule on each class, does the start count for.
 WEIGHT = 2.0
-SPACE = " \t\n\x0b\x0c\r"
 #: name -> (bad if, good if); neither: the rule abstains
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words < 12", "n_words >= 40"),
@@ -63,7 +62,8 @@ STRETCH = 400
 PLAIN = r"(?:^|[ \t\n\x0b\f\r])[(\[\"'«“‘¿¡]*+\p{L}++(?:['’-]\p{L}++)*+[.,;:!?…)\]\"'»”’]*+(?=[ \t\n\x0b\f\r]|\z)"
 #: A word of two letters or more, all of them A-Z.
 CAPS = r"(?<![^ \t\n\x0b\f\r])[A-Z]{2,}+(?!\p{L})"
-END = ".!?:;…\"'”’»)。"
+#: A line's end after a mark that ends sentences.
+ENDED = r"[.!?:;\u2026\"'\u201d\u2019\u00bb)\u3002][\x20\x09\x0B-\x0D]*+(?=\n|\z)"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OTHER = ("n_lines", "n_upper", "n_distinct", "n_plain", "n_echoes", "n_ended", "n_caps")
 
@@ -79,7 +79,7 @@ def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     p = prefix
     c = lambda name: F.col(p + name)
     df = docs.withColumn(p + "body", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    df = df.withColumn(p + "w", F.array_remove(F.split(F.translate(p + "body", SPACE, " " * len(SPACE)), " "), ""))
+    df = df.withColumn(p + "w", F.array_remove(F.split(c("body"), "[\\x20\\x09-\\x0D]++"), ""))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c("w"))), F.lit(STRETCH))
     df = df.withColumns({
         p + "n_words": F.size(c("w")).cast("long"),
@@ -89,7 +89,8 @@ def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
         p + "n_upper": F.regexp_count(c("body"), F.lit("[A-Z]")).cast("long"),
         p + "n_caps": F.regexp_count(c("body"), F.lit(CAPS)).cast("long"),
         p + "n_plain": F.regexp_count(c("body"), F.lit(PLAIN)).cast("long"),
-        p + "l": F.filter(F.split(c("body"), "\n"), lambda x: F.translate(x, SPACE, "") != ""),
+        p + "n_ended": F.regexp_count(c("body"), F.lit(ENDED)).cast("long"),
+        p + "l": F.filter(F.split(c("body"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
         p + "x": F.transform(c("w"), lambda x: F.xxhash64(x)),
     })
     df = df.withColumn(p + "h", F.when(
@@ -98,7 +99,6 @@ def counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFram
     ))
     df = df.withColumns({
         p + "n_lines": F.size(c("l")).cast("long"),
-        p + "n_ended": F.size(F.filter(c("l"), lambda x: F.substring(F.rtrim(F.translate(x, SPACE, " " * len(SPACE))), -1, 1).isin(*END))).cast("long"),
         p + "n_echoes": F.size(F.filter(c("x"), lambda x, i: x == F.get(c("x"), i - 1))).cast("long"),
         p + "n_dup_lines": (F.size(c("l")) - F.size(F.array_distinct(c("l")))).cast("long"),
         p + "s": F.when(
