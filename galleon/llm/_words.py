@@ -189,16 +189,6 @@ def rehash(t: Texts, w: Words, lower: bool = False, key: int = 1) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def distinct(t: Texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, the number of each word's own, and where each text's words begin; by bytes, without hashes of ours."""
-    start, end = spans(t.data, t.offsets[:-1])
-    mask = INWORD[t.data] if len(t.data) else np.zeros(0, bool)
-    ends = np.concatenate(([0], np.cumsum(end - start)))
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(t.data[mask]))])
-    found = column.dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(start, t.offsets)
-
-
 def order2(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the pairs (h, g), stable, and where runs of equal pairs begin in it."""
     order = np.argsort(h, kind="stable")

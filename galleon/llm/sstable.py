@@ -17,7 +17,7 @@ Writing ranges rows over shards by key, sorts within shards, and streams; only o
 block is held.  Each task writes under a name of its own, and the manifest (written
 last) names the files of the tasks that counted, so a lost executor leaves no harm.
 Words are encoded once a worker: the tokenizer drops white space, so a text's ids are
-those of its words in order; the cache of words, by their bytes, is bounded.
+those of its words in order; the cache of words, which compares their bytes, is bounded.
 
 Defined cases: null and empty texts have the end id alone; null ids come last; rows that
 repeat an id are all kept; an empty table gives no shard; other columns are not read.
@@ -46,7 +46,8 @@ MAGIC = b"GSSTABL1"
 FOOTER = struct.Struct("<QQQQIIQQ8s")
 BLOCK = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
-CACHE_WORDS, CACHE_BYTES, AT_ONCE = 500_000, 32 << 20, 1000
+CACHE_WORDS, CACHE_BYTES, AT_ONCE = 2_000_000, 64 << 20, 1000
+KEY = W.new_key()  # of this process
 
 
 class Encoder:
@@ -62,36 +63,88 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.bytes = 0
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, self.kind)
+        self.runs: list[Words] = []
+        self.bytes, self.pool = np.zeros(0, np.uint8), np.zeros(0, self.kind)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has."""
         ids = []
         for i in range(0, len(words), AT_ONCE):  # an encoding holds far more than its ids
             some = [w.decode("utf-8", "replace") for w in words[i : i + AT_ONCE]]
             ids += [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), self.kind, int(count.sum()))
-        self.known.update(zip(words, range(len(self.count), len(self.count) + len(words)), strict=True))
-        self.bytes += sum(map(len, words))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.pool = np.concatenate([self.pool, flat])
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter((i for x in ids for i in x), self.kind, int(count.sum())), count
+
+    def _known(self, u: np.ndarray, x: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of ids of known words: the hash finds a word, its bytes decide."""
+        place, count = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
+        for run in self.runs:
+            at = np.minimum(np.searchsorted(run.hash, u), len(run.hash) - 1)
+            hit = np.flatnonzero((run.hash[at] == u) & (run.size[at] == size))
+            at = at[hit]
+            hit_ok = equal_ranges(x, start[hit], self.bytes, run.word[at].astype(np.int64), size[hit])
+            place[hit[hit_ok]], count[hit[hit_ok]] = run.place[at[hit_ok]], run.count[at[hit_ok]]
+        return place, count
+
+    def _learn(self, u: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words and keeps them; their places and numbers of ids."""
+        ids, count = self._encoded(words)
+        place = len(self.pool) + np.cumsum(count) - count
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        word = len(self.bytes) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, ids])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+        self.runs.append(Words(u, word.astype(np.int32), size, place.astype(np.int32), count))
+        if len(self.runs) > 8:
+            whole = Words(*(np.concatenate(c) for c in zip(*self.runs, strict=True)))
+            order = np.argsort(whole.hash, kind="stable")
+            self.runs = [Words(*(c[order] for c in whole))]
+        return place, count
 
     def encode(self, t: W.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
-        words, kind, first = W.distinct(t)
-        if len(self.known) + len(words) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+        w = W.words(t, key=KEY)
+        size = w.end - w.start
+        u, at, kind = np.unique(w.hash, return_index=True, return_inverse=True)
+        if sum(len(r.hash) for r in self.runs) + len(u) > CACHE_WORDS or max(len(self.bytes), len(self.pool)) + len(t.data) > CACHE_BYTES:
             self.forget()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[kind]
-        n = self.count[at]
+        place, count = self._known(u, t.data, w.start[at], size[at])
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new], count[new] = self._learn(u[new], [t.data[w.start[i] : w.end[i]].tobytes() for i in at[new]])
+        place, n = place[kind], count[kind]
+        head = at[kind]
+        same = np.zeros(len(size), bool)
+        fits = np.flatnonzero(size == size[head])
+        same[fits] = equal_ranges(t.data, w.start[fits], t.data, w.start[head[fits]], size[fits])
+        pool, odd = self.pool, np.flatnonzero(~same)
+        if len(odd):  # words whose hash another word has
+            ids, n[odd] = self._encoded([t.data[w.start[i] : w.end[i]].tobytes() for i in odd])
+            place[odd] = len(pool) + np.cumsum(n[odd]) - n[odd]
+            pool = np.concatenate([pool, ids])
         ends = np.concatenate(([0], np.cumsum(n)))
-        flat = self.pool[np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], n)]
-        return flat, ends[first]
+        flat = pool[np.arange(ends[-1]) + np.repeat(place - ends[:-1], n)]
+        return flat, ends[w.first]
+
+
+class Words(NamedTuple):
+    """Known words by hash: where their bytes lie and how many, where their ids lie and how many."""
+
+    hash: np.ndarray
+    word: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+
+
+def equal_ranges(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mask of the pairs of ranges, ``x`` at ``a`` and ``y`` at ``b``, with the same bytes; no size is 0."""
+    if not len(size):
+        return np.zeros(0, bool)
+    ends = np.cumsum(size)
+    step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    differ = x[step + np.repeat(a, size)] != y[step + np.repeat(b, size)]
+    return ~np.logical_or.reduceat(differ, ends - size)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -73,3 +73,17 @@ def test_many_blocks_and_small_cache(tmp_path, monkeypatch):
     w.close()
     s = op.Shard(f"file://{tmp_path}/s")
     assert len(s.index) > 3 and [len(x) for x in s.get(1234 * 2)] == [1234 % 200] and s.get(3) == []
+
+
+def test_bytes_decide_where_hashes_collide(monkeypatch):
+    """Words that share a hash, in one slice and with cached ones, keep ids of their own."""
+    import pyarrow as pa
+
+    whole_hash = W._hash
+    monkeypatch.setattr(W, "_hash", lambda *a: whole_hash(*a) % np.uint64(5))
+    enc = op.Encoder(PATH)
+    for seed in range(3):
+        texts = [t for _, t in documents(seed, n=15)] + ODD
+        flat, first = enc.encode(W.texts(pa.array(texts, pa.string())))
+        for i, t in enumerate(texts):
+            assert list(flat[first[i] : first[i + 1]]) + [2] == whole(t)
