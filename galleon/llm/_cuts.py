@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set."""
+    """The checkpoint folder that the session names.  Where none is set: a temporary one in local
+    mode, a folder of the warehouse, which all executors share, on a cluster."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="galleon-"))
+        own = tempfile.mkdtemp(prefix="galleon-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/galleon-cuts"
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own)
     return sc.getCheckpointDir()
 
 
