@@ -51,7 +51,12 @@ def adaptive_samples(frames: DataFrame, interval: float, by: str = "media_id") -
 
 
 def _matrix(column: pd.Series, width: int = 0) -> np.ndarray:
-    return np.array(column.tolist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, width))
+    """Lists of one length as rows; null is a row of zeros."""
+    have = column.notna().to_numpy()
+    some = np.array(column[have].tolist(), float).reshape(have.sum(), -1) if have.any() else np.zeros((0, width))
+    out = np.zeros((len(column), some.shape[1]))
+    out[have] = some
+    return out
 
 
 def redetections(old: DataFrame, new: DataFrame, threshold: float, by: str = "media_id", near: float = 0.001, overlap: float = 0.55) -> DataFrame:
@@ -69,7 +74,7 @@ def redetections(old: DataFrame, new: DataFrame, threshold: float, by: str = "me
         out = []
         if len(b):
             shared, alike = overlaps(_matrix(b["bbox"], 4), _matrix(a["bbox"], 4)), np.zeros((len(b), len(a)))
-            if len(a):
+            if len(a) and b["embedding"].notna().any() and a["embedding"].notna().any():
                 alike = _matrix(b["embedding"]) @ _matrix(a["embedding"]).T
             ta, tb = a["timestamp"].to_numpy(float), b["timestamp"].to_numpy(float)
             same = (np.abs(tb[:, None] - ta[None, :]) <= near) | (np.isnan(tb)[:, None] & np.isnan(ta)[None, :])

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import windows
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder (a temporary one only where none is set)."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="galleon-"))
+    """A reliable checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): least id reachable, by minimum labels with pointer jumping."""
+    """(id, component): least id reachable, by minimum labels with pointer jumping.
+
+    The training-data subpackage has the same algorithm of its own, as either part must work without the other.
+    """
     pair = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
     pair = cut(pair.union(pair.select("dst", "src")).distinct())
     label = cut(pair.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))

@@ -11,12 +11,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cells of similarity between 0 and 1.
+CELLS = 1000
+
+
 def sweep(pairs: DataFrame, low: float = 0.3, high: float = 0.8, beta: float = 0.5) -> DataFrame:
     """(t, precision, recall, f) at every distinct similarity within the range; equal similarities count together."""
-    by = pairs.groupBy(F.col("similarity").alias("t")).agg(F.sum("correct").alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct similarity
+    by = pairs.groupBy(F.col("similarity").alias("t")).agg(F.sum("correct").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor(F.col("t") * CELLS))
+    # running sums over cells of similarity, then within each cell: no window holds all rows
+    cells = by.groupBy("cell").agg(F.sum("pos").alias("p"), F.sum("n").alias("c"))
+    before = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * CELLS + 1 rows
+    cells = cells.select("cell", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"))
+    w = Window.partitionBy("cell").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    by = by.join(F.broadcast(cells), "cell").select("t", (F.col("p") + F.sum("pos").over(w)).alias("tp"), (F.col("c") + F.sum("n").over(w)).alias("said"))
     total = pairs.agg(F.sum("correct")).scalar()
-    c = by.select("t", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("said"))
+    c = by
     p, r, b = F.col("tp") / F.col("said"), F.col("tp") / total, beta * beta
     f = F.when(F.col("tp") > 0, (1 + b) * p * r / (b * p + r)).otherwise(0.0)
     return c.where(F.col("t").between(low, high)).select("t", p.alias("precision"), r.alias("recall"), f.alias("f"))

@@ -61,12 +61,6 @@ def q_best_per_label(spark, sf):
     return e.groupBy("label").agg(F.round(F.max("s"), 6).alias("similarity"), F.count(F.lit(1)).alias("n"))
 
 
-def q_knn_join(spark, sf):
-    e = table(spark, sf, "embeddings")
-    k = vectors.top_k_join(e.where("vec_id < 100"), e, 5)
-    return k.select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
-
-
 def q_knn_join_all(spark, sf):
     """The five nearest others of every vector."""
     e = table(spark, sf, "embeddings")
@@ -82,11 +76,6 @@ def q_near_groups(spark, sf):
     return graph.near_groups(vectors.similarity_join(table(spark, sf, "embeddings"), 0.42))
 
 
-def q_components(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_quantity >= 49 and l_partkey % 3 = 0").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b"))
-    return graph.components(e)
-
-
 def q_components_all(spark, sf):
     """Components of orders and suppliers (as negative ids, which no order has) over all line items."""
     return graph.components(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
@@ -198,13 +187,6 @@ def q_scan_diff(spark, sf):
     return changes.scan_diff(known, files, "o_orderkey", ["o_totalprice", "o_orderstatus"])
 
 
-def q_cdc_latest(spark, sf):
-    e = table(spark, sf, "events")
-    journal = e.where("event_id % 2 = 0").select(F.col("user_id").alias("key"), F.col("value").alias("v"), F.col("event_id").alias("seq"), "event_type")
-    base = table(spark, sf, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
-    return changes.apply_changes(base, journal, "key", "seq", F.col("event_type") == "purchase")
-
-
 def q_cdc_latest_all(spark, sf):
     journal = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value").alias("v"), F.col("event_id").alias("seq"), "event_type")
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
@@ -270,11 +252,6 @@ def q_label_max(spark, sf):
     return e.groupBy("user_id").agg(F.max("value").alias("score"))
 
 
-def q_people_in_selection(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 2000")
-    return li.groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("media"), F.min("l_partkey").alias("face"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("kinds"))
-
-
 def q_people_in_selection_all(spark, sf):
     """The selection is the orders with a returned line: it grows with the table."""
     li = table(spark, sf, "lineitem")
@@ -317,11 +294,9 @@ QUERIES = {
     "q_knn_exact": (q_knn_exact, f"SELECT a.vec_id, round({DOT}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 ORDER BY {DOT} DESC, a.vec_id LIMIT 20"),
     "q_knn_filtered": (q_knn_filtered, f"SELECT a.vec_id, a.label, round({DOT}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 AND a.label IN (1, 4, 7) ORDER BY {DOT} DESC, a.vec_id LIMIT 20"),
     "q_best_per_label": (q_best_per_label, f"SELECT a.label, round(max({DOT}), 6) AS similarity, count(*) AS n FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 GROUP BY 1"),
-    "q_knn_join": (q_knn_join, f"SELECT a, b, rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < 100 AND a.vec_id <> b.vec_id)) WHERE rank <= 5"),
     "q_knn_join_all": (q_knn_join_all, None),
     "q_similarity_join": (q_similarity_join, f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {DOT} >= {SIM}"),
     "q_near_groups": (q_near_groups, f"WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {DOT} >= 0.42), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS node FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node), c AS (SELECT id, min(node) AS component FROM r GROUP BY 1) SELECT 'near-' || x.component AS key, x.size, y.similarity FROM (SELECT component, count(*) AS size FROM c GROUP BY 1) x JOIN (SELECT component, round(max(s), 6) AS similarity FROM p JOIN c ON p.a = c.id GROUP BY 1) y USING (component)"),
-    "q_components": (q_components, "WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 3 = 0), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS node FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node) SELECT id, min(node) AS component FROM r GROUP BY 1"),
     "q_components_all": (q_components_all, None),
     "q_centroids": (q_centroids, "WITH u AS (SELECT label, greatest(0.15, (vec_id % 10) / 10.0) AS w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), s AS (SELECT label, pos, sum(w * x) AS wx, sum(x) AS x, count(*) AS n FROM u GROUP BY 1, 2), g AS (SELECT label, max(n) AS members, list(wx ORDER BY pos) AS c, list(x ORDER BY pos) AS p, sqrt(sum(wx * wx)) AS len FROM s GROUP BY 1) SELECT label, members, list_transform(c, lambda v: round(v / len, 5)) AS centroid, round(greatest(0, 1 - list_dot_product(c, p) / len / members), 5) AS variance FROM g"),
     "q_unit_vectors": (q_unit_vectors, "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, len(embedding) AS dim FROM embeddings"),
@@ -337,9 +312,8 @@ QUERIES = {
     "q_iou": (q_iou, "WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 50)::DOUBLE AS x, (l_suppkey % 50)::DOUBLE AS y, l_quantity AS w, l_quantity + 3 AS h FROM lineitem), j AS (SELECT a.l_orderkey, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS t FROM b a JOIN b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2) SELECT l_orderkey, round(i / (t - i), 6) AS iou FROM j"),
     "q_display_name": (q_display_name, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_name WHEN c_custkey % 5 <> 0 THEN 'Person ' || c_custkey ELSE 'Unknown' END AS name FROM customer"),
     "q_fts_tokens": (q_fts_tokens, r"SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '([\w'']+)', 1), lambda x: len(x) > 2)[1:8], ' ') AS tokens FROM benchmark"),
-    "q_tags": (q_tags, None),
+    "q_tags": (q_tags, "SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:8], ',') AS tags FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '([a-z]{3,})', 1), lambda x: x NOT IN ('the', 'and', 'for')) AS w FROM benchmark)"),
     "q_scan_diff": (q_scan_diff, "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'new' WHEN o_orderkey % 10 = 7 THEN 'gone' WHEN o_orderkey % 4 = 1 THEN 'changed' ELSE 'same' END AS change FROM orders"),
-    "q_cdc_latest": (q_cdc_latest, "WITH l AS (SELECT user_id AS key, value AS v, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 2 = 0) WHERE r = 1) SELECT c_custkey AS key, c_acctbal AS v FROM customer WHERE c_custkey <= 200 AND c_custkey NOT IN (SELECT key FROM l) UNION ALL SELECT key, v FROM l WHERE event_type <> 'purchase'"),
     "q_cdc_latest_all": (q_cdc_latest_all, "WITH l AS (SELECT user_id AS key, value AS v, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) SELECT c_custkey AS key, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT key FROM l) UNION ALL SELECT key, v FROM l WHERE event_type <> 'purchase'"),
     "q_audit_state": (q_audit_state, "SELECT user_id, arg_max(event_type, event_id) AS action, count(*) AS entries FROM events GROUP BY 1"),
     "q_merge_keep_both": (_merge("keep_both"), MERGE + "SELECT *, 'mine' AS origin FROM m UNION ALL SELECT *, 'theirs' FROM t"),
@@ -353,7 +327,6 @@ QUERIES = {
     "q_recover": (q_recover, "SELECT status, attempts, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 <> 0 THEN 'done' WHEN event_id % 4 + 1 >= 3 THEN 'failed' ELSE 'queued' END AS status, event_id % 4 + (event_id % 3 = 0)::INT AS attempts FROM events) GROUP BY 1, 2"),
     "q_memories": (q_memories, "SELECT strftime(o_orderdate, '%m-%d') AS md, count(*) AS n, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) >= 2"),
     "q_label_max": (q_label_max, "SELECT user_id, max(value) AS score FROM events WHERE event_type IN ('view', 'click') GROUP BY 1"),
-    "q_people_in_selection": (q_people_in_selection, "SELECT l_suppkey, count(DISTINCT l_orderkey) AS media, min(l_partkey) AS face, array_to_string(list_sort(list(DISTINCT l_returnflag)), '') AS kinds FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1"),
     "q_people_in_selection_all": (q_people_in_selection_all, "SELECT l_suppkey, count(DISTINCT l_orderkey) AS media, min(l_partkey) AS face, array_to_string(list_sort(list(DISTINCT l_returnflag)), '') AS kinds FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1"),
     "q_median_centre": (q_median_centre, "SELECT user_id, round(median(value), 6) AS lat, round(median(event_id % 360), 6) AS lon FROM events GROUP BY 1"),
 }

@@ -199,11 +199,6 @@ def coverage(spark, sf):
     return d.join(la, "doc_id", "left").groupBy("lang").agg(F.count("has").alias("filled"), F.count(F.lit(1)).alias("total"), F.round(F.count("has") / F.count(F.lit(1)), 6).alias("coverage"))
 
 
-def signature(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id <= 700")
-    return d.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum("n_chars").cast("string")).alias("signature"))
-
-
 def signature_all(spark, sf):
     """The watermark is the greatest id of the table."""
     d = table(spark, sf, "documents")
@@ -317,7 +312,6 @@ QUERIES = {
     "q_impostor_quantile": (impostor_quantile, "SELECT event_type, round(quantile_cont(value, 0.99), 6) AS q99, count(value) AS n FROM events GROUP BY 1"),
     "q_confusion": (confusion, "WITH c AS (SELECT count(*) FILTER (p = 1 AND y = 1) AS tp, count(*) FILTER (p = 1 AND y = 0) AS fp, count(*) FILTER (p = 0 AND y = 1) AS fn FROM (SELECT (n_chars >= 800)::INT AS p, quality AS y FROM documents JOIN labels USING (doc_id))), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS a, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS b FROM c) SELECT tp, fp, fn, round(a, 6) AS precision, round(b, 6) AS recall, round(1.25 * a * b / (0.25 * a + b), 6) AS f_half FROM r"),
     "q_coverage": (coverage, "SELECT lang, count(l.doc_id) AS filled, count(*) AS total, round(count(l.doc_id) / count(*), 6) AS coverage FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang"),
-    "q_signature": (signature, "SELECT count(*) || ':' || sum(n_chars)::BIGINT AS signature FROM documents WHERE doc_id <= 700"),
     "q_signature_all": (signature_all, "SELECT count(*) || ':' || sum(n_chars)::BIGINT AS signature FROM documents WHERE doc_id <= (SELECT max(doc_id) FROM documents)"),
     "q_top_kinds": (top_kinds, "SELECT user_id, event_type, n, rank FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY 1, 2) WHERE rank <= 3"),
     "q_scan_stats": (scan_stats, "SELECT source, count(*) AS files, count(*) FILTER (n_chars > 2000) AS changed, round(sum(n_chars) / 1e6, 6) AS mb FROM documents GROUP BY 1"),

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import events, graph, sequences
-from ..session import table
+from ..operators import ann, crops, events, sequences, vectors
+from ..session import shared_folder, table
 from ..sources import files
 from ..streaming import incremental
+from .analytics import DOT
 
 
 def _items(spark, sf):
@@ -63,8 +63,7 @@ def q_export_names(spark, sf):
 
 
 def _scratch(spark) -> str:
-    graph.cut(spark.range(1))  # names the shared folder where the session has none
-    return f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def q_stream_windows(spark, sf):
@@ -84,8 +83,47 @@ def q_stream_journal(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value").alias("v"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("deleted"))
     e.write.parquet(f"{at}/in")
     s = spark.readStream.schema(e.schema).parquet(f"{at}/in")
-    incremental.apply_journal(s, base, f"{at}/table", f"{at}/cp", "key", "seq").awaitTermination()
-    return spark.read.parquet(f"{at}/table/v000000000")
+    incremental.apply_journal_buckets(s, base, f"{at}/table", f"{at}/cp", "key", "seq").awaitTermination()
+    return incremental.read_buckets(spark, f"{at}/table", base.columns)
+
+
+def q_ann(spark, sf):
+    """Neighbours of every 20th vector from inverted lists, at a recall of 0.95 on a sample of the queries."""
+    e = table(spark, sf, "embeddings")
+    queries, index = e.where("vec_id % 20 = 0"), ann.build(e)
+    found = ann.search(index, queries, 10, ann.tune(index, queries, e, 10))
+    return found.select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+def q_join_in_lists(spark, sf):
+    p = ann.similarity_join(table(spark, sf, "embeddings"), 0.42)
+    return p.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def q_keyframes(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("media_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e9).alias("t"), (F.col("value") / 100).alias("scene"))
+    return crops.keyframes(e).groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_redetections(spark, sf):
+    d = _detections(spark, sf).select("media_id", "id", F.col("ts").alias("timestamp"), "bbox", vectors.unit(F.col("vec")).alias("embedding"))
+    found = crops.redetections(d.where("id % 2 = 0"), d.where("id % 2 = 1"), 0.5)
+    return found.groupBy("media_id").agg(F.count("old_id").alias("known"), F.count(F.lit(1)).alias("n"))
+
+
+def q_auto_identity(spark, sf):
+    """Vectors of one label stand for the crops of ten people each."""
+    e = table(spark, sf, "embeddings")
+    person = (F.col("label") * 10 + F.col("vec_id") % 10).cast("long")
+    c = e.select(person.alias("person_id"), F.col("vec_id").alias("face_id"), F.col("vec_id").alias("media_id"), F.lit(None).cast("double").alias("timestamp"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(40.0).alias("size"), "embedding", (0.4 + F.col("vec_id") % 50 / 100).alias("quality"))
+    p = c.groupBy(F.col("person_id").alias("id")).agg(F.count(F.lit(1)).alias("face_count")).withColumn("name", F.lit(None).cast("string"))
+    none = p.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return crops.auto_identity(c, p, c.select("person_id", "media_id", "timestamp"), none, floors=(0.42, 0.3, 0.1))
+
+
+def q_distinct_crops(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("person_id"), F.col("vec_id").alias("face_id"), vectors.unit(F.col("embedding")).alias("embedding"), (F.col("vec_id") % 10 / 10).alias("quality"))
+    return crops.distinct_crops(e, 32, 0.3)
 
 
 QUERIES = {
@@ -95,6 +133,12 @@ QUERIES = {
     "q_suppress": (q_suppress, None),
     "q_mmr": (q_mmr, None),
     "q_timeline_sections": (q_timeline_sections, None),
+    "q_ann": (q_ann, None),
+    "q_join_in_lists": (q_join_in_lists, "SELECT a.vec_id AS a, b.vec_id AS b, round(" + DOT + ", 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND " + DOT + " >= 0.42"),
+    "q_keyframes": (q_keyframes, None),
+    "q_redetections": (q_redetections, None),
+    "q_auto_identity": (q_auto_identity, None),
+    "q_distinct_crops": (q_distinct_crops, None),
     "q_export_names": (q_export_names, "SELECT doc_id, lang || '/' || source || '/IMG_' || (doc_id % 9) || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END || '.jpg' AS path FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, doc_id % 9 ORDER BY doc_id) AS r FROM documents)"),
     "q_stream_windows": (q_stream_windows, "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "q_stream_journal": (q_stream_journal, "WITH l AS (SELECT user_id AS key, value AS v, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) SELECT c_custkey AS key, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT key FROM l) UNION ALL SELECT key, v FROM l WHERE event_type <> 'purchase'"),

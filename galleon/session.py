@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,16 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names.  Where none is set: a temporary one in local
+    mode, a folder of the warehouse, which all executors share, on a cluster."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        own = tempfile.mkdtemp(prefix="galleon-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/galleon-cuts"
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own)
+    return sc.getCheckpointDir()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

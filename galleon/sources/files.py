@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ def nearest_place(points: DataFrame, cities: DataFrame, key: str, max_km: float
     from ..functions.scalars import haversine_km
 
     cell = lambda c: F.floor(c * 2)
+    rows = max(1, math.ceil(max_km / 55.0))
     # a degree of longitude shrinks with latitude: widen the search of cells there
-    near = points.select(key, "lat", "lon", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy"), F.least(F.lit(60.0), F.ceil(F.lit(max_km / 55.0) / F.greatest(F.cos(F.radians("lat")), F.lit(0.01)))).cast("int").alias("reach"))
+    near = points.select(key, "lat", "lon", F.explode(F.sequence(F.lit(-rows), F.lit(rows))).alias("dy"), F.least(F.lit(60.0), F.ceil(F.lit(max_km / 55.0) / F.greatest(F.cos(F.radians("lat")), F.lit(0.01)))).cast("int").alias("reach"))
     near = near.select(key, "lat", "lon", (cell(F.col("lat")) + F.col("dy")).alias("cy"), F.explode(F.sequence(-F.col("reach"), F.col("reach"))).alias("dx"))
     near = near.select(key, "lat", "lon", "cy", F.pmod(cell(F.col("lon")) + F.col("dx") + 360, F.lit(720)).alias("cx")).distinct()
     city = cities.select("name", F.col("lat").alias("clat"), F.col("lon").alias("clon"), cell(F.col("lat")).alias("cy"), F.pmod(cell(F.col("lon")) + 360, F.lit(720)).alias("cx"))
