@@ -332,3 +332,58 @@ def test_people_in_words(spark):
     assert who("stone lee") == ((2, 5), "")  # parts of one name each
     assert who("bob") == ((), "bob")  # in two names
     assert who("nobody an") == ((), "nobody an")
+
+
+# --- boxes, sections, evaluation
+
+
+def test_suppression_against_brute_force(spark):
+    r = random.Random(2)
+    rows = [(m, 100 * m + k, [r.uniform(0, 60), r.uniform(0, 60), 30.0, 30.0], round(r.random(), 1), r.random()) for m in (1, 2) for k in range(40)]
+    want = []
+    for m in (1, 2):
+        kept = []
+        for _, i, b, q, d in sorted((x for x in rows if x[0] == m), key=lambda x: (-x[3], -x[4], x[1])):
+            hit = next((k for k in kept if sequences.box_iou(k[1], b) >= 0.6), None)
+            if hit:
+                hit[2] += 1
+            else:
+                kept.append([i, b, 0])
+        want += [(m, i, n) for i, _, n in kept]
+    df = spark.createDataFrame(rows, "media_id long, id long, bbox array<double>, quality double, detection double")
+    assert sorted(map(tuple, sequences.suppress(df, "media_id").collect())) == sorted(want)
+    assert abs(sequences.box_iou([0, 0, 10, 10], [5, 0, 10, 10]) - 1 / 3) < 1e-12 and sequences.box_iou([0, 0, 0, 0], [0, 0, 0, 0]) == 0
+
+
+def test_sections_against_a_fold(spark):
+    r = random.Random(3)
+    rows = sorted({f"2024-{m:02d}-{r.randint(1, 28):02d}" for m in range(1, 9) for _ in range(12)})
+    rows = [(d, r.choice([1, 2, 5, 7, 8, 20])) for d in rows]
+    want = []
+    for month in sorted({d[:7] for d, _ in rows}):
+        open_ = []
+        for d, n in sorted((x for x in rows if x[0][:7] == month), reverse=True):
+            if open_ and open_[-1][2] < 8 and n < 8:
+                last = open_[-1]
+                open_[-1] = (d, last[1], last[2] + n, last[3] + 1)
+            else:
+                open_.append((d, d, n, 1))
+        want += [(month, i + 1, *x) for i, x in enumerate(open_)]
+    df = spark.createDataFrame(rows, "day string, n long")
+    assert sorted(map(tuple, sequences.timeline_sections(df).collect())) == want
+
+
+def test_leave_one_out_against_brute_force(spark):
+    from galleon.operators import vectors
+
+    v = np.random.default_rng(6).normal(size=(60, 5)).astype(np.float32)
+    label = [i % 4 for i in range(60)]
+    df = spark.createDataFrame([(i, label[i], x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<float>")
+    v = v.astype(float)
+    for row in vectors.leave_one_out(df, "label", 0.1).collect():
+        i = row.vec_id
+        to = {c: sum(v[j] for j in range(60) if label[j] == c and j != i) for c in range(4)}
+        cos = {c: s @ v[i] / np.linalg.norm(s) for c, s in to.items()}
+        own, wrong = cos[label[i]], max(x for c, x in cos.items() if c != label[i])
+        assert abs(row.own - own) < 1e-5 and abs(row.wrong - wrong) < 1e-5
+        assert row.outcome == ("tp" if own >= 0.1 and wrong < 0.1 else "fp" if wrong >= 0.1 else "fn")
