@@ -70,3 +70,23 @@ def test_output_holds_every_copy(stages):
     for r in sorted(stages[5], key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+
+
+def test_awkward_rows_go_through(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, ties and a very long text; then a table without rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(40)
+    text = some.where("length(text) > 400").first()["text"]
+    odd = [(None, text, "en", "s", 1), (9001, None, "en", None, None), (9002, "", None, "s", 0), (9003, text, "en", "s", 1), (9003, text, "en", "s", 1), (9003, text + " and more of it", "fr", "t", 2), (9004, (text + " ") * 300, "en", "s", 3)]
+    for name, rows in (("odd", some.union(spark.createDataFrame(odd, docs.schema))), ("none", docs.limit(0))):
+        sf = str(tmp_path / name)
+        rows.write.parquet(f"{sf}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        at = 0
+        for r in sorted(out, key=lambda r: (r["start"], r["n_tokens"])):
+            assert r["start"] == at and r["n_tokens"] >= 1
+            at += r["n_tokens"]
+        assert (len(out) > 20) == (name == "odd")
+        if name == "odd":
+            assert None in {r["doc_id"] for r in out} and not {9001, 9002} & {r["doc_id"] for r in out}
