@@ -266,3 +266,14 @@ def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 def u64(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The rows of a binary column as arrays of unsigned 64-bit integers."""
     return [np.frombuffer(x.as_py() or b"", np.uint64) for x in column]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit integers as their first bytes, then their second ones, ...: sorted or small ones compress well so."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(column: pa.ChunkedArray, kind: type = np.uint64) -> list[np.ndarray]:
+    """The rows of a binary column written by ``planes``."""
+    raw = (np.frombuffer(x.as_py() or b"", np.uint8) for x in column)
+    return [np.ascontiguousarray(x.reshape(8, -1).T).view(kind).ravel() for x in raw]

@@ -85,7 +85,7 @@ def find_anchors(targets: int, window: int, keys: tuple[int, int]):
         start = W.heads(h)
         many = of[start] != of[np.append(start[1:], len(h))[: len(start)] - 1] if len(h) else np.zeros(0, bool)
         h = h[start]
-        rows = [(to, _block(docs), h[x[~many[x]]].tobytes(), h[x[many[x]]].tobytes()) for to, x in _deal(h, targets)]
+        rows = [(to, _block(docs), W.planes(h[x[~many[x]]]), W.planes(h[x[many[x]]])) for to, x in _deal(h, targets)]
         return _table(rows, "_t", "_b", "one", "many")
 
     return run
@@ -93,7 +93,7 @@ def find_anchors(targets: int, window: int, keys: tuple[int, int]):
 
 def shared_anchors(sent: pa.Table) -> pa.Table:
     """Anchors of two documents or more, sent back to each block that has them."""
-    one, many, blocks = W.u64(sent["one"]), W.u64(sent["many"]), sent["_b"].to_pylist()
+    one, many, blocks = W.unplanes(sent["one"]), W.unplanes(sent["many"]), sent["_b"].to_pylist()
     lone = np.concatenate(one)
     u, n = np.unique(lone, return_counts=True) if len(lone) else (lone, np.zeros(0, int))
     twice = np.unique(np.concatenate([u[n > 1], *many]))
@@ -101,7 +101,7 @@ def shared_anchors(sent: pa.Table) -> pa.Table:
     for b, x, y in zip(blocks, one, many, strict=True):
         back = np.concatenate([x[W.member(x, twice)], y])
         if len(back):
-            rows.append((b, back.tobytes()))
+            rows.append((b, W.planes(back)))
     return _table(rows, "_b", "hashes")
 
 
@@ -114,7 +114,7 @@ def find_windows(targets: int, window: int, keys: tuple[int, int]):
         _, ids, t = _read(docs)
         w, second = both(t, keys)
         at, h = anchors(w, window)
-        at = at[W.member(h, np.sort(np.concatenate(W.u64(shared["hashes"]))))]
+        at = at[W.member(h, np.sort(np.concatenate(W.unplanes(shared["hashes"]))))]
         first = np.repeat(w.first[:-1], np.diff(w.first))[at]
         lo, hi = np.maximum(at - p + 1, first), np.minimum(at, w.stop()[at] - window)
         ok = lo <= hi
@@ -123,7 +123,7 @@ def find_windows(targets: int, window: int, keys: tuple[int, int]):
         order, start = W.order2(h, g)
         first = order[start]
         h, g, of = h[first], g[first], of[first]
-        rows = [(to, _block(docs), h[x].tobytes(), g[x].tobytes(), of[x].tobytes()) for to, x in _deal(h, targets)]
+        rows = [(to, _block(docs), W.planes(h[x]), W.planes(g[x]), W.planes(of[x])) for to, x in _deal(h, targets)]
         return _table(rows, "_t", "_b", "hashes", "checks", "ids")
 
     return run
@@ -131,9 +131,9 @@ def find_windows(targets: int, window: int, keys: tuple[int, int]):
 
 def first_windows(sent: pa.Table) -> pa.Table:
     """For each block, the windows that start in an earlier document of another block."""
-    hs, blocks = W.u64(sent["hashes"]), sent["_b"].to_pylist()
-    of = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in sent["ids"]])
-    h, g, row = np.concatenate(hs), np.concatenate(W.u64(sent["checks"])), np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+    hs, blocks = W.unplanes(sent["hashes"]), sent["_b"].to_pylist()
+    of = np.concatenate(W.unplanes(sent["ids"], np.int64))
+    h, g, row = np.concatenate(hs), np.concatenate(W.unplanes(sent["checks"])), np.repeat(np.arange(len(hs)), [len(x) for x in hs])
     order, start = W.order2(h, g)
     h, g, of, row = h[order], g[order], of[order], row[order]
     least = np.repeat(np.minimum.reduceat(of, start), np.diff(np.append(start, len(h)))) if len(h) else of
@@ -141,7 +141,7 @@ def first_windows(sent: pa.Table) -> pa.Table:
     late = late[np.argsort(row[late], kind="stable")]
     at = W.heads(row[late])
     parts = np.split(late, at[1:]) if len(late) else []
-    return _table([(blocks[row[x[0]]], h[x].tobytes(), g[x].tobytes(), least[x].tobytes()) for x in parts], "_b", "hashes", "checks", "ids")
+    return _table([(blocks[row[x[0]]], W.planes(h[x]), W.planes(g[x]), W.planes(least[x])) for x in parts], "_b", "hashes", "checks", "ids")
 
 
 def cut_windows(window: int, keys: tuple[int, int]):
@@ -156,8 +156,8 @@ def cut_windows(window: int, keys: tuple[int, int]):
             first = by[start]
             least = of[first]
             if firsts.num_rows:
-                fh, fg = (np.concatenate(W.u64(firsts[c])) for c in ("hashes", "checks"))
-                fi = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in firsts["ids"]])
+                fh, fg = (np.concatenate(W.unplanes(firsts[c])) for c in ("hashes", "checks"))
+                fi = np.concatenate(W.unplanes(firsts["ids"], np.int64))
                 x = W.find2(h[first], g[first], fh, fg)
                 least[x] = np.minimum(least[x], fi)
             late = np.empty(len(h), bool)

@@ -117,7 +117,7 @@ def find_minimizers(targets: int, length: int, unit: int):
         n = np.diff(np.append(start, len(key)))
         many = (n > 1) | (np.add.reduceat(s.again[order].astype(int), start) > 0) if len(key) else n > 1
         key = key[start]
-        return _table([(to, _block(docs), key[x[~many[x]]].tobytes(), key[x[many[x]]].tobytes()) for to, x in _deal(key, targets)], "_t", "_b", "one", "many")
+        return _table([(to, _block(docs), W.planes(key[x[~many[x]]]), W.planes(key[x[many[x]]])) for to, x in _deal(key, targets)], "_t", "_b", "one", "many")
 
     return run
 
@@ -177,7 +177,7 @@ def find_segments(targets: int, length: int, unit: int):
             return _table([], *names)
         _, ids, t = _read(docs)
         s = segments(t, length, unit)
-        d = _distinct(t, s, np.sort(np.concatenate(W.u64(shared["hashes"]))), targets, length)
+        d = _distinct(t, s, np.sort(np.concatenate(W.unplanes(shared["hashes"]))), targets, length)
         of = np.searchsorted(t.offsets, s.start[d.head], "right") - 1
         place = s.start[d.head] - t.offsets[of]
         rows = []
