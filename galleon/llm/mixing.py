@@ -153,7 +153,7 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, e
             alpha = hi
         amount = spread(alpha)[0]
     else:
-        amount = float(total if budget == "tokens" else budget)
+        amount = float(total if budget in ("tokens", "cover") else budget)
     quota = _cuts.written(plan(table, alpha, amount, budget == "cover").withColumn("sid", F.monotonically_increasing_id()))
     # the last epoch's order of a source: cells, cells of a cell, documents of such a cell
     side = quota.select(F.col("source").alias("s"), "sid", "epochs", "rest")

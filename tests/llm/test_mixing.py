@@ -140,3 +140,10 @@ def test_very_long_and_empty_texts(spark):
     out = op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=1000).collect()
     assert Counter(x.doc_id for x in out) == Counter(i for i, _, _ in rows)
     assert sum(x.mix_tokens for x in out) == sum(len((t or "").split()) for _, t, _ in rows)
+
+
+@pytest.mark.parametrize("budget", ["tokens", "cover", 100])
+def test_nothing_to_mix(spark, budget):
+    df = spark.createDataFrame([(1, None, "s"), (2, "", "t")], "doc_id long, text string, source string")
+    assert {x.doc_id for x in op.mix(df, budget=budget).collect()} == {1, 2}
+    assert op.mix(df.limit(0), budget=budget).collect() == []
