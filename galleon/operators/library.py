@@ -247,6 +247,46 @@ def stable_ids(found: DataFrame, current: DataFrame, events: DataFrame) -> DataF
     return rows.select("scope", "group", F.coalesce("event_id", top + 1 + F.col("_new")).cast("long").alias("event_id"), changed.alias("changed"))
 
 
+# --- edits
+
+
+EDIT = ("rotation", "rating", "label", "flag")
+
+
+def store_edits(edits: DataFrame, new: DataFrame, source: str = "app") -> tuple[DataFrame, DataFrame]:
+    """(edits, history): edits (media_id, version, rotation, rating, label, flag) with new values for some items.
+
+    Only what differs counts: it gets the next version and a line of history (media_id,
+    version, source, before, after), by which ``revert_edits`` takes it back.
+    """
+    now = new.select("media_id", *(F.col(c).alias(f"_{c}") for c in EDIT))
+    rows = now.join(edits, "media_id", "left")
+    differs = F.lit(False)
+    for c in EDIT:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = rows.where(F.col("version").isNull() | differs)
+    before = F.when(F.col("version").isNotNull(), F.struct(*EDIT))
+    history = rows.select("media_id", (F.coalesce("version", F.lit(0)) + 1).cast("long").alias("version"), F.lit(source).alias("source"), before.alias("before"), F.struct(*(F.col(f"_{c}").alias(c) for c in EDIT)).alias("after"))
+    stored = history.select("media_id", "version", *(F.col(f"after.{c}").alias(c) for c in EDIT))
+    return edits.join(stored.select("media_id"), "media_id", "left_anti").select("media_id", F.col("version").cast("long").alias("version"), *EDIT).unionByName(stored), history
+
+
+def revert_edits(edits: DataFrame, history: DataFrame) -> DataFrame:
+    """Edits with a batch of history taken back, as a further version; items edited since stay as they are."""
+    back = history.select("media_id", F.col("version").alias("_version"), "before")
+    rows = edits.join(back, "media_id", "left")
+    hit = F.col("_version") == F.col("version")
+    values = [F.when(hit, F.col(f"before.{c}")).otherwise(F.col(c)).alias(c) for c in EDIT]
+    return rows.select("media_id", (F.col("version") + F.coalesce(hit, F.lit(False)).cast("int")).cast("long").alias("version"), *values)
+
+
+def cluster_samples(faces: DataFrame, n: int = 24) -> DataFrame:
+    """The faces that stand for each person: confirmed first, then quality, detection and the least id, at most ``n``."""
+    live = faces.where("person_id is not null and deleted_at is null and review_state <> 'rejected'")
+    best = [(F.col("review_state") == "confirmed").desc(), F.coalesce("quality", F.lit(0.0)).desc(), F.desc("detection"), F.asc("id")]
+    return windows.top_n(live, ["person_id"], best, n, "place").select("person_id", "id", F.col("place").cast("long").alias("place"))
+
+
 # --- audit, relinking, packages, sidecars
 
 

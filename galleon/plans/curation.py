@@ -416,6 +416,29 @@ def q_output_size(spark, sf):
     return m.select("id", size["width"].cast("long").alias("width"), size["height"].cast("long").alias("height"))
 
 
+def _versions(spark, sf):
+    k = F.col("c_custkey")
+    mine = table(spark, sf, "customer").where(k % 2 == 0).select(k.alias("media_id"), (k % 5 + 1).alias("version"), (k % 4 * 90).alias("rotation"), (k % 6).alias("rating"), _pick(k % 3, {0: "Red"}).alias("label"), F.lit(None).cast("string").alias("flag"))
+    new = table(spark, sf, "customer").where(k % 3 == 0).select(k.alias("media_id"), (k % 4 * 90).alias("rotation"), (k % 5).alias("rating"), F.lit("Red").alias("label"), F.lit(None).cast("string").alias("flag"))
+    return mine, new
+
+
+def q_store_edits(spark, sf):
+    edits, history = library.store_edits(*_versions(spark, sf))
+    done = history.select("media_id", F.col("before.rating").alias("rating_before"), F.lit(1).alias("in_history"))
+    return edits.join(done, "media_id", "left").select("media_id", "version", "rating", "label", "rating_before", "in_history")
+
+
+def q_revert_edits(spark, sf):
+    edits, history = library.store_edits(*_versions(spark, sf))
+    return library.revert_edits(edits, history.where("media_id % 9 = 0")).select("media_id", "version", "rating", "label")
+
+
+def q_cluster_samples(spark, sf):
+    return library.cluster_samples(faces(spark, sf), 5)
+
+
+VERSIONS = "e AS (SELECT c_custkey AS id, c_custkey % 5 + 1 AS v, c_custkey % 6 AS r, CASE WHEN c_custkey % 3 = 0 THEN 'Red' END AS l FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS id, c_custkey % 5 AS r FROM customer WHERE c_custkey % 3 = 0), j AS (SELECT coalesce(e.id, n.id) AS id, e.v, e.r, e.l, n.r AS nr, n.id IS NOT NULL AND (e.id IS NULL OR e.r <> n.r) AS hit FROM e FULL JOIN n ON e.id = n.id)"
 TWICE = "(SELECT key FROM v GROUP BY key HAVING count(*) > 1)"
 STATE = "CASE WHEN deleted_at IS NULL AND id % 3 = 0 AND (review_state <> '{0}' OR manual <> {1} OR {2}) THEN '{0}:{1}' ELSE review_state || ':' || manual END"
 REVIEW = _with(FACES, FEEDBACK, "chosen AS (SELECT * FROM faces WHERE id % 3 = 0 AND deleted_at IS NULL)", "none AS (SELECT id AS face_id, person_id FROM faces WHERE id % 5 = 1 AND person_id IS NOT NULL)")
@@ -455,6 +478,9 @@ QUERIES = {
     "q_stable_ids": (q_stable_ids, None),
     "q_undoable": (q_undoable, "SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN 'undo' WHEN event_id % 4 = 1 AND event_id + 2 IN (SELECT event_id FROM events) THEN 'undone' ELSE 'done' END AS state FROM events"),
     "q_relink_report": (q_relink_report, _with(MEDIA, "s AS (SELECT id FROM media WHERE deleted_at IS NULL AND missing = 0 AND status = 'indexed' ORDER BY (id * 7919) % 1009, id LIMIT 60)") + "SELECT count(*) AS checked, count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0) AS matched, round(100.0 * count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0) / count(*), 1) AS match_percent FROM s"),
+    "q_store_edits": (q_store_edits, _with(VERSIONS) + "SELECT id AS media_id, CASE WHEN hit THEN coalesce(v, 0) + 1 ELSE v END AS version, CASE WHEN hit THEN nr ELSE r END AS rating, CASE WHEN hit THEN 'Red' ELSE l END AS label, CASE WHEN hit THEN r END AS rating_before, CASE WHEN hit THEN 1 END AS in_history FROM j"),
+    "q_revert_edits": (q_revert_edits, _with(VERSIONS) + "SELECT id AS media_id, CASE WHEN hit AND id % 9 = 0 THEN coalesce(v, 0) + 2 WHEN hit THEN coalesce(v, 0) + 1 ELSE v END AS version, CASE WHEN hit AND id % 9 <> 0 THEN nr ELSE r END AS rating, CASE WHEN hit AND id % 9 <> 0 THEN 'Red' ELSE l END AS label FROM j"),
+    "q_cluster_samples": (q_cluster_samples, _with(FACES) + "SELECT person_id, id, place FROM (SELECT person_id, id, row_number() OVER (PARTITION BY person_id ORDER BY review_state = 'confirmed' DESC, coalesce(quality, 0) DESC, detection DESC, id) AS place FROM faces WHERE person_id IS NOT NULL AND deleted_at IS NULL AND review_state <> 'rejected') WHERE place <= 5"),
     "q_package_identity": (q_package_identity, _with(MEDIA, "r AS (SELECT c_custkey AS rec, CASE WHEN c_custkey % 2 = 0 THEN 'h' || c_custkey END AS content_hash, name, size, kind FROM customer JOIN media ON id = c_custkey)") + "SELECT rec, coalesce((SELECT min(id) FROM media m WHERE m.deleted_at IS NULL AND m.content_hash = r.content_hash), (SELECT min(id) FROM media m WHERE m.deleted_at IS NULL AND m.name = r.name AND m.size = r.size AND m.kind = r.kind AND (m.content_hash IS NULL OR r.content_hash IS NULL))) AS id FROM r"),
     "q_sidecar_owner": (q_sidecar_owner, _with(MEDIA) + "SELECT '/a/' || CASE WHEN id % 3 = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END || '.xmp' AS sidecar, id FROM media WHERE id % 5 < 3"),
     "q_review_breakdown": (q_review_breakdown, _with(MEDIA, FACES) + f"SELECT count(*) FILTER (similarity IS NULL) AS new_people, count(*) FILTER (similarity IS NOT NULL) AS low_confidence, count(*) FILTER (coalesce(quality, 0.5) < 0.35) AS low_quality FROM {LIVE} WHERE review_state = 'unreviewed'"),
