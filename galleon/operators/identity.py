@@ -66,3 +66,17 @@ def collisions(faces: DataFrame, tolerance: float = 0.001) -> DataFrame:
     r = l.select("media_id", F.col("a").alias("b"), F.col("ta").alias("tb"))
     ok = F.col("ta").isNull() | F.col("tb").isNull() | (F.abs(F.col("ta") - F.col("tb")) <= tolerance)
     return l.join(r, "media_id").where((F.col("a") < F.col("b")) & ok).select("a", "b").distinct()
+
+
+def tracker_splits(faces: DataFrame, seconds: float = 12.0, sizes: float = 0.6) -> DataFrame:
+    """(a, b): people seen in one video within seconds and at nearly one place, as if tracking had lost them between.
+
+    Faces (person_id, media_id, timestamp, cx, cy, size) meet by video and slot of time.
+    """
+    slot = F.floor(F.col("timestamp") / seconds)
+    l = faces.where("person_id is not null and timestamp is not null").select("media_id", slot.alias("slot"), *(F.col(c).alias(f"{c}_a") for c in ("person_id", "timestamp", "cx", "cy", "size")))  # noqa: E741
+    r = l.select("media_id", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), *(F.col(f"{c}_a").alias(f"{c}_b") for c in ("person_id", "timestamp", "cx", "cy", "size")))
+    gap = F.abs(F.col("timestamp_a") - F.col("timestamp_b"))
+    near = F.hypot(F.col("cx_a") - F.col("cx_b"), F.col("cy_a") - F.col("cy_b")) <= sizes * F.greatest("size_a", "size_b")
+    rows = l.join(r, ["media_id", "slot"]).where((F.col("person_id_a") < F.col("person_id_b")) & (gap > 0) & (gap <= seconds) & near)
+    return rows.select(F.col("person_id_a").alias("a"), F.col("person_id_b").alias("b")).distinct()

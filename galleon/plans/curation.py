@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import facets, library, vectors, windows
+from ..operators import facets, identity, library, vectors, windows
 from ..session import table
 
 MEDIA = """media AS (SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'Screenshot_' WHEN 1 THEN 'Capture 7' ELSE 'IMG_' END || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '.PNG' ELSE '.jpg' END AS name,
@@ -438,6 +438,13 @@ def q_cluster_samples(spark, sf):
     return library.cluster_samples(faces(spark, sf), 5)
 
 
+def q_tracker_splits(spark, sf):
+    li = table(spark, sf, "lineitem")
+    at = (F.col("l_linenumber") * 5 + F.col("l_partkey") % 3).cast("double")
+    seen = li.select(F.col("l_suppkey").alias("person_id"), (F.col("l_orderkey") % 500).alias("media_id"), at.alias("timestamp"), (F.col("l_suppkey") % 50 * 1.0).alias("cx"), (F.col("l_partkey") % 50 * 1.0).alias("cy"), (F.col("l_quantity") / 5).alias("size"))
+    return identity.tracker_splits(seen)
+
+
 VERSIONS = "e AS (SELECT c_custkey AS id, c_custkey % 5 + 1 AS v, c_custkey % 6 AS r, CASE WHEN c_custkey % 3 = 0 THEN 'Red' END AS l FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS id, c_custkey % 5 AS r FROM customer WHERE c_custkey % 3 = 0), j AS (SELECT coalesce(e.id, n.id) AS id, e.v, e.r, e.l, n.r AS nr, n.id IS NOT NULL AND (e.id IS NULL OR e.r <> n.r) AS hit FROM e FULL JOIN n ON e.id = n.id)"
 TWICE = "(SELECT key FROM v GROUP BY key HAVING count(*) > 1)"
 STATE = "CASE WHEN deleted_at IS NULL AND id % 3 = 0 AND (review_state <> '{0}' OR manual <> {1} OR {2}) THEN '{0}:{1}' ELSE review_state || ':' || manual END"
@@ -478,6 +485,7 @@ QUERIES = {
     "q_stable_ids": (q_stable_ids, None),
     "q_undoable": (q_undoable, "SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN 'undo' WHEN event_id % 4 = 1 AND event_id + 2 IN (SELECT event_id FROM events) THEN 'undone' ELSE 'done' END AS state FROM events"),
     "q_relink_report": (q_relink_report, _with(MEDIA, "s AS (SELECT id FROM media WHERE deleted_at IS NULL AND missing = 0 AND status = 'indexed' ORDER BY (id * 7919) % 1009, id LIMIT 60)") + "SELECT count(*) AS checked, count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0) AS matched, round(100.0 * count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0) / count(*), 1) AS match_percent FROM s"),
+    "q_tracker_splits": (q_tracker_splits, "WITH s AS (SELECT l_suppkey AS p, l_orderkey % 500 AS m, l_linenumber * 5 + l_partkey % 3 AS t, l_suppkey % 50 AS x, l_partkey % 50 AS y, l_quantity / 5 AS z FROM lineitem) SELECT DISTINCT a.p AS a, b.p AS b FROM s a JOIN s b ON a.m = b.m AND a.p < b.p AND a.t <> b.t AND abs(a.t - b.t) <= 12 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.6 * greatest(a.z, b.z)"),
     "q_store_edits": (q_store_edits, _with(VERSIONS) + "SELECT id AS media_id, CASE WHEN hit THEN coalesce(v, 0) + 1 ELSE v END AS version, CASE WHEN hit THEN nr ELSE r END AS rating, CASE WHEN hit THEN 'Red' ELSE l END AS label, CASE WHEN hit THEN r END AS rating_before, CASE WHEN hit THEN 1 END AS in_history FROM j"),
     "q_revert_edits": (q_revert_edits, _with(VERSIONS) + "SELECT id AS media_id, CASE WHEN hit AND id % 9 = 0 THEN coalesce(v, 0) + 2 WHEN hit THEN coalesce(v, 0) + 1 ELSE v END AS version, CASE WHEN hit AND id % 9 <> 0 THEN nr ELSE r END AS rating, CASE WHEN hit AND id % 9 <> 0 THEN 'Red' ELSE l END AS label FROM j"),
     "q_cluster_samples": (q_cluster_samples, _with(FACES) + "SELECT person_id, id, place FROM (SELECT person_id, id, row_number() OVER (PARTITION BY person_id ORDER BY review_state = 'confirmed' DESC, coalesce(quality, 0) DESC, detection DESC, id) AS place FROM faces WHERE person_id IS NOT NULL AND deleted_at IS NULL AND review_state <> 'rejected') WHERE place <= 5"),
