@@ -229,7 +229,7 @@ def _met(kind: int, x: np.ndarray, y: np.ndarray, **more) -> pa.Table:
     return pa.table(made)
 
 
-def meet(sent: pa.Table) -> pa.Table:
+def meet(sent: pa.Table, hot_size: int) -> pa.Table:
     """Of a target's parts: every document's size and sketch, stars of the runs, runs of three
     sets or more (``even``: whether hot, ``odd``: the band's bit), and who is in hot runs of the first seed."""
     docs, out = sent.filter(sent["about"].is_valid()), [_met(DOC, *np.zeros((2, 0), np.int64))]
@@ -268,7 +268,7 @@ def meet(sent: pa.Table) -> pa.Table:
         pair = np.unique(np.stack([lead[star], ids[star]]), axis=1)
         out.append(_met(PAIR, pair[0], pair[1]))
         odd, later = (key & np.uint64(1)).astype(np.int64), (key & np.uint64(2)) > 0
-        hot = np.repeat(size > HOT, size)
+        hot = np.repeat(size > hot_size, size)
         out.append(_met(HOT_PART, ids[hot & ~later], odd[hot & ~later]))
         # runs with the same documents say the same
         of = W.mix(ids.astype(np.uint64) + np.where(hot, odd + 1, 0).astype(np.uint64) * W.STEP)
@@ -280,6 +280,10 @@ def meet(sent: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _meet(hot_size: int):
+    return lambda sent: meet(sent, hot_size)
+
+
 def sets_of(k: int, keys: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in _batches(batches):
@@ -398,7 +402,7 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     targets = _cuts.text_blocks(rows)
     sent = rows.mapInArrow(send_parts(targets, k, bound, keys), "_t long, keys binary, counts binary, ids binary, sigs binary, about binary, nulls binary")
-    met = _cuts.written(sent.groupBy("_t").applyInArrow(meet, MET))
+    met = _cuts.written(sent.groupBy("_t").applyInArrow(_meet(HOT), MET))
     every = met.where(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), "sig", "check", "nil")
     dense = met.where((F.col("kind") == DOC) & ~F.col("nil")).select(F.col("x").alias("id"), F.col("y").alias("n"), "sketch")
     pairs = met.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
