@@ -50,7 +50,7 @@ RATIO = 1.7  # between the edges of size bands, or a little more than sizes of l
 SEEDS = 64
 SURPLUS = 1.2  # filled parts for each difference allowed, on average
 HOT = 1000  # documents of a run from which its part is set aside
-CHUNK = 512  # documents of a run that are compared at once
+CHUNK = 4096  # documents of a run that are compared at once
 HOT_SHARE = 0.001  # part of all documents from which a set is hot
 
 

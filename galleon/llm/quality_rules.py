@@ -212,15 +212,15 @@ def judge(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
 def keep(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """The documents that the rules keep, with their columns as they were.
 
-    Rows and votes are written once; fitting reads the votes alone.
+    The counts are made twice, for fitting and for the verdicts: writing them beside the
+    texts would hold the whole table once more on disk.
     """
     prefix = "_q_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    row, vote = prefix + "row", prefix + "votes"
+    names, vote = [F.col(f"`{c}`") for c in docs.columns], prefix + "votes"
     rows = counts(docs, prefix=prefix)
-    whole = F.when(~base_failed(prefix), F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    rows = _cuts.written(rows.select(whole.alias(row), votes(prefix).alias(vote)))
-    found = _estimates(rows.select(vote), vote)
-    good = rows.where(F.col(row).isNotNull() & (posterior(F.col(vote), found) >= keep_at))
-    return good.select(*(F.col(f"{row}.`{c}`") for c in docs.columns))
+    found = _estimates(rows.select(votes(prefix).alias("_v")), "_v")
+    made = F.struct(votes(prefix).alias(vote), base_failed(prefix).alias(prefix + "failed"))
+    good = rows.select(*names, F.inline(F.array(made)))  # a generator: the filter does not make the counts again
+    return good.where(~F.col(prefix + "failed") & (posterior(F.col(vote), found) >= keep_at)).select(*names)
