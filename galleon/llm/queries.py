@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, mixing, quality_rules, sstable, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import block_max, code_switch, decontaminate, html_extract, jaccard_join, mixing, quality_rules, spelling, sstable, substring_dedup, suffix_dedup, toxicity, url_filter
 
 #: The rules of the query, and the listed sites.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -123,6 +123,47 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_copy", "mix_tokens", "mix_block", "mix_slot")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven letters or more, their near words, forms and roots."""
+    return spelling.group(_table(spark, sf_dir, "documents"), least=7, seen=2, every=31, times=10)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out quarter of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    found = code_switch.predict(docs, code_switch.fit(code_switch.sample(docs, max_train=4_000)))
+    return found.select("doc_id", code_switch.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return block_max.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+#: Every document that shares a term with an item, scored; then the first 20 of each item.
+OP13_SQL = r"""
+WITH terms AS (
+  SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), sizes AS (SELECT d, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY d),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+tf AS (SELECT d, term, count(*) AS tf FROM terms GROUP BY d, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, nn),
+asked AS (
+  SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))
+), wanted AS (SELECT q, item_id, term, count(*) AS times FROM asked GROUP BY q, item_id, term),
+scored AS (
+  SELECT q, item_id, sizes.doc_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (d), total
+  GROUP BY q, item_id, sizes.doc_id, d
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -134,6 +175,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_source_mixing": (op10_source_mixing, None),
+    "op11_spelling_variants": (op11_spelling_variants, None),
+    "op12_language_id": (op12_language_id, None),
+    "op13_ranked_search": (op13_ranked_search, OP13_SQL),
 }
 
 
