@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -87,16 +87,25 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+class Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Batch:
     """Chains, longest first, as one array of word numbers ordered by place in the chain."""
 
-    def __init__(self, rows: list[list[str]]):
-        known: dict[str, int] = {}
-        ids = [np.array([known.setdefault(w, len(known)) for w in row], np.int64) for row in rows]
+    def __init__(self, rows: list[list[str]], lexicon: dict[str, int]):
+        known = Numbers()
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(rows)), np.int64)
         self.words = list(known)
-        size = np.array([len(x) for x in ids])
+        self.listed = np.fromiter((lexicon.get(w, -1) for w in self.words), np.int64)
+        size = np.fromiter(map(len, rows), np.int64)
         self.order = np.argsort(-size, kind="stable")
-        flat, begin = np.concatenate(ids), np.cumsum(size) - size
+        begin = np.cumsum(size) - size
         size = size[self.order]
         #: chains that are still on at each place
         self.on = np.searchsorted(-size, -np.arange(size[0]), "left")
@@ -111,9 +120,8 @@ class Batch:
         """Scores of every distinct word for every language; its n-grams share their weight."""
         e = np.stack([np.bincount(self.word, model.features[self.feature, k], minlength=len(self.words)) for k in range(len(model.langs))], 1)
         e /= np.sqrt(self.count)[:, None]
-        for i, w in enumerate(self.words):
-            if (k := model.lexicon.get(w)) is not None:
-                e[i] += model.member[k]
+        on = self.listed >= 0
+        e[on] += model.member[self.listed[on]]
         return e
 
     def marginals(self, e: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -154,10 +162,8 @@ def gradient(batch: Batch, label: np.ndarray, model: Model) -> tuple[float, list
     rest[np.arange(len(y)), y] += 1
     by_word = np.stack([np.bincount(batch.token, rest[:, j], minlength=len(batch.words)) for j in range(k)], 1)
     member = np.zeros_like(model.member)
-    known = [(i, j) for i, w in enumerate(batch.words) if (j := model.lexicon.get(w)) is not None]
-    if known:
-        i, j = np.array(known).T
-        np.add.at(member, j, by_word[i])
+    on = batch.listed >= 0
+    np.add.at(member, batch.listed[on], by_word[on])
     shared = by_word / np.sqrt(batch.count)[:, None]
     f = np.stack([np.bincount(batch.feature, shared[batch.word, j], minlength=1 << BITS) for j in range(k)], 1)
     return value, [f, member, np.diag(seen) - expected, np.bincount(chain_y, minlength=k) - begun]
@@ -170,7 +176,7 @@ def train(rows: list[tuple[str, int]], langs: list[str], lexicon: dict[str, int]
     found = [(c, y) for text, y in rows for c in chains(text)]
     if not found:
         return model
-    batch, label = Batch([c for c, _ in found]), np.array([y for _, y in found])
+    batch, label = Batch([c for c, _ in found], lexicon), np.array([y for _, y in found])
     weights = [np.array(w) for w in model[2:]]
     mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for t in range(1, steps + 1):
@@ -234,7 +240,7 @@ def fit(labelled: DataFrame, shards: int = 8, shard_bytes: int = 8 << 20, steps:
     if k:
         labelled = labelled.where(F.col("lang").isin(langs))
         words = {w: langs.index(x) for w, x in lexicon(labelled, **lexicon_args).items()}
-    dealt = labelled.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    dealt = labelled.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(shards, "shard")
     rows = dealt.groupBy("shard").applyInArrow(_shard(langs, words, steps), "n long, weights binary").collect() if k else []
     total = sum(r.n for r in rows) or 1
     flat = sum((np.frombuffer(r.weights, "<f4").astype(float) * (r.n / total) for r in rows), np.zeros((1 << BITS) * k + 2 * k * k + k))
@@ -249,7 +255,7 @@ def _labelled(texts: Iterator[tuple[int, str | None]], model: Model) -> Iterator
     n = 0
 
     def made() -> tuple[Batch, np.ndarray, np.ndarray]:
-        batch = Batch(rows)
+        batch = Batch(rows, model.lexicon)
         return batch, np.array(of), batch.marginals(batch.emissions(model), model.moves, model.first)[0]
 
     for i, text in texts:
