@@ -298,7 +298,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def _spell(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches if model.langs else ():
             at, ids = np.zeros(batch.num_rows, np.int64), batch.column("doc_id")
             texts = ((i, t.as_py()) for i, t in enumerate(batch.column("text")))
             for b, of, gamma in _labelled(texts, model):
@@ -316,6 +316,6 @@ def _spell(model: Model):
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, place (from 0), word, its language and that language's probability, for every word of every row."""
+    """doc_id, place (from 0), word, its language and that language's probability, for every word of every row; no rows if nothing could be learnt."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_spell(model), "doc_id long, place long, word string, lang string, score double")
