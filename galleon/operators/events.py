@@ -138,10 +138,10 @@ def _detect(rows: pa.Table) -> pa.Table:
     return pa.table({"user": rows["user"], "key": rows["key"], "super": rows["super"], "event": pa.array(number)})
 
 
-def detect(items: DataFrame, by: str = "user_id", key: str = "event_id", rows_a_group: int = 50_000) -> DataFrame:
+def detect(items: DataFrame, by: str = "user_id", key: str = "event_id", rows_a_group: int = 50_000, home: DataFrame | None = None) -> DataFrame:
     """(by, key, super, event) of items (by, key, ts, lat, lon, vec, people).
 
-    Users are dealt to groups of about ``rows_a_group`` rows; one super-session is never cut.
+    ``home`` is as from ``home_of``, where the items are not all of a user's.  Users are dealt to groups of about ``rows_a_group`` rows; one super-session is never cut.
     """
     rows = sessions.sessions(items, TRIP_HOURS, by, "ts", key).withColumnRenamed("session", "super").withColumn("s", sessions.seconds(F.col("ts")))
     before = lambda c: windows.previous(c, [by], ["s", key])
@@ -149,7 +149,7 @@ def detect(items: DataFrame, by: str = "user_id", key: str = "event_id", rows_a_
     far = scalars.haversine_km(before("lat"), before("lon"), F.col("lat"), F.col("lon"))
     near = far.isNull() | ((far <= LINK_KM) & (far / F.greatest(hours, F.lit(FLOOR_HOURS)) <= LINK_KMH))
     rows = rows.withColumn("linked", F.coalesce((hours <= LINK_HOURS) & near, F.lit(False)))
-    rows = rows.join(home_of(items, by), by, "left")
+    rows = rows.join(home if home is not None else home_of(items, by), by, "left")
     real = [F.col(c).cast("double").alias(c) for c in ("lat", "lon", "home_lat", "home_lon")]
     rows = rows.select(F.col(by).alias("user"), F.col(key).alias("key"), "super", "s", "linked", *real, F.col("vec").cast("array<double>").alias("vec"), F.col("people").cast("array<long>").alias("people"))
     groups = max(1, -(-items.count() // rows_a_group))

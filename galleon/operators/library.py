@@ -7,11 +7,10 @@ write the results as the next version.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph, windows
+from . import event_upkeep, graph, windows
 from . import vectors as vectors_
 
 
@@ -219,32 +218,22 @@ def detection_window(media: DataFrame, events: DataFrame, watermark: int, hours:
 def stable_ids(found: DataFrame, current: DataFrame, events: DataFrame) -> DataFrame:
     """(scope, group, event_id, changed): events found anew keep the id of the automatic event that holds most of their items.
 
-    ``found`` is (scope, group, media_id), groups numbered in time order within independent
+    ``found`` is (scope, group, media_id), groups numbered in time order within
     scopes; ``current`` is (media_id, event_id, locked).  Earlier groups choose first, an id
-    goes to one group only, and ids that are new follow the greatest.
+    goes to one group only, and ids that are new follow the greatest without holes, by scope and group.
     """
     auto = events.where("user_edited = 0").select(F.col("id").alias("event_id"))
     free = current.where("locked = 0").join(auto, "event_id", "left_semi").select("media_id", "event_id")
-    votes = found.join(free, "media_id").groupBy("scope", "group", "event_id").agg(F.count(F.lit(1)).alias("votes"))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for group, rows in pdf.sort_values(["group", "votes", "event_id"], ascending=[True, False, True]).groupby("group", sort=True):
-            pick = next(((e, v) for e, v in zip(rows["event_id"], rows["votes"], strict=True) if e not in used), None)
-            if pick:
-                used.add(pick[0])
-                out.append((rows["scope"].iloc[0], group, *pick))
-        return pd.DataFrame(out, columns=["scope", "group", "event_id", "votes"])
-
-    chosen = votes.groupBy("scope").applyInPandas(choose, "scope long, group long, event_id long, votes long")
-    chosen = windows.top_n(chosen, ["event_id"], [F.asc("scope"), F.asc("group")], 1)  # an event may reach into two scopes
-    size = found.groupBy("scope", "group").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct("scope", "group").alias("place")
+    votes = found.join(free, "media_id").groupBy(place, "event_id").agg(F.count(F.lit(1)).alias("votes"))
+    chosen = event_upkeep.match_ids(votes).select("place.*", "event_id", "votes")
+    size = graph.cut(found.groupBy("scope", "group").agg(F.count(F.lit(1)).alias("n")))
     held = current.groupBy("event_id").agg(F.count(F.lit(1)).alias("held"))
-    rows = size.join(chosen, ["scope", "group"], "left").join(held, "event_id", "left")
-    rows = graph.cut(rows.withColumn("_new", F.monotonically_increasing_id()))  # numbers stay as they are once written
-    top = F.coalesce(F.lit(events.agg(F.max("id")).first()[0]), F.lit(0))
+    top = events.agg(F.max("id")).first()[0] or 0
+    new = event_upkeep.dense_ids(size.select("scope", "group").join(chosen, ["scope", "group"], "left_anti"), ["scope", "group"], top + 1, "new_id")
+    rows = size.join(chosen, ["scope", "group"], "left").join(held, "event_id", "left").join(new, ["scope", "group"], "left")
     changed = F.col("votes").isNull() | (F.col("votes") != F.col("n")) | (F.col("held") != F.col("n"))
-    return rows.select("scope", "group", F.coalesce("event_id", top + 1 + F.col("_new")).cast("long").alias("event_id"), changed.alias("changed"))
+    return rows.select("scope", "group", F.coalesce("event_id", "new_id").cast("long").alias("event_id"), changed.alias("changed"))
 
 
 # --- edits
