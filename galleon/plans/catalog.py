@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, curation, relational, sequential
+from . import analytics, curation, relational, sequential, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [relational, analytics, sequential, curation]
+MODULES = [relational, analytics, sequential, curation, upkeep]
 
 
 def queries() -> dict[str, Query]:

@@ -1,7 +1,7 @@
 """Tracking as a stream: detections arrive in micro-batches, tracks live in keyed state.
 
-A video's detections wait in list state until the watermark has passed their time; a
-timer then takes them in order, frame by frame, so the tracks do not depend on how
+A video's detections wait in list state until the watermark has passed the last of their batch; a
+timer then takes all that are complete in order, frame by frame, so the tracks do not depend on how
 the stream was cut into batches, nor on restarts.  Open tracks are list state too.  A timer behind the last frame ends
 them once no detection could join any more, so a finished video keeps one counter.
 
@@ -48,13 +48,12 @@ class Tracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         for pdf in rows:
             self.waiting.appendList([(int(i), float(t), [float(x) for x in b], [float(x) for x in v], float(q)) for i, t, b, v, q in zip(pdf["id"], pdf["ts"], pdf["bbox"], pdf["vec"], pdf["q"], strict=True)])
-            for at in pdf["at"].dt.tz_localize(None).astype("datetime64[ms]").astype("int64").unique():
-                self.handle.registerTimer(int(at))
+            self.handle.registerTimer(int(pdf["at"].dt.tz_localize(None).astype("datetime64[ms]").astype("int64").max()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """Takes the frames up to this time; frames behind it wait for timers of their own."""
-        now = expiredTimerInfo.getExpiryTimeInMs() / 1000 - SHIFT
+        """Takes all frames up to the watermark; frames behind it wait for later timers."""
+        now = timerValues.getCurrentWatermarkInMs() / 1000 - SHIFT
         waiting = [tuple(r) for r in self.waiting.get()]
         due = sorted((r for r in waiting if r[1] <= now + 1e-9), key=lambda r: (r[1], r[0]))
         tracks = _load([tuple(r) for r in self.open.get()], self.made.get()[0] if self.made.exists() else 0, self.gap)
