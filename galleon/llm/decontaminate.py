@@ -8,9 +8,11 @@ it stands on and moves on or stays by a random bit of (``j``, word), so sequence
 edits apart write nearly the same string, and edit distance becomes Hamming distance.
 Every word of a document starts an item-sized window; the walks of all windows advance
 together.  ``WALKS`` walks times ``tables`` samples of ``SAMPLE`` steps make the hash
-tables of an item length class; a window that agrees with an item in one table is a
+tables of a length class; a window that agrees with an item in one table is a
 candidate, and the edit distance around it decides, exactly, by bit-parallel dynamic
-programming.  Items for which no edit is allowed are found by the hash of their words,
+programming.  Items of twice ``PIECE`` words and more are looked for by their pieces of ``PIECE`` words:
+walks drift apart with every edit, more so where all edits are of one kind, but some
+piece has no more than its share of the edits, and each begins walks of its own.  Items for which no edit is allowed are found by the hash of their words,
 which misses none.
 
 The benchmark is a stated query set: it is read in blocks of at most ``block_bytes`` of
@@ -38,6 +40,7 @@ from . import _words as W
 
 WALKS, TABLES, SAMPLE = 4, 4, 3
 EDITS = 0.15
+PIECE = 64
 #: Tables whose keys are held at once.
 HELD = 32
 SMALL = 1 << 16
@@ -45,11 +48,11 @@ FOLD = np.uint32(0x9E3779B1)
 
 
 class Group(NamedTuple):
-    """Items of one length class: steps sampled by each table, and the items' keys."""
+    """Pieces of one length class: steps sampled by each table, and the pieces' keys."""
 
     steps: list[list[list[int]]]  # by walk, by table
     keys: list[list[np.ndarray]]  # sorted
-    items: list[list[np.ndarray]]  # in the keys' order
+    pieces: list[list[np.ndarray]]  # in the keys' order
     maybe: list[list[np.ndarray]]  # which low bits of keys occur
 
 
@@ -59,8 +62,10 @@ class Queries(NamedTuple):
     ids: list
     words: list[tuple[int, ...]]
     allowed: list[int]
+    piece_of: np.ndarray  # the item of every piece
+    offset: np.ndarray  # and where in it the piece begins
     groups: list[Group]
-    exact: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes, items
+    exact: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes, pieces
 
 
 class Laid(NamedTuple):
@@ -116,10 +121,15 @@ def walk_keys(text: Laid, start: np.ndarray, walk: int, steps: list[list[int]])
 
 def tables(length: int) -> int:
     """Tables of each walk for the class of ``length`` words and more: edits grow with the
-    items and walks drift apart, so long items agree in a smaller part of their tables."""
+    pieces and walks drift apart, so long ones agree in a smaller part of their tables."""
     return max(TABLES, length // 4 if length >= 64 else 0)
 
 
+def offsets(n: int) -> list[int]:
+    """Where the pieces of an item of ``n`` words begin: at its start alone, or everywhere in steps of a piece."""
+    return [0] if n < 2 * PIECE else [*range(0, n - PIECE, PIECE), n - PIECE]
+
+
 def _plan(length: int, walk: int, seed: int) -> list[list[int]]:
     """Steps sampled by each table from the embedding of ``length`` words and more."""
     r = np.random.default_rng([seed, length, walk])
@@ -131,31 +141,34 @@ def prepare(items: list[tuple[int | None, str | None]], edits: float = EDITS, se
     w = W.words(t, lower=True)
     n = np.diff(w.first)
     allowed = [int(edits * x + 1e-9) for x in n]
-    exact, groups = {}, []
-    for size in sorted({int(x) for x, a in zip(n, allowed, strict=True) if x and not a}):
-        of = np.array([i for i in range(len(n)) if n[i] == size and not allowed[i]])
-        h = np.array([W.windows(w.hash[w.first[i] : w.first[i + 1]], size)[0] for i in of])
+    begins = [offsets(int(x)) if x else [] for x in n]
+    piece_of, offset = np.repeat(np.arange(len(n)), [len(x) for x in begins]), np.array([o for x in begins for o in x], np.int64)
+    size = np.where(n[piece_of] < 2 * PIECE, n[piece_of], PIECE)
+    exact, groups, edited = {}, [], np.array(allowed, np.int64)[piece_of] > 0
+    for length in sorted(set(size[~edited].tolist())):
+        of = np.flatnonzero(~edited & (size == length))
+        first = w.first[piece_of[of]]
+        h = np.array([W.windows(w.hash[a : a + length], length)[0] for a in first])
         order = np.argsort(h)
-        exact[size] = h[order], of[order]
+        exact[length] = h[order], of[order]
     laid, classes = lay(w), defaultdict(list)
-    for i, a in enumerate(allowed):
-        if a:
-            classes[1 << (int(n[i]).bit_length() - 1)].append(i)
+    for i in np.flatnonzero(edited).tolist():
+        classes[1 << (int(size[i]).bit_length() - 1)].append(i)
     for length, of in sorted(classes.items()):
         steps = [_plan(length, k, seed) for k in range(WALKS)]
-        first = laid.place[w.first[:-1][of]]
+        first = laid.place[w.first[piece_of[of]] + offset[of]]
         packed = [walk_keys(laid, first, k, steps[k]) for k in range(WALKS)]
         order = [[np.argsort(x, kind="stable") for x in row] for row in packed]
         maybe = [[np.isin(np.arange(SMALL), x % np.uint32(SMALL)) for x in row] for row in packed]
         groups.append(Group(steps, [[x[o] for x, o in zip(p, q, strict=True)] for p, q in zip(packed, order, strict=True)], [[np.array(of)[o] for o in q] for q in order], maybe))
     words = [tuple(map(int, w.hash[a:b])) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-    return Queries([i for i, _ in items], words, allowed, groups, exact)
+    return Queries([i for i, _ in items], words, allowed, piece_of, offset, groups, exact)
 
 
 def candidates(w: W.Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-    """(place, item) of windows that agree with an item in some table."""
+    """(place, piece) of windows that agree with a piece of an item in some table."""
     found, text = [np.zeros(0, np.int64)], lay(w)
-    k = len(q.ids)
+    k = max(1, len(q.piece_of))
     for size, (h, of) in q.exact.items():
         at = W.whole(w, size)
         x = W.windows(w.hash, size)[at]
@@ -174,31 +187,39 @@ def candidates(w: W.Words, q: Queries) -> tuple[np.ndarray, np.ndarray]:
                 lo = np.searchsorted(g.keys[walk][t], key[at], "left")
                 n = np.searchsorted(g.keys[walk][t], key[at], "right") - lo
                 which = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-                found.append(np.repeat(at, n) * k + g.items[walk][t][which])
+                found.append(np.repeat(at, n) * k + g.pieces[walk][t][which])
     pair = np.unique(np.concatenate(found))
     return pair // k, pair % k
 
 
-def plausible(w: W.Words, q: Queries, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+def reach(q: Queries, at: np.ndarray, piece: np.ndarray, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item of every candidate, and the words [lo, hi) of its text within which the item lies if the piece lies there.
+
+    A piece that is not the item's start may also stand off by the edits before it.
+    """
+    item, offset = q.piece_of[piece], q.offset[piece]
+    n, k = np.array([len(x) for x in q.words], np.int64)[item], np.array(q.allowed, np.int64)[item]
+    doc = np.searchsorted(w.first, at, "right") - 1
+    more = np.where(offset > 0, k, 0)
+    lo, hi = at - offset - k - more, at - offset + n + 2 * k + more
+    return item, np.maximum(lo, w.first[doc]), np.minimum(hi, w.first[doc + 1])
+
+
+def plausible(w: W.Words, q: Queries, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Mask of the candidates around which enough words are words of the item.
 
     Within ``k`` edits all but ``k`` of an item's words are there, so nothing near is
     lost; windows that agree by common words alone mostly are.
     """
-    ok = np.zeros(len(at), bool)
+    ok = np.zeros(len(item), bool)
     low = (w.hash & np.uint64(SMALL - 1)).astype(np.int64)
     order = np.argsort(item, kind="stable")
-    doc = np.searchsorted(w.first, at, "right") - 1
-    for x in np.split(order, W.heads(item[order])[1:]) if len(at) else []:
+    for x in np.split(order, W.heads(item[order])[1:]) if len(item) else []:
         i = int(item[x[0]])
-        n, k = len(q.words[i]), q.allowed[i]
         inside = np.zeros(SMALL, bool)
         inside[[h & (SMALL - 1) for h in q.words[i]]] = True
-        for y in np.array_split(x, -(-len(x) * (n + 3 * k) // (1 << 20))):
-            near = at[y][:, None] + np.arange(-k, n + 2 * k)
-            here = (near >= w.first[doc[y]][:, None]) & (near < w.first[doc[y] + 1][:, None])
-            here &= inside[low[np.clip(near, 0, len(low) - 1)]]
-            ok[y] = here.sum(axis=1) >= n - k
+        sums = np.concatenate(([0], np.cumsum(inside[low])))
+        ok[x] = sums[hi[x]] - sums[lo[x]] >= len(q.words[i]) - q.allowed[i]
     return ok
 
 
@@ -231,6 +252,21 @@ def nearest(item: tuple[int, ...], text: list[int]) -> tuple[int, int]:
     return best
 
 
+def merged(doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, item, lo, hi) of the unions of overlapping stretches, in order of place."""
+    last: tuple | None = None
+    order = np.lexsort((hi, lo, item, doc))
+    for d, i, a, b in zip(*(x[order].tolist() for x in (doc, item, lo, hi)), strict=True):
+        if last and last[:2] == (d, i) and a <= last[3]:
+            last = (d, i, last[2], max(b, last[3]))
+        else:
+            if last:
+                yield last
+            last = (d, i, a, b)
+    if last:
+        yield last
+
+
 def _search(q: Queries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,26 +276,22 @@ def _search(q: Queries):
             for a, b in whole.slices(1 << 20):
                 t = W.Texts(whole.data[whole.offsets[a] : whole.offsets[b]], whole.offsets[a : b + 1] - whole.offsets[a])
                 w = W.words(t, lower=True)
-                at, item = candidates(w, q)
-                ok = plausible(w, q, at, item)
-                at, item = at[ok], item[ok]
-                doc = np.searchsorted(w.first, at, "right") - 1
+                at, piece = candidates(w, q)
+                item, lo, hi = reach(q, at, piece, w)
+                ok = plausible(w, q, item, lo, hi)
+                item, lo, hi = item[ok], lo[ok], hi[ok]
+                doc = np.searchsorted(w.first, at[ok], "right") - 1
                 best: dict[tuple[int, int], tuple] = {}
-                seen: dict[tuple[int, int], int] = {}
-                for p, i, d in zip(at.tolist(), item.tolist(), doc.tolist(), strict=True):
-                    n, k = len(q.words[i]), q.allowed[i]
-                    if best.get((d, i), (1,))[0] == 0 or seen.get((d, i), -1) >= p:
+                # stretches that overlap are searched as one, so the distance is the least around all candidates
+                for d, i, p, e in merged(doc, item, lo, hi):
+                    if best.get((d, i), (1,))[0] == 0:
                         continue
-                    # the stretch starts within the allowed edits of the window
-                    lo, hi = max(int(w.first[d]), p - k), min(int(w.first[d + 1]), p + n + 2 * k)
-                    text = w.hash[lo:hi].tolist()
+                    text = w.hash[p:e].tolist()
                     far, end = nearest(q.words[i], text)
-                    if far <= k:
+                    if far <= q.allowed[i] and ((d, i) not in best or far < best[d, i][0]):
                         _, size = nearest(q.words[i][::-1], text[:end][::-1])
-                        start = lo + end - (size if size else n) - int(w.first[d])
-                        if (d, i) not in best or far < best[(d, i)][0]:
-                            best[(d, i)] = far, start, lo + end - int(w.first[d])
-                    seen[(d, i)] = p if k == 0 else p + k // 2
+                        start = p + end - (size if size else len(q.words[i])) - int(w.first[d])
+                        best[d, i] = far, start, p + end - int(w.first[d])
                 out += [(ids[a + d], q.ids[i], *x, len(q.words[i])) for (d, i), x in sorted(best.items())]
             names = ("doc_id", "item_id", "distance", "start_word", "end_word", "item_words")
             yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(names)})

@@ -94,17 +94,33 @@ def test_empty(spark):
     assert op.clean(df, bench.limit(0)).count() == df.count()
 
 
-@pytest.mark.parametrize("n", [60, 90, 120, 200, 400, 800])
-def test_recall_at_the_full_bound(n):
+@pytest.mark.parametrize("kinds", ["ids", "i", "d", "s", "every"])
+@pytest.mark.parametrize("n", [7, 10, 14, 20, 30, 45, 63, 64, 90, 127, 128, 200, 256, 512, 800, 1023, 1500])
+def test_recall_at_the_full_bound(n, kinds):
+    """Mixed, inserted, deleted and replaced words alone, and every so-many-th word struck out."""
     r = random.Random(n)
     vocab = [f"w{i}" for i in range(3000)]
-    items, docs = [r.choices(vocab, k=n) for _ in range(100)], []
+    items, docs = [r.choices(vocab, k=n) for _ in range(60 if n < 300 else 25)], []
     for x in items:
-        y = list(x)
-        for _ in range(int(op.EDITS * n)):
-            p, kind = r.randrange(len(y)), r.choice("ids")
+        y, k = list(x), int(op.EDITS * n)
+        if kinds == "every":
+            gone = set(range(3, n, -(-n // max(1, k)))[:k]) if k else set()
+            y = [w for j, w in enumerate(y) if j not in gone]
+        for _ in range(k if kinds != "every" else 0):
+            p, kind = r.randrange(len(y)), r.choice(kinds)
             y[p : p + (kind != "i")] = [] if kind == "d" else [r.choice(vocab)]
         docs.append(" ".join(r.choices(vocab, k=20) + y + r.choices(vocab, k=20)))
-    w = op.W.words(op.W.texts(pa.array(docs, pa.string())), lower=True)
-    at, item = op.candidates(w, op.prepare([(i, " ".join(x)) for i, x in enumerate(items)]))
-    assert len(set(item[np.searchsorted(w.first, at, "right") - 1 == item])) >= 90
+    q = op.prepare([(i, " ".join(x)) for i, x in enumerate(items)])
+    found = [next(op._search(q)(iter([pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]})]))) for i, t in enumerate(docs)]
+    hit = sum(i in b.column("item_id").to_pylist() for i, b in enumerate(found))
+    assert hit >= 0.9 * len(items)
+
+
+def test_the_distance_is_the_least_around_all_candidates():
+    """Stretches that overlap are searched together: a worse one before a better one does not hide it."""
+    item = [f"w{i}" for i in range(40)]
+    worse = [x for j, x in enumerate(item) if j % 8 != 3]
+    text = " ".join([*worse[:-6], *item[:30], "zz", *item[30:]])
+    q = op.prepare([(1, " ".join(item))])
+    out = next(op._search(q)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]))).to_pylist()
+    assert [r["distance"] for r in out] == [1]
