@@ -49,7 +49,7 @@ BOILER_WORDS = frozenset(
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*)(?=>)|[^>]*)(?:>|\Z)|(?P<text>[^<]+|<+(?=<)|<)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*)(?:>|\Z)|(?P<text>[^<]+|<+(?=<)|<)",
     re.S,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

@@ -73,6 +73,23 @@ def test_hostile_pages_take_linear_time(page):
     assert time.perf_counter() - start < 4  # a second by itself; the rest for a busy machine
 
 
+@pytest.mark.parametrize("size", [10_000, 100_000, 1_000_000])
+@pytest.mark.parametrize("quote", ["\"", "'"])
+def test_long_attributes_are_no_text(size, quote):
+    other = "'" if quote == "\"" else "\""
+    value = f"a > b {other} <p> c " * (size // 14)
+    page = f"<article><p data-x={quote}{value}{quote} class=lead>{LONG}</p><p title={quote}{value}{quote}>{LONG}</p></article>"
+    assert op.main_text(page) == "\n".join([LONG.strip()] * 2)
+
+
+@pytest.mark.parametrize("page", ["<p a=\"" * 60_000, "<p a='\"" * 60_000, "<p a=\"x>" * 50_000, "<p '" + "\">" * 200_000, "<p \"" + "'>" * 200_000, "<p " + "\"'" * 200_000])
+def test_unclosed_quotes_take_linear_time(page):
+    op.tree()
+    start = time.perf_counter()
+    op.main_text(page)
+    assert time.perf_counter() - start < 4
+
+
 def test_generated_pages_round_trip(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = {r.page_id: r for r in op.extract(pages).collect()}
