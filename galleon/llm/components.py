@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = label.join(near, label.id == near.src).select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         root = label.select(F.col("id").alias("root"), F.col("component").alias("jump"))
         step = _cuts.written(step.join(root, step.new == root.root).select("id", "old", F.least("new", "jump").alias("component")))
+        _cuts.drop(label)
         label = step.select("id", "component")
         if step.where("old != component").isEmpty():
+            _cuts.drop(both)
             return label

@@ -411,14 +411,21 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     pairs = _cuts.written(pairs.mapInArrow(near(bound), "a long, b long").distinct())
     # one leader for each document first, then what that leaves apart
     sets = _sets(rows, pairs, k, keys)
-    links = _cuts.written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, bound))
+    first = _cuts.written(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, bound))
+    early = components(first)
+    links = _cuts.written(first.union(_verified(_apart(pairs, early), sets, bound)))
+    _cuts.drop(sets, pairs, first, early)
     label = components(links)
-    links = _cuts.written(links.union(_verified(_apart(pairs, label), sets, bound)))
-    label = components(links)
-    found = _cuts.written(_members(met, label, dense).groupBy("_g").applyInArrow(between(bound), "a long, b long").distinct())
+    members, made = _members(met, label, dense)
+    found = _cuts.written(members.groupBy("_g").applyInArrow(between(bound), "a long, b long").distinct())
+    every, all_met = _cuts.written(every), met
+    _cuts.drop(*made, all_met)
     if not found.isEmpty():
-        links = _cuts.written(links.union(_verified(found, _sets(rows, found, k, keys), bound)))
+        sets = _sets(rows, found, k, keys)
+        before, links = links, _cuts.written(links.union(_verified(found, sets, bound)))
+        _cuts.drop(sets, before, label)
         label = components(links)
+    _cuts.drop(found)
     home = _homes(every.where(~F.col("nil") & (F.col("n_shingles") > 0)), label)
     out = every.join(home, "doc_id", "left").select(
         F.when(~F.col("nil"), F.col("doc_id")).alias("doc_id"),
@@ -428,9 +435,9 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     return out, links
 
 
-def _members(met: DataFrame, label: DataFrame, dense: DataFrame) -> DataFrame:
+def _members(met: DataFrame, label: DataFrame, dense: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Members of the runs that span several components, in groups of bounded size; of hot runs,
-    those whose surplus of parts does not make up for the hot ones."""
+    those whose surplus of parts does not make up for the hot ones.  And the tables behind them."""
     runs = met.where(F.col("kind") == RUN).select(F.col("x").alias("run"), F.col("y").alias("doc_id"), F.col("even").alias("hot"), "odd")
     bare = met.where(F.col("kind") == HOT_PART).groupBy(F.col("x").alias("doc_id"), F.col("y").alias("odd")).agg(F.count("*").alias("parts"))
     about = met.where((F.col("kind") == DOC) & ~F.col("nil")).select(F.col("x").alias("doc_id"), "even", F.col("odd").alias("uneven"))
@@ -438,13 +445,13 @@ def _members(met: DataFrame, label: DataFrame, dense: DataFrame) -> DataFrame:
     safe = safe.select("doc_id", "odd", F.lit(1).cast("long").alias("hot")).distinct()
     member = runs.join(safe, ["doc_id", "odd", "hot"], "left_anti").select("run", "doc_id").distinct()
     member = member.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    member = _cuts.written(member)
+    every = member = _cuts.written(member)
     mixed = member.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("run", "size")
     member = _chunked(member.join(mixed, "run")).join(dense.withColumnRenamed("id", "doc_id"), "doc_id")
     member = _cuts.written(member.select("run", "i", "j", "part", "doc_id", "component", "n", "sketch"))
     size = member.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
     groups = max(4 * _cuts.partitions(met.sparkSession), size >> 25)
-    return member.withColumn("_g", F.pmod(F.xxhash64("run", "i", "j"), F.lit(groups)))
+    return member.withColumn("_g", F.pmod(F.xxhash64("run", "i", "j"), F.lit(groups))), [every, member]
 
 
 def _homes(known: DataFrame, label: DataFrame) -> DataFrame:
@@ -468,11 +475,14 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     each different text (by the hash of all its columns).
     """
     names = docs.columns
-    found, _ = link(docs, k, num, den)
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in names))
-    twice = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = known.join(twice, "doc_id", "left_anti").select(*names)
+    found, links = link(docs, k, num, den)
+    # ids alone, written: the planner sees how few repeat, and texts move once
+    gone = _cuts.written(found.where("component_id != doc_id").select("doc_id").distinct())
+    _cuts.drop(found, links)
+    ids = docs.where("doc_id is not null")
+    twice = _cuts.written(ids.groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
+    known = ids.select(*(F.col(f"`{c}`") for c in names))
+    once = known.join(gone.union(twice), "doc_id", "left_anti").select(*names)
     again = known.join(twice, "doc_id", "left_semi").select(F.struct(*names).alias("row")).dropDuplicates()
     place = F.row_number().over(Window.partitionBy("row.doc_id", "row.text").orderBy(F.xxhash64("row")))
     again = again.select("row", place.alias("place")).where("place = 1").select("row.*")
