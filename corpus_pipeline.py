@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and its
 result is written as Parquet and read again as the next one's ``docs``.  All stages but
 the last return the columns of ``documents``.
+
+A stage's tables in the shared folder are deleted when the next one begins, as its rows have
+been written in full by then; what a stage's input itself still reads stays.
+
+Null ids, sources and texts, empty and very long texts, repeated rows, empty tables and columns
+whose names clash with an operator's own are handled by every stage as its operator's docstring states.
 """
 
 from __future__ import annotations
@@ -15,27 +21,32 @@ from galleon.llm.queries import END, tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules do not reject."""
-    return quality_rules.keep(docs)
+    with _cuts.stage(sf_dir, docs, first=True):
+        return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8 or more."""
-    return jaccard_join.keep_one(docs, k=5, num=80, den=100)
+    with _cuts.stage(sf_dir, docs):
+        return jaccard_join.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with _cuts.stage(sf_dir, docs):
+        return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at tempered weights: each whole at least once, none more than 1.5 times the least repeated."""
-    return mixing.mix(docs, entropy=0.98, repeats=1.5, budget="cover").select(*docs.columns)
+    with _cuts.stage(sf_dir, docs):
+        return mixing.mix(docs, entropy=0.98, repeats=1.5, budget="cover").select(*docs.columns)
 
 
 def output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sorted-string-table shards, and the places of every document in them."""
-    return sstable.read_back(sstable.write(docs, tokenizer_path(), END))
+    with _cuts.stage(sf_dir, docs):
+        return sstable.read_back(sstable.write(docs, tokenizer_path(), END))
 
 
 STAGES = [
