@@ -118,13 +118,14 @@ def plan(table: DataFrame, alpha: float, budget: float, cover: bool = False) ->
 
 
 def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, entropy: float | None = 0.95, repeats: float | None = 4.0,
-        budget: float | str = "tokens", seed: int = 0, block_tokens: int = 1 << 20) -> DataFrame:
+        budget: float | str = "tokens", seed: int = 0, block_tokens: int = 1 << 20, laid: bool = True) -> DataFrame:
     """The input's columns, for every copy of a document that the mixture holds, with
     ``mix_copy`` (its epoch), ``mix_tokens``, ``mix_block`` and ``mix_slot``: in order of
     block and slot, sources alternate by their weights.
 
     ``budget`` is a number of tokens, ``"tokens"`` for as many as the input has, or
-    ``"cover"`` for the least at which every source comes whole once.
+    ``"cover"`` for the least at which every source comes whole once.  Without ``laid`` the
+    same copies come with ``mix_copy`` and ``mix_tokens`` alone: for those who order them otherwise, no text moves.
     """
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
@@ -177,6 +178,8 @@ def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, e
         of = of.withColumn("turn", F.xxhash64("id", F.lit(seed + 2), F.col("mix_copy")))
         return of.withColumn("cell", _cell("turn", 52))
 
+    if not laid:
+        return copies(rows).select(*(F.col(f"in{i}").alias(c) for i, c in enumerate(_free(names))), "mix_copy", F.col("tokens").alias("mix_tokens"))
     # epochs one after the other, each in the order of its turns: token sums before every cell
     cells = copies(light).groupBy("sid", "mix_copy", "cell").agg(F.sum("tokens").alias("tokens"))
     along = Window.partitionBy("sid").orderBy("mix_copy", "cell")  # at most CELLS rows an epoch of a source

@@ -147,3 +147,11 @@ def test_nothing_to_mix(spark, budget):
     df = spark.createDataFrame([(1, None, "s"), (2, "", "t")], "doc_id long, text string, source string")
     assert {x.doc_id for x in op.mix(df, budget=budget).collect()} == {1, 2}
     assert op.mix(df.limit(0), budget=budget).collect() == []
+
+
+def test_copies_are_the_same_when_not_laid(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 5 if i % 3 else 0}", i % 2) for i in range(400)] + [(7, None, None, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copy int")
+    for args in ({"entropy": 0.99, "repeats": 3.0}, {"budget": "cover"}):
+        both = [op.mix(df, laid=laid, **args).select("doc_id", "source", "input_mix_copy", "mix_copy", "mix_tokens") for laid in (True, False)]
+        assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
