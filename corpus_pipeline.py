@@ -38,9 +38,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at tempered weights: each whole at least once, none more than 1.5 times the least repeated."""
+    """Sources at tempered weights: each whole at least once, none more than 1.5 times the least repeated.
+
+    The shards are ordered by identifier, so the copies are not laid over blocks.
+    """
     with _cuts.stage(sf_dir, docs):
-        return mixing.mix(docs, entropy=0.98, repeats=1.5, budget="cover").select(*docs.columns)
+        return mixing.mix(docs, entropy=0.98, repeats=1.5, budget="cover", laid=False).select(*docs.columns)
 
 
 def output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
