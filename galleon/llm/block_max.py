@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,7 +228,7 @@ def _search(queries: list[tuple[int, list[tuple[bytes, int]]]], k: int):
         blank = rows["term"].is_null()
         names = rows.filter(blank)
         ids, docs = np.frombuffer(names["data"][0].as_py(), np.int64), names["last"][0].as_py() + 1
-        lists, out = Lists(rows.filter(pa.compute.invert(blank))), []
+        lists, out = Lists(rows.filter(pc.invert(blank))), []
         for number, query in queries:
             d, score = best(lists, query, docs, k)
             out += [(number, int(ids[i]) if i < len(ids) else None, s) for i, s in zip(d.tolist(), score.tolist(), strict=True)]
