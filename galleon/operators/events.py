@@ -13,6 +13,7 @@ from bisect import insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def home_of(items: DataFrame, by: str) -> DataFrame:
 def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Which rows have a vector, and all of them as a matrix (zeros without)."""
     seen = column.is_valid().to_numpy().astype(bool)
-    flat = pa.compute.list_flatten(column.drop_null()).to_numpy().astype(float)
+    flat = pc.list_flatten(column.drop_null()).to_numpy().astype(float)
     width = len(flat) // max(1, seen.sum())
     vec = np.zeros((len(seen), width))
     vec[seen] = flat.reshape(-1, width) if width else 0

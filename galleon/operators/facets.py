@@ -111,22 +111,35 @@ def named_or_numbered(rows: DataFrame, text: str, name: str = "name", key: str =
     return rows.where(contains(F.col(name), text, raw_wildcards=True) | contains(F.col(key).cast("string"), text, raw_wildcards=True))
 
 
-# Screen sizes, either way round, and words in the names of screenshots.
+# Screen sizes, and words in the names of screenshots.
 SCREENS = (
-    (750, 1334), (828, 1792), (1080, 1920), (1080, 2340), (1080, 2400), (1125, 2436), (1170, 2532), (1179, 2556), (1242, 2688), (1284, 2778), (1290, 2796),
-    (1366, 768), (1440, 2560), (1440, 3200), (2560, 1600), (2880, 1800), (3024, 1964), (3456, 2234), (3840, 2160),
+    (750, 1334), (828, 1792), (1080, 1920), (1080, 2340), (1080, 2400), (1125, 2436), (1170, 2532), (1179, 2556), (1242, 2688), (1284, 2778), (1290, 2796), (1366, 768),
+    (1440, 2560), (1440, 3200), (1920, 1080), (2560, 1440), (2560, 1600), (2880, 1800), (3024, 1964), (3456, 2234), (3840, 2160),
 )
-SCREENSHOT = r"(?i)screen[ _-]?(?:shot|capture)|screen recording|^capture[ _-]?\d|^snip"
+SHOT_WORDS = ("shot", "capture")
+JOINTS = ("", " ", "-", "_")
+
+
+def named_as_screenshot(name: Column) -> Column:
+    """Whether a name speaks of a shot, capture or recording of a screen, or begins as a snip or a numbered capture."""
+    low = F.lower(name)
+    inside = F.lit(False)
+    for word in SHOT_WORDS:
+        for joint in JOINTS:
+            inside = inside | low.contains(f"screen{joint}{word}")
+    after = F.substring(low, len("capture") + 1, 2)  # a digit, with at most one joint before it
+    first, second = F.substring(after, 1, 1), F.substring(after, 2, 1)
+    numbered = first.between("0", "9") | (first.isin(*JOINTS[1:]) & second.between("0", "9"))
+    return inside | low.contains("screen recording") | low.startswith("snip") | (low.startswith("capture") & numbered)
 
 
 def screenshots(media: DataFrame) -> DataFrame:
-    """Photos without a camera that are named as screenshots, or are PNGs of a screen's size."""
-    low = F.lower("name")
-    hinted = low.contains("screen") | low.contains("capture") | low.startswith("snip") | low.endswith(".png")
+    """Photos without a camera that are named as screenshots, or are PNGs of a screen's size, either way round."""
     shape = F.struct(F.least("width", "height").cast("int").alias("a"), F.greatest("width", "height").cast("int").alias("b"))
-    sizes = F.array(*(F.struct(F.lit(min(s)).alias("a"), F.lit(max(s)).alias("b")) for s in SCREENS))
+    sizes = F.array_distinct(F.array(*(F.struct(F.lit(min(s)).alias("a"), F.lit(max(s)).alias("b")) for s in SCREENS)))
     photo = F.col("deleted_at").isNull() & (F.col("missing") == 0) & (F.col("kind") == "photo") & F.col("camera_make").isNull() & F.col("camera_model").isNull()
-    return media.where(photo & hinted & (F.col("name").rlike(SCREENSHOT) | (low.endswith(".png") & F.array_contains(sizes, shape))))
+    of_screen = F.lower("name").endswith(".png") & F.array_contains(sizes, shape)
+    return media.where(photo & (named_as_screenshot(F.col("name")) | of_screen))
 
 
 def nonface_reason(min_detection: float, min_size: float, min_quality: float) -> Column:

@@ -16,7 +16,7 @@ CELLS = 1000
 
 
 def sweep(pairs: DataFrame, low: float = 0.3, high: float = 0.8, beta: float = 0.5) -> DataFrame:
-    """(t, precision, recall, f) at every distinct similarity within the range; equal similarities count together."""
+    """(t, precision, recall, f, tp) at every distinct similarity within the range; equal similarities count together."""
     by = pairs.groupBy(F.col("similarity").alias("t")).agg(F.sum("correct").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor(F.col("t") * CELLS))
     # running sums over cells of similarity, then within each cell: no window holds all rows
     cells = by.groupBy("cell").agg(F.sum("pos").alias("p"), F.sum("n").alias("c"))
@@ -28,7 +28,7 @@ def sweep(pairs: DataFrame, low: float = 0.3, high: float = 0.8, beta: float = 0
     c = by
     p, r, b = F.col("tp") / F.col("said"), F.col("tp") / total, beta * beta
     f = F.when(F.col("tp") > 0, (1 + b) * p * r / (b * p + r)).otherwise(0.0)
-    return c.where(F.col("t").between(low, high)).select("t", p.alias("precision"), r.alias("recall"), f.alias("f"))
+    return c.where(F.col("t").between(low, high)).select("t", p.alias("precision"), r.alias("recall"), f.alias("f"), "tp")
 
 
 def tune(pairs: DataFrame, current: float, least: int = 40, each: int = 10, rate: float = 0.25, low: float = 0.3, high: float = 0.8) -> float:

@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def _terms(stemmed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("words")
-            size = pa.compute.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = words.flatten()
             coded = stems.stems(flat) if stemmed else flat.dictionary_encode()
             names = coded.dictionary.dictionary_encode()  # two words may have one stem

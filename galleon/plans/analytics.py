@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import changes, graph, sessions, text, vectors, windows
+from ..operators import changes, graph, learning, sessions, text, vectors, windows
 from ..session import table
 
 SIM = 0.38
@@ -98,13 +98,8 @@ def q_loo_eval(spark, sf):
 def q_threshold_sweep(spark, sf):
     d, la = table(spark, sf, "documents"), table(spark, sf, "labels")
     rows = d.join(la, "doc_id").select(F.round(F.least(F.lit(1.0), F.col("n_chars") / 2000), 2).alias("s"), F.col("quality").alias("y"))
-    by = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))  # at most one row a score
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    total = rows.agg(F.sum("y")).scalar()
-    c = by.select("s", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("said"), total.alias("all"))
-    p, r = F.col("tp") / F.col("said"), F.col("tp") / F.col("all")
-    f = F.when(F.col("tp") > 0, 1.25 * p * r / (0.25 * p + r)).otherwise(0.0)
-    return c.where(F.col("s").between(0.3, 0.8)).select("s", "tp", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f_half"))
+    c = learning.sweep(rows.select(F.col("s").alias("similarity"), F.col("y").alias("correct")))
+    return c.select(F.col("t").alias("s"), "tp", *(F.round(x, 6).alias(y) for x, y in (("precision", "precision"), ("recall", "recall"), ("f", "f_half"))))
 
 
 WEIGHTS = {"knn": 1.0, "recent": 0.3, "text": 0.8}

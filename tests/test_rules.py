@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import date, datetime, timedelta
 from statistics import median
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galleon.functions import scalars as X
-from galleon.operators import events, sequences
+from galleon.operators import events, facets, sequences
 from galleon.plans import search as S
 
 ITEM = "user_id long, event_id long, ts timestamp_ntz, lat double, lon double, vec array<double>, people array<long>"
@@ -387,3 +388,16 @@ def test_leave_one_out_against_brute_force(spark):
         own, wrong = cos[label[i]], max(x for c, x in cos.items() if c != label[i])
         assert abs(row.own - own) < 1e-5 and abs(row.wrong - wrong) < 1e-5
         assert row.outcome == ("tp" if own >= 0.1 and wrong < 0.1 else "fp" if wrong >= 0.1 else "fn")
+
+
+def test_names_of_screenshots(spark):
+    names = {"Screenshot_1.png": True, "my screen shot": True, "SCREEN-CAPTURE 2": True, "screen_recording": False, "Screen Recording 3": True, "capture1": True, "Capture_2": True, "capture--3": False, "capture": False, "a capture 3": False, "snippet": True, "a snip": False, "screen  shot": False, None: None}
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", facets.named_as_screenshot(F.col("name")).alias("is")).collect()
+    assert {r.name: r["is"] for r in rows} == names
+
+
+def test_dates_in_names_have_small_plans(spark):
+    df = spark.createDataFrame([("IMG_20240131_235959.jpg",)], "name string").select(X.date_in_name(F.col("name")).alias("at"))
+    start = time.perf_counter()
+    assert str(df.first()["at"]) == "2024-01-31 23:59:59"
+    assert time.perf_counter() - start < 20 and len(df._jdf.queryExecution().analyzed().toString()) < 20_000
