@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field, replace
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import facets, text, vectors
@@ -152,6 +152,16 @@ def filtered(q: HybridQuery, media: DataFrame, faces: DataFrame) -> DataFrame:
     return rows
 
 
+def postings_words(words: str) -> list[str]:
+    """The words that a text search looks for."""
+    return [t for t in re.findall(r"[\w']+", words.lower()) if len(t) > 2][:8]
+
+
+def words_of(column: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"([\w']+)"), 1))
+
+
 def search(q: HybridQuery, media: DataFrame, faces: DataFrame, embeddings: DataFrame, captions: DataFrame) -> DataFrame:
     """(id, score, n_signals) of a page; without signals the newest first with no score."""
     rows = filtered(q, media, faces)
@@ -161,7 +171,7 @@ def search(q: HybridQuery, media: DataFrame, faces: DataFrame, embeddings: DataF
     if q.vector:
         near = vectors.nearest(embeddings.join(alive, "id", "left_semi"), list(q.vector), depth, key="id")
         signals.append(near.select(F.lit("vector").alias("signal"), "id", F.col("similarity").alias("value")))
-    tokens = [t for t in re.findall(r"[\w']+", q.text.lower()) if len(t) > 2][:8]
+    tokens = postings_words(q.text)
     if tokens:
         found = text.bm25(captions.join(alive, "id", "left_semi"), tokens, key="id", text="caption").orderBy(F.desc("score"), F.desc("id")).limit(depth)
         signals.append(found.select(F.lit("text").alias("signal"), "id", F.col("score").alias("value")))
