@@ -6,6 +6,7 @@ from galleon.operators import events, postings, sequences
 from galleon.plans import sequential, upkeep
 
 from .test_assignment import brute as assigned
+from .test_evidence import brute as suggested
 from .test_postings import brute as searched
 from .test_reconcile import brute as reconciled
 
@@ -43,3 +44,10 @@ def test_event_upkeep(spark):
 def test_stream_tracks(spark):
     rows = lambda df: sorted(tuple(r) for r in df.select("media_id", "id", "track").collect())
     assert rows(upkeep.q_stream_tracks(spark, SF)) == rows(sequences.track(sequential._detections(spark, SF)))
+
+
+def test_merge_evidence(spark):
+    rows = [tuple(r) for r in upkeep.suggested_faces(spark, SF).collect()]
+    want, _ = suggested(rows, 0.48, set(), set(), 600, 60)
+    got = upkeep.q_merge_evidence(spark, SF).collect()
+    assert {(r.a, r.b) for r in got} == {x[:2] for x in want} and len(want) > 2
