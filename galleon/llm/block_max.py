@@ -157,7 +157,7 @@ class Lists:
         self.first, self.last, self.impact = (rows[c].to_numpy().astype(np.int64) for c in ("first", "last", "impact"))
         self.data, names = rows["data"].to_pylist(), rows["term"].to_pylist()
         at = [i for i, x in enumerate(names) if not i or x != names[i - 1]]
-        self.of = {names[a]: slice(a, b) for a, b in zip(at, [*at[1:], len(names)], strict=True)}
+        self.of = {names[a]: slice(a, b) for a, b in zip(at, [*at[1:], len(names)], strict=False)}
         self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.unpacked = 0
 

@@ -74,7 +74,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(len(words)), stop - start)
     place = np.arange(len(points))
     h, found = np.zeros(len(points), np.uint64), []
-    for k in range(1, 6):
+    for k in range(1, min(6, len(points) + 1)):
         x = np.zeros(len(points), np.uint64)
         x[: len(points) - k + 1] = points[k - 1 :]
         h = W.mix(h * np.uint64(W.BASE) + x + np.uint64(k))
@@ -245,7 +245,7 @@ def fit(labelled: DataFrame, shards: int = 8, shard_bytes: int = 8 << 20, steps:
     total = sum(r.n for r in rows) or 1
     flat = sum((np.frombuffer(r.weights, "<f4").astype(float) * (r.n / total) for r in rows), np.zeros((1 << BITS) * k + 2 * k * k + k))
     a, b, c = (1 << BITS) * k, (1 << BITS) * k + k * k, (1 << BITS) * k + 2 * k * k
-    return Model(langs, words, flat[:a].reshape(-1, k), flat[a:b].reshape(k, k), flat[b:c].reshape(k, k), flat[c:])
+    return Model(langs, words, flat[:a].reshape(1 << BITS, k), flat[a:b].reshape(k, k), flat[b:c].reshape(k, k), flat[c:])
 
 
 def _labelled(texts: Iterator[tuple[int, str | None]], model: Model) -> Iterator[tuple[Batch, np.ndarray, np.ndarray]]:
