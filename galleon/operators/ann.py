@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, vectors
+from .vectors import matrix
 from .windows import top_n
 
 SAMPLE = 20_000  # rows on which centres are fitted
@@ -22,15 +23,6 @@ LISTS = 4096  # lists at most: the centres are sent to every task
 SLACK = 1e-6
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A column of lists of one length as unit rows, from its flat values."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks else pa.array([], column.type)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    v = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-
-
 def fit_centres(v: np.ndarray, lists: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     """Unit centres of unit rows by spherical k-means."""
     centres = v[np.random.default_rng(seed).permutation(len(v))[:lists]].copy()

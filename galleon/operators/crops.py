@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, vectors, windows
+from . import ann, graph, vectors, windows
 from .sequences import overlaps
 
 
@@ -244,7 +244,7 @@ def auto_identity(crops: DataFrame, people: DataFrame, seen: DataFrame, apart: D
     floors = floors or LEVELS[level]
     best = windows.top_n(crops, ["person_id"], [F.desc("quality"), F.asc("face_id")], 2 * CROPS)
     best = graph.cut(best.withColumn("embedding", vectors.unit(F.col("embedding"))))
-    pairs = vectors.similarity_join(best, floors[0] - SPLIT_BONUS - 1e-9, "face_id")
+    pairs = ann.similarity_join(best, floors[0] - SPLIT_BONUS - 1e-9, key="face_id")
     who = best.select("face_id", "person_id")
     side = lambda c: who.select(F.col("face_id").alias(c), F.col("person_id").alias(f"p{c}"))
     label = graph.components(pairs.join(side("a"), "a").join(side("b"), "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, vectors, windows
+from . import ann, graph, vectors, windows
 
 
 def assign(faces: DataFrame, people: DataFrame, threshold: float, margin: float = 0.04, block_rows: int = 4096) -> DataFrame:
@@ -21,8 +21,8 @@ def assign(faces: DataFrame, people: DataFrame, threshold: float, margin: float
 
 
 def reconcile(vecs: DataFrame, threshold: float, key: str = "vec_id") -> DataFrame:
-    """(id, group): density groups of two or more (every neighbour counts), i.e. components over close pairs; others have null."""
-    label = graph.components(vectors.similarity_join(vecs, threshold - 1e-6, key))
+    """(id, group), before corrections (``reconcile.reconcile`` keeps them): density groups of two or more (every neighbour counts), i.e. components over close pairs; others have null."""
+    label = graph.components(ann.similarity_join(vecs, threshold - 1e-6, key=key))
     return vecs.select(F.col(key).alias("id")).join(label, "id", "left").select("id", F.col("component").alias("group"))
 
 
@@ -33,7 +33,7 @@ def merge_suggestions(crops: DataFrame, centroid_floor: float, crop_floor: float
     """
     best = windows.top_n(crops, ["person_id"], [F.desc("quality"), F.asc("face_id")], per_person)
     who = best.select(F.col("face_id").alias("f"), F.col("person_id").alias("p"))
-    pairs = vectors.similarity_join(best, crop_floor - 0.2, "face_id")
+    pairs = ann.similarity_join(best, crop_floor - 0.2, key="face_id")
     pairs = pairs.join(who.select(F.col("f").alias("a"), F.col("p").alias("pa")), "a").join(who.select(F.col("f").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
     near = pairs.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.max("similarity").alias("best"))
     mean = vectors.centroids(best, "person_id", F.greatest(F.lit(0.15), F.col("quality")), digits=9).select("person_id", "centroid")

@@ -36,6 +36,15 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return sim.orderBy(F.desc("similarity"), key).limit(k)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of lists of one length as unit rows, from its flat values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks else pa.array([], column.type)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    v = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
 def _blocks(vectors: DataFrame, key: str, column: str, n: int) -> DataFrame:
     return vectors.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.col(key).alias("id"), F.col(column).alias("v"))
 
@@ -57,8 +66,7 @@ def similarity_join(vectors: DataFrame, threshold: float, key: str = "vec_id", c
         side = t["block"].to_numpy()
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
         ids = t["id"].to_numpy()
-        v = np.stack([np.asarray(x, np.float64) for x in t["v"].to_pylist()])
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v = matrix(t["v"])
         x, y = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         sim = v[x] @ v[y].T
         i, j = np.nonzero(sim >= threshold)
@@ -78,16 +86,15 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_i
 
     def run(t: pa.Table) -> pa.Table:
         side, ids = t["side"].to_numpy(), t["id"].to_numpy()
-        v = np.stack([np.asarray(x, np.float64) for x in t["v"].to_pylist()])
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v = matrix(t["v"])
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        y = y[np.argsort(ids[y], kind="stable")]  # ties go to the least id
         sim = v[x] @ v[y].T
         sim[ids[x][:, None] == ids[y][None, :]] = -np.inf
-        out = []
-        for i in range(len(x)):
-            order = np.lexsort((ids[y], -sim[i]))[:k]
-            out += [(int(ids[x[i]]), int(ids[y[j]]), float(sim[i, j])) for j in order if np.isfinite(sim[i, j])]
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "similarity": pa.array([o[2] for o in out], pa.float64())})
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        a, b, s = np.repeat(ids[x], top.shape[1]), ids[y][top].ravel(), np.take_along_axis(sim, top, axis=1).ravel()
+        ok = np.isfinite(s)
+        return pa.table({"a": a[ok], "b": b[ok], "similarity": s[ok]})
 
     best = left.union(right).groupBy("q", "d").applyInArrow(run, "a long, b long, similarity double")
     return top_n(best, ["a"], [F.desc("similarity"), F.asc("b")], k, "rank")
