@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, curation, relational, sequential, upkeep
+from . import analytics, curation, lookups, relational, sequential, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [relational, analytics, sequential, curation, upkeep]
+MODULES = [relational, analytics, sequential, curation, upkeep, lookups]
 
 
 def queries() -> dict[str, Query]:

@@ -244,8 +244,10 @@ def test_names_shares_and_phrases(spark):
     share = lambda s: (lambda r: r and (r.server, r.share))(get(X.share_parts(F.lit(s))))
     assert share("//me@NAS/photos/a%20b/") == ("nas", "photos/a b") and share("nas:/export/x") == ("nas", "/export/x")
     assert share("\\\\\\\\NAS\\\\pics") == ("nas", "pics") and share("https://Host/a/b") == ("host", "a/b") and share("plain") is None
+    assert share("\\\\NAS\\pics\\2024") == ("nas", "pics/2024")  # as Windows writes it
     rel = lambda r, p: get(X.relative_identity(F.lit(r), F.lit(p)))
     assert rel("/Lib/", "/lib/A. /B.JPG") == "a/b.jpg" and rel("/lib", "/other/x") is None and rel("/lib", "/lib") is None
+    assert rel("\\\\Nas\\Pics", "\\\\nas\\pics\\A\\b.jpg") == "a/b.jpg" == rel("C:\\Pics", "c:\\pics\\A\\b.jpg")
     raw = "Here you go:\n1. A photo of a red boat. It sails.\n- \"sunset over the sea\"\n* Sunset over the sea\nword\n3) the old town in winter"
     assert get(X.clean_phrases(F.lit(raw))) == ["a red boat", "sunset over the sea", "the old town in winter"]
     h = "0" * 48
