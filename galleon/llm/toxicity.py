@@ -8,9 +8,10 @@ penalty is fitted on the scaled features.
 
 Fitting reads a bounded sample of labelled rows (``max_train``, by hash of id and text; rows
 equal in both count once): the
-features' document counts are summed per task and merged by ranges of features, the
-``max_features`` with the strongest ratios are kept, and only their presence in the
-sample comes to the driver.  Scoring is one pass over every whole text.
+features' document counts are summed per task and merged by ranges of features.  Features in
+fewer than ``least`` (4) rows or with a ratio below 0.7 in size (odds under two to one) are
+left out as noise, the ``max_features`` (8,192) with the strongest ratios of the others are kept, and only
+their presence in the sample comes to the driver.  These cuts choose features; no row or text is cut.  Scoring is one pass over every whole text.
 
 Defined cases: null and empty texts get the score of a text without features; labels
 without text or without a label are not learnt from; rows that repeat an id are scored
