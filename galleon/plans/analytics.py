@@ -97,9 +97,9 @@ def q_loo_eval(spark, sf):
 
 def q_threshold_sweep(spark, sf):
     d, la = table(spark, sf, "documents"), table(spark, sf, "labels")
-    rows = d.join(la, "doc_id").select(F.round(F.least(F.lit(1.0), F.col("n_chars") / 2000), 2).alias("s"), F.col("quality").alias("y"))
+    rows = d.join(la, "doc_id").select(X.scaled_round(F.least(F.lit(1.0), F.col("n_chars") / 2000), 2).alias("s"), F.col("quality").alias("y"))
     c = learning.sweep(rows.select(F.col("s").alias("similarity"), F.col("y").alias("correct")))
-    return c.select(F.col("t").alias("s"), "tp", *(F.round(x, 6).alias(y) for x, y in (("precision", "precision"), ("recall", "recall"), ("f", "f_half"))))
+    return c.select(F.col("t").alias("s"), "tp", *(X.scaled_round(F.col(x), 6).alias(y) for x, y in (("precision", "precision"), ("recall", "recall"), ("f", "f_half"))))
 
 
 WEIGHTS = {"knn": 1.0, "recent": 0.3, "text": 0.8}

@@ -2,12 +2,14 @@ import itertools
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from galleon.functions import scalars as X
 from galleon.operators import changes, events, facets, graph, sequences, sessions, vectors
+from galleon.plans.analytics import QUERIES as ANALYTICS
 from galleon.sources import files
 from galleon.streaming import incremental
 
@@ -156,3 +158,21 @@ def test_strikes(spark):
     one = spark.range(1)
     s = lambda n, net: one.select(changes.strike(F.lit(True), F.lit(n), net).alias("x")).first().x
     assert [s(0, False), s(0, True), s(1, True), s(2, True)] == [2, 1, 2, 2]
+
+
+def test_scaled_round_is_that_of_sql(spark):
+    values = [i / 2000 for i in range(2001)] + [-0.575, 2.5, -2.5, None, 8580000309.125]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(*(X.scaled_round(F.col("v"), d) for d in (0, 2, 6))).collect()
+    con = duckdb.connect()
+    want = [con.sql(f"SELECT round(v, 0), round(v, 2), round(v, 6) FROM (SELECT {'NULL' if v is None else v}::DOUBLE AS v)").fetchall()[0] for v in values]
+    assert [tuple(r) for r in got] == want and got[1150][1] == 0.57
+
+
+def test_threshold_sweep_has_the_cells_of_its_sql(spark, tmp_path):
+    spark.createDataFrame([(i, 1100 + 10 * i) for i in range(20)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con, (run, sql) = duckdb.connect(), ANALYTICS["q_threshold_sweep"]
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df, want = run(spark, str(tmp_path)), con.sql(sql)
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
