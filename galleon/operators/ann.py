@@ -115,26 +115,29 @@ def tune(index: Index, queries: DataFrame, rows: DataFrame, k: int, target: floa
 
 
 def filtered(index: Index, rows: DataFrame, allowed: DataFrame, query: list[float], k: int, exact_limit: int = 5000, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, similarity): the ``k`` nearest of the allowed rows to one query.
+    """(id, similarity): the ``k`` nearest of the allowed rows to one query, exactly.
 
     Few allowed rows are all compared.  Else the lists are visited by their centres'
-    distance, twice as many each time, until ``k`` allowed rows are found in them or none
-    is left.
+    distance, twice as many each time, until ``k`` allowed rows are found in them; the worst of
+    these bounds the angle, and then every list that can hold a row as near is visited.
     """
     ids = graph.cut(allowed.select(F.col(key).cast("long").alias("id")).distinct())
     q = np.asarray(query, float) / np.linalg.norm(query)
-    order = np.argsort(-(index.centres @ q))
-    some = index.rows
-    if ids.limit(exact_limit + 1).count() > exact_limit:
-        probes = 8
-        while probes < len(order):
-            near = index.rows.where(F.col("list").isin(*map(int, order[:probes])))
-            if near.join(ids, "id", "left_semi").limit(k).count() >= k:
-                some = near
-                break
-            probes *= 2
-    found = vectors.nearest(some.join(ids, "id", "left_semi"), list(map(float, query)), k, key="id", column="v")
-    return found.select("id", "similarity")
+    angle = np.arccos(np.clip(index.centres @ q, -1, 1))
+    order = np.argsort(angle)
+    best = lambda some: vectors.nearest(some.join(ids, "id", "left_semi"), list(map(float, query)), k, key="id", column="v").select("id", "similarity")
+    of = lambda lists: index.rows.where(F.col("list").isin(*map(int, lists)))
+    if k < 1 or ids.limit(exact_limit + 1).count() <= exact_limit:
+        return best(index.rows)
+    probes = 8
+    while probes < len(order):
+        found = best(of(order[:probes])).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("worst")).first()
+        if found["n"] >= k:
+            far = float(np.arccos(np.clip(found["worst"], -1, 1))) + SLACK
+            wide = {r["list"]: r["wide"] for r in index.rows.groupBy("list").agg(F.max("angle").alias("wide")).collect()}  # a row a list
+            return best(of([i for i, w in wide.items() if angle[i] - w <= far]))
+        probes *= 2
+    return best(index.rows)
 
 
 def similarity_join(rows: DataFrame, threshold: float, lists: int | None = None, key: str = "vec_id", column: str = "embedding", block_rows: int = 2048) -> DataFrame:

@@ -62,6 +62,15 @@ def test_filtered_neighbours(spark, limit):
     assert len(set(found) & set(best)) >= 4 and set(found) <= set(allowed)
 
 
+def test_filtered_neighbours_are_exact_where_lists_say_little(spark):
+    v = unit(np.random.default_rng(5).normal(size=(400, 12)).astype(np.float32).astype(float))
+    rows = frame(spark, v)
+    index, allowed = ann.build(rows, lists=40), rows.where("vec_id % 2 = 1")
+    for at in (0, 2):
+        found = [r.id for r in ann.filtered(index, rows, allowed, v[at].tolist(), 10, exact_limit=10).orderBy(F.desc("similarity")).collect()]
+        assert found == sorted(range(1, 400, 2), key=lambda i: -(v[i] @ v[at]))[:10]
+
+
 def test_keyframes_and_samples(spark):
     r = random.Random(1)
     rows = [(m, round(k * 0.25, 2), r.choice([0.0, 0.1, 0.5]), r.choice([0.0, 0.05, 0.2, None])) for m in (1, 2) for k in range(300)]
