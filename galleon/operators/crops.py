@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ann, graph, vectors, windows
-from .sequences import overlaps
+from .sequences import pair_overlaps
 
 
 def keyframes(frames: DataFrame, by: str = "media_id", cut: float = 0.3, least: float = 1.0, most: float = 30.0) -> DataFrame:
@@ -59,6 +59,39 @@ def _matrix(column: pd.Series, width: int = 0) -> np.ndarray:
     return out
 
 
+SLACK = 1e-6  # around windows of time, which are judged exactly afterwards
+PAIRS = 500_000  # that are compared at once; one new face and all old ones of its time at least
+
+
+def pick_redetections(pdf: pd.DataFrame, by: str, threshold: float, near: float, overlap: float) -> pd.DataFrame:
+    """The choices of one group's new faces: each is compared only with the old ones of its time, equal ones going to the least id."""
+    a, b = pdf[pdf["known"]].sort_values("timestamp", kind="stable"), pdf[~pdf["known"]].sort_values("id")
+    boxes, looks, keys, ta = _matrix(a["bbox"], 4), _matrix(a["embedding"]), a["id"].to_numpy(), a["timestamp"].to_numpy(float)
+    new_boxes, new_looks, tb = _matrix(b["bbox"], 4), _matrix(b["embedding"]), b["timestamp"].to_numpy(float)
+    timed, taken, found, start = int((~np.isnan(ta)).sum()), np.zeros(len(a), bool), np.full(len(b), -1), 0
+    # old faces of a new one's time stand side by side; those without a time are last
+    low = np.where(np.isnan(tb), timed, np.searchsorted(ta[:timed], tb - near - SLACK, "left"))
+    many = np.where(np.isnan(tb), len(a), np.searchsorted(ta[:timed], tb + near + SLACK, "right")) - low
+    ends = np.cumsum(many)
+    while start < len(b):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        n = many[start:stop]
+        i = np.repeat(np.arange(start, stop), n)
+        j = np.repeat(low[start:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ok = ~taken[j] & ((np.abs(ta[j] - tb[i]) <= near) | np.isnan(tb[i]))
+        i, j = i[ok], j[ok]
+        shared = pair_overlaps(new_boxes[i], boxes[j])
+        alike = np.einsum("ij,ij->i", new_looks[i], looks[j]) if new_looks.shape[1] and looks.shape[1] else np.zeros(len(i))
+        ok = (shared >= overlap) & (alike >= threshold)
+        i, j, score = i[ok], j[ok], (shared + alike)[ok]
+        for k in np.lexsort((keys[j], -score, i)).tolist():
+            if found[i[k]] < 0 and not taken[j[k]]:
+                found[i[k]], taken[j[k]] = j[k], True
+        start = stop
+    out = [(m, key, int(keys[f]) if f >= 0 else None) for m, key, f in zip(b[by], b["id"], found, strict=True)]
+    return pd.DataFrame(out, columns=[by, "id", "old_id"]).astype({"old_id": "Int64"})
+
+
 def redetections(old: DataFrame, new: DataFrame, threshold: float, by: str = "media_id", near: float = 0.001, overlap: float = 0.55) -> DataFrame:
     """(by, id, old_id): which known face a face found again is, null if none.
 
@@ -68,26 +101,8 @@ def redetections(old: DataFrame, new: DataFrame, threshold: float, by: str = "me
     """
     cols = [by, "id", "timestamp", "bbox", "embedding"]
     rows = old.select(*cols).withColumn("known", F.lit(True)).unionByName(new.select(*cols).withColumn("known", F.lit(False)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["known"]], pdf[~pdf["known"]].sort_values("id")
-        out = []
-        if len(b):
-            shared, alike = overlaps(_matrix(b["bbox"], 4), _matrix(a["bbox"], 4)), np.zeros((len(b), len(a)))
-            if len(a) and b["embedding"].notna().any() and a["embedding"].notna().any():
-                alike = _matrix(b["embedding"]) @ _matrix(a["embedding"]).T
-            ta, tb = a["timestamp"].to_numpy(float), b["timestamp"].to_numpy(float)
-            same = (np.abs(tb[:, None] - ta[None, :]) <= near) | (np.isnan(tb)[:, None] & np.isnan(ta)[None, :])
-            score = np.where(same & (shared >= overlap) & (alike >= threshold), shared + alike, -np.inf)
-            for i, key in enumerate(b["id"]):
-                j = int(np.argmax(score[i])) if len(a) else 0
-                hit = len(a) > 0 and score[i, j] > -np.inf
-                out.append((b[by].iloc[0], key, int(a["id"].iloc[j]) if hit else None))
-                if hit:
-                    score[:, j] = -np.inf
-        return pd.DataFrame(out, columns=[by, "id", "old_id"]).astype({"old_id": "Int64"})
-
-    return rows.groupBy(by).applyInPandas(run, f"{by} long, id long, old_id long")
+    pick = lambda pdf: pick_redetections(pdf, by, threshold, near, overlap)
+    return rows.groupBy(by).applyInPandas(pick, f"{by} long, id long, old_id long")
 
 
 def track_edges(tracks: DataFrame, probes: DataFrame, by: str = "media_id", alike: float = 0.5, quality: float = 0.35) -> DataFrame:

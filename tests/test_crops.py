@@ -1,14 +1,17 @@
 """Vectors in lists, and rules over crops and frames, against plain Python."""
 
 import itertools
+import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from galleon.functions import scalars as X
-from galleon.operators import ann, crops, library
+from galleon.operators import ann, crops, identity, library, sequences
 from galleon.streaming import incremental
 
 
@@ -101,6 +104,28 @@ def test_redetections(spark):
     assert found == {10: 2, 11: 1, 12: None, 13: None, 14: None}
 
 
+def test_redetections_of_a_long_video_need_no_square_of_it(spark):
+    """A task may not hold all pairs of a video's faces: 8,000 old and 8,000 new would be 512 MB for one array of scores."""
+    d = spark.range(16_000).selectExpr("1L AS media_id", "id", "CASE WHEN id % 50 > 1 THEN cast(floor(id / 8) AS double) END AS timestamp", "array(id % 3 * 2.0D, 0.0D, 20.0D, 20.0D) AS bbox", "array(cos(id % 5), sin(id % 5)) AS embedding")
+    rows, want, used = d.collect(), {}, set()
+    old, new = (sorted((r for r in rows if r.id % 2 == k), key=lambda r: r.id) for k in (0, 1))
+    by = {}
+    for r in old:
+        by.setdefault(r.timestamp, []).append(r)
+    for r in new:
+        x = [(sequences.box_iou(r.bbox, a.bbox) + np.dot(r.embedding, a.embedding), -a.id) for a in by.get(r.timestamp, []) if a.id not in used and sequences.box_iou(r.bbox, a.bbox) >= 0.55 and np.dot(r.embedding, a.embedding) >= 0.5] if r.timestamp is not None else []
+        want[r.id] = -max(x)[1] if x else None
+        used.add(want[r.id])
+    tracemalloc.start()
+    pdf = d.withColumn("known", F.expr("id % 2 = 0")).toPandas()
+    before = tracemalloc.get_traced_memory()[0]
+    found = crops.pick_redetections(pdf, "media_id", 0.5, 0.001, 0.55)
+    assert tracemalloc.get_traced_memory()[1] - before < 100e6
+    tracemalloc.stop()
+    got = {k: None if pd.isna(v) else int(v) for k, v in zip(found["id"], found["old_id"], strict=True)}
+    assert all(got[k] == v for k, v in want.items() if rows[k].timestamp is not None) and sum(v is not None for v in want.values()) > 1000
+
+
 def test_track_edges(spark):
     tracks = spark.createDataFrame([(1, 1, 10.0, 20.0, [1.0, 0.0]), (1, 2, 10.0, 20.0, [0.8, 0.6])], "media_id long, track long, first_ts double, last_ts double, vec array<double>")
     probes = [(1, 1, 9.0, [1.0, 0.0], 0.9), (1, 2, 9.0, [0.0, 1.0], 0.9), (1, 3, 21.0, [1.0, 0.0], 0.1), (1, 4, 15.0, [1.0, 0.0], 0.9), (1, 5, 8.0, [0.9, 0.1], 0.9)]
@@ -287,3 +312,18 @@ def test_late_changes_lose(spark, tmp_path):
         assert {tuple(r) for r in incremental.read_buckets(spark, str(tmp_path / "b"), base.columns).collect()} == want
     written = {p.name for p in (tmp_path / "b" / "data").glob("_v=2/*")}
     assert 0 < len([p for p in written if p.startswith("_p=")]) <= 2
+
+
+def test_tracker_splits_meet_by_place(spark):
+    r = np.random.default_rng(3)
+    odd = [None, float("inf"), 0.0, -1.0]
+    rows = [(int(r.integers(40)), int(r.integers(2)), float(r.integers(200)) / 4, float(r.integers(100)), float(r.integers(100)) / 4, odd[i] if i < 4 else float(r.integers(1, 60)) / 3) for i in range(500)]
+    want = set()
+    for p, m, t, x, y, z in rows:
+        for q, n, u, v, w, s in rows:
+            size = max(-1.0 if z is None else z, -1.0 if s is None else s)
+            if p < q and m == n and 0 < abs(t - u) <= 12 and math.hypot(x - v, y - w) <= 0.6 * size:
+                want.add((p, q))
+    found = identity.tracker_splits(spark.createDataFrame(rows, "person_id long, media_id long, timestamp double, cx double, cy double, size double"))
+    assert {(x.a, x.b) for x in found.collect()} == want and len(want) > 20
+    assert "cell_cx" in found._jdf.queryExecution().optimizedPlan().toString()
