@@ -21,6 +21,8 @@ from .windows import top_n
 SAMPLE = 20_000  # rows on which centres are fitted
 LISTS = 4096  # lists at most: the centres are sent to every task
 SLACK = 1e-6
+VISITORS = 65_536  # rows that a task compares with its block, about
+COPIES, SENT = 1_000_000, 8192  # rows that are dealt, and sent, at once
 
 
 def fit_centres(v: np.ndarray, lists: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -140,11 +142,12 @@ def filtered(index: Index, rows: DataFrame, allowed: DataFrame, query: list[floa
     return best(index.rows)
 
 
-def similarity_join(rows: DataFrame, threshold: float, lists: int | None = None, key: str = "vec_id", column: str = "embedding", block_rows: int = 2048) -> DataFrame:
+def similarity_join(rows: DataFrame, threshold: float, lists: int | None = None, key: str = "vec_id", column: str = "embedding", block_rows: int = 2048, visitors: int = VISITORS) -> DataFrame:
     """Pairs (a < b, similarity) with cosine at or above the threshold, all of them.
 
     Vectors visit the lists before their own that can hold a partner; a list's own
-    vectors are dealt to blocks, and a task compares one block with its visitors.
+    vectors are dealt to blocks, and a task compares one block with a slice of its visitors,
+    about ``visitors`` at most, so its memory does not follow the number of vectors.
     """
     index = build(rows, lists, key, column)
     centres, far = index.centres, float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
@@ -152,8 +155,17 @@ def similarity_join(rows: DataFrame, threshold: float, lists: int | None = None,
     wide = np.array([about.get(i, (-np.inf, 0))[0] for i in range(len(centres))])
     parts = np.array([max(1, -(-about.get(i, (0, 0))[1] // block_rows)) for i in range(len(centres))])
 
+    slices = max(1, -(-sum(n for _, n in about.values()) // visitors))
+    step = max(1, min(1024, COPIES // (int(parts.sum()) + slices)))
+    mixed = lambda ids: ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+    def send(b, x, to, part, side, piece):
+        for k in range(0, len(x), SENT):
+            at, n = slice(k, k + SENT), len(x[k : k + SENT])
+            yield pa.RecordBatch.from_arrays([pa.array(to[at], pa.int32()), pa.array(part[at], pa.int32()), pa.array(piece[at], pa.int32()), pa.array(np.full(n, side), pa.int32()), b.column("id").take(pa.array(x[at])), b.column("v").take(pa.array(x[at]))], ["list", "part", "slice", "side", "id", "v"])
+
     def deal(batches):
-        for b in batches:
+        for b in (whole.slice(k, step) for whole in batches for k in range(0, whole.num_rows, step)):
             v, of, ids = matrix(b.column("v")), b.column("list").to_numpy(), b.column("id").to_numpy()
             angle = np.arccos(np.clip(v @ centres.T, -1, 1))
             goes = angle <= wide[None, :] + far
@@ -166,14 +178,15 @@ def similarity_join(rows: DataFrame, threshold: float, lists: int | None = None,
             i, to, own = np.repeat(i, n), np.repeat(to, n), np.repeat(own, n)
             home = (to == of[i]) & (part == own)
             ask = ~home & ((to != of[i]) | (part < own))  # blocks of one list meet once
-            for keep, side in ((home, 0), (ask, 1)):
-                x = i[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(to[keep], pa.int32()), pa.array(part[keep], pa.int32()), pa.array(np.full(len(x), side), pa.int32()), pa.array(ids[x]), b.column("v").take(pa.array(x))], ["list", "part", "side", "id", "v"])
+            every = np.flatnonzero(home).repeat(slices)  # a block is in all its slices
+            yield from send(b, i[every], to[every], part[every], 0, np.tile(np.arange(slices), int(home.sum())))
+            yield from send(b, i[ask], to[ask], part[ask], 1, mixed(ids[i[ask]]) % slices)
 
     def meet(t: pa.Table) -> pa.Table:
         side, ids, v = t["side"].to_numpy(), t["id"].to_numpy(), matrix(t["v"])
         y, out = np.flatnonzero(side == 0), []
-        for x, inner in ((y, True), (np.flatnonzero(side == 1), False)):
+        within = y if t["slice"][0].as_py() == 0 else y[:0]  # a block meets itself once
+        for x, inner in ((within, True), (np.flatnonzero(side == 1), False)):
             for i in np.array_split(x, -(-len(x) // 1024)) if len(x) and len(y) else []:
                 sim = v[i] @ v[y].T
                 p, q = np.nonzero(sim >= threshold)
@@ -183,5 +196,5 @@ def similarity_join(rows: DataFrame, threshold: float, lists: int | None = None,
         cols = [np.concatenate([np.zeros(0, kind), *(o[c] for o in out)]) for c, kind in enumerate((np.int64, np.int64, float))]
         return pa.table(dict(zip(("a", "b", "similarity"), cols, strict=True)))
 
-    sent = index.rows.mapInArrow(deal, "list int, part int, side int, id long, v array<double>")
-    return sent.groupBy("list", "part").applyInArrow(meet, "a long, b long, similarity double")
+    sent = index.rows.mapInArrow(deal, "list int, part int, slice int, side int, id long, v array<double>")
+    return sent.groupBy("list", "part", "slice").applyInArrow(meet, "a long, b long, similarity double")

@@ -39,6 +39,14 @@ def test_join_in_lists_is_exact(spark, threshold, lists, block):
     assert len(found) == len(set(found)) and set(found) == want and (7, 8) in want
 
 
+@pytest.mark.parametrize("visitors,lists,block", [(50, 20, 50), (7, 1, 64), (200, 8, 2048)])
+def test_join_in_lists_is_exact_in_slices_of_visitors(spark, visitors, lists, block):
+    v = unit(clusters().astype(np.float32).astype(float))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.6, 1)), strict=True)}
+    found = [(r.a, r.b) for r in ann.similarity_join(frame(spark, v), 0.6, lists, block_rows=block, visitors=visitors).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_approximate_neighbours_reach_their_recall(spark):
     v = clusters(900)
     rows = frame(spark, v)
