@@ -181,7 +181,7 @@ class Person:
         self.id, self.size, self.version, self.members = int(first["person_id"]), int(first["faces"]), 0, {int(first["person_id"])}
         name = (first["name"] or "").strip().lower()
         self.names = {name} if name else set()
-        self.apart, self.seen = set(first["apart"]), {tuple(k) for k in first["seen"]}
+        self.apart, self.seen = {k for some in rows["apart"] for k in some}, {tuple(k) for some in rows["seen"] for k in some}
         self.settle(rows.sort_values(["quality", "face_id"], ascending=[False, True]))
 
     def settle(self, rows: pd.DataFrame) -> None:
@@ -269,7 +269,10 @@ def auto_identity(crops: DataFrame, people: DataFrame, seen: DataFrame, apart: D
     both = apart.select("a", "b").union(apart.select("b", "a"))
     kept = both.groupBy(F.col("a").alias("person_id")).agg(F.collect_set("b").alias("apart"))
     about = people.select(F.col("id").alias("person_id"), "name", F.col("face_count").alias("faces"))
-    rows = best.join(label, "person_id").join(about, "person_id").join(places, "person_id", "left").join(kept, "person_id", "left")
+    # what is known of a person goes with one crop, not with each
+    one = best.groupBy("person_id").agg(F.min("face_id").alias("face_id"))
+    known = one.join(places, "person_id", "left").join(kept, "person_id", "left")
+    rows = best.join(label, "person_id").join(about, "person_id").join(known, ["person_id", "face_id"], "left")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     rows = rows.select("component", "person_id", "face_id", "media_id", "timestamp", "cx", "cy", "size", "embedding", "quality", "name", "faces", none("apart", "array<bigint>"), none("seen", "array<struct<m:bigint,t:double>>"))
 

@@ -335,3 +335,9 @@ def test_tracker_splits_meet_by_place(spark):
     found = identity.tracker_splits(spark.createDataFrame(rows, "person_id long, media_id long, timestamp double, cx double, cy double, size double"))
     assert {(x.a, x.b) for x in found.collect()} == want and len(want) > 20
     assert "cell_cx" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_is_known_of_a_person_may_come_with_any_crop():
+    rows = [{"person_id": 1, "faces": 2, "name": None, "apart": a, "seen": s, "face_id": i, "media_id": 1, "timestamp": 0.0, "cx": 0.0, "cy": 0.0, "size": 1.0, "embedding": [1.0, 0.1 * i], "quality": 0.5} for i, a, s in ((1, [], []), (2, [5], [(7, 1.0)]))]
+    person = crops.Person(pd.DataFrame(rows))
+    assert person.apart == {5} and person.seen == {(7, 1.0)}
