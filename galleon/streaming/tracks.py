@@ -5,7 +5,8 @@ timer then takes all that are complete in order, frame by frame, so the tracks d
 the stream was cut into batches, nor on restarts.  Open tracks are list state too.  A timer behind the last frame ends
 them once no detection could join any more, so a finished video keeps one counter.
 
-State schema: ``waiting`` (id, ts, box, look, quality), ``open`` (track, seen, box, look), ``made`` (number of tracks).
+State schema: ``waiting`` (ids, rows: time, quality, box and look) has a row for every batch of a video's detections, as
+packed arrays and not detection by detection; ``open`` (tracks, rows: last time, box and look) is one value, ``made`` the number of tracks.
 """
 
 from __future__ import annotations
@@ -18,18 +19,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sequences import TRACK_GAP, Tracks
 
-WAITING = "id long, ts double, box array<double>, look array<double>, quality double"
-OPEN = "track long, seen double, box array<double>, look array<double>"
+WAITING = "ids binary, rows binary"
+OPEN = "tracks binary, rows binary"
 SHIFT = 86_400.0  # rows at the very start of time would count as late
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _load(rows: list[tuple], made: int, gap: float) -> Tracks:
+def _pack(ids: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes]:
+    return np.ascontiguousarray(ids, np.int64).tobytes(), np.ascontiguousarray(rows, float).tobytes()
+
+
+def _unpack(packed: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(packed[0], np.int64)
+    return ids, np.frombuffer(packed[1], float).reshape(len(ids), -1)
+
+
+def _load(packed: tuple[bytes, bytes] | None, made: int, gap: float) -> Tracks:
     tracks = Tracks(gap)
     tracks.made = made
-    if rows:
-        tracks.ids, tracks.seen = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-        tracks.boxes, tracks.looks = np.array([r[2] for r in rows], float), np.array([r[3] for r in rows], float)
+    if packed:
+        tracks.ids, rows = _unpack(packed)
+        tracks.seen, tracks.boxes, tracks.looks = rows[:, 0].copy(), rows[:, 1:5].copy(), rows[:, 5:].copy()
     return tracks
 
 
@@ -42,43 +52,47 @@ class Tracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
-        self.open = handle.getListState("open", OPEN)
+        self.open = handle.getValueState("open", OPEN)
         self.made = handle.getValueState("made", "made long")
 
     def handleInputRows(self, key, rows, timerValues):
         for pdf in rows:
-            self.waiting.appendList([(int(i), float(t), [float(x) for x in b], [float(x) for x in v], float(q)) for i, t, b, v, q in zip(pdf["id"], pdf["ts"], pdf["bbox"], pdf["vec"], pdf["q"], strict=True)])
+            boxes, looks = np.array(pdf["bbox"].tolist(), float), np.array(pdf["vec"].tolist(), float)
+            self.waiting.appendValue(_pack(pdf["id"].to_numpy(), np.column_stack([pdf["ts"], pdf["q"], boxes, looks])))
             self.handle.registerTimer(int(pdf["at"].dt.tz_localize(None).astype("datetime64[ms]").astype("int64").max()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Takes all frames up to the watermark; frames behind it wait for later timers."""
         now = timerValues.getCurrentWatermarkInMs() / 1000 - SHIFT
-        waiting = [tuple(r) for r in self.waiting.get()]
-        due = sorted((r for r in waiting if r[1] <= now + 1e-9), key=lambda r: (r[1], r[0]))
-        tracks = _load([tuple(r) for r in self.open.get()], self.made.get()[0] if self.made.exists() else 0, self.gap)
-        ids, found = [], []
-        if due:
+        waiting = [_unpack(tuple(r)) for r in self.waiting.get()]
+        tracks = _load(tuple(self.open.get()) if self.open.exists() else None, self.made.get()[0] if self.made.exists() else 0, self.gap)
+        ids, found = np.zeros(0, np.int64), []
+        if waiting:
+            ids, rows = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            due = rows[:, 0] <= now + 1e-9
+            rest = (ids[~due], rows[~due])
+            ids, rows = ids[due], rows[due]
+        if len(ids):
             self.waiting.clear()
-            if rest := [r for r in waiting if r[1] > now + 1e-9]:
-                self.waiting.put(rest)
-            ts = np.array([r[1] for r in due])
-            looks = np.array([r[3] for r in due], float)
-            looks /= np.maximum(np.linalg.norm(looks, axis=1, keepdims=True), 1e-12)
-            boxes, quality = np.array([r[2] for r in due], float), np.array([r[4] for r in due], float)
-            for f in np.split(np.arange(len(due)), np.flatnonzero(np.diff(ts)) + 1):
-                found += tracks.frame(ts[f[0]], boxes[f], looks[f], quality[f]).tolist()
-                ids += [due[i][0] for i in f]
+            if len(rest[0]):
+                self.waiting.put([_pack(*rest)])
+            order = np.lexsort((ids, rows[:, 0]))
+            ids, rows = ids[order], rows[order]
+            ts, quality, boxes, looks = rows[:, 0], rows[:, 1], rows[:, 2:6], rows[:, 6:]
+            looks = looks / np.maximum(np.linalg.norm(looks, axis=1, keepdims=True), 1e-12)
+            for f in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ts)) + 1):
+                found.append(tracks.frame(ts[f[0]], boxes[f], looks[f], quality[f]))
             self.made.update((tracks.made,))
             self.handle.registerTimer(int((ts[-1] + self.gap + SHIFT) * 1000) + 1)
         # a track that nothing can join any more ends
-        on = [i for i in range(len(tracks.ids)) if now - tracks.seen[i] <= self.gap]
-        if due or len(on) < len(tracks.ids):
+        on = now - tracks.seen <= self.gap
+        if len(ids) or not on.all():
             self.open.clear()
-            if on:
-                self.open.put([(int(tracks.ids[i]), float(tracks.seen[i]), tracks.boxes[i].tolist(), tracks.looks[i].tolist()) for i in on])
-        if ids:
-            yield pd.DataFrame({self.by: [key[0]] * len(ids), "id": ids, "track": found})
+            if on.any():
+                self.open.update(_pack(tracks.ids[on], np.column_stack([tracks.seen[on], tracks.boxes[on], tracks.looks[on]])))
+        if len(ids):
+            yield pd.DataFrame({self.by: np.full(len(ids), key[0]), "id": ids, "track": np.concatenate(found)})
 
     def close(self) -> None:
         pass

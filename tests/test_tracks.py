@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from galleon.operators import sequences
@@ -45,3 +47,81 @@ def test_any_cut_gives_the_tracks_of_the_whole(spark, tmp_path, cuts):
     step = -(-len(rows) // cuts)  # cuts fall within frames
     rounds = [rows[i : i + step] for i in range(0, len(rows), step)]
     assert run(spark, tmp_path, [*rounds, [END]]) == want and max(want.values()) > 4
+
+
+class _State:
+    """A list or a value, as a state store has it."""
+
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows) if self.many else self.rows[0]
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def update(self, row):
+        self.rows = [row]
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def _make(self, name, many):
+        self.states[name] = _State()
+        self.states[name].many = many
+        return self.states[name]
+
+    def getListState(self, name, schema):
+        return self._make(name, True)
+
+    def getValueState(self, name, schema):
+        return self._make(name, False)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return int((self.at + tracks.SHIFT) * 1000)
+
+
+def test_a_batch_waits_as_one_row():
+    """State grows with batches, not with a row for every detection; what is behind the watermark waits on."""
+    rows = detections(2, videos=1, frames=40)
+    pdf = pd.DataFrame({"id": [r[1] for r in rows], "ts": [r[2] for r in rows], "bbox": [r[3] for r in rows], "vec": [r[4] for r in rows], "q": [r[6] or r[5] for r in rows]})
+    pdf["at"] = pd.to_datetime(((pdf["ts"] + tracks.SHIFT) * 1000).astype("int64"), unit="ms", utc=True)
+    tracker, handle = tracks.Tracker("media_id", 6.0), _Handle()
+    tracker.init(handle)
+    cuts = np.array_split(np.arange(len(pdf)), 3)
+    assert list(tracker.handleInputRows((0,), iter([pdf.iloc[c] for c in cuts]), None)) == []
+    assert len(handle.states["waiting"].rows) == len(handle.timers) == 3
+    early = pd.concat(tracker.handleExpiredTimer((0,), _Clock(20.0), None))
+    assert len(handle.states["waiting"].rows) == 1 and len(handle.states["open"].rows) == 1
+    late = pd.concat(tracker.handleExpiredTimer((0,), _Clock(1000.0), None))
+    assert not handle.states["waiting"].rows and not handle.states["open"].rows
+    whole = sequences.Tracks(6.0)
+    want, pdf = {}, pdf.sort_values(["ts", "id"])
+    for ts, f in pdf.groupby("ts"):
+        looks = np.array(f["vec"].tolist())
+        want |= dict(zip(f["id"], whole.frame(ts, np.array(f["bbox"].tolist()), looks / np.linalg.norm(looks, axis=1, keepdims=True), f["q"].to_numpy()), strict=True))
+    got = pd.concat([early, late])
+    assert 0 < len(early) < len(got) and dict(zip(got["id"], got["track"], strict=True)) == want
