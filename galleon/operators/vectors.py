@@ -77,6 +77,22 @@ def similarity_join(vectors: DataFrame, threshold: float, key: str = "vec_id", c
     return pairs.groupBy("lo", "hi").applyInArrow(run, "a long, b long, similarity double")
 
 
+TOP_ROWS = 1024  # queries of a block that are compared at once
+
+
+def _top(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` greatest of every row, best first, ties by column; no row is sorted whole."""
+    n = sim.shape[1]
+    if k < 1 or not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.partition(sim, n - min(k, n), axis=1)[:, n - min(k, n)]
+    i, j = np.nonzero(sim >= least[:, None])
+    order = np.lexsort((j, -sim[i, j], i))
+    i, j = i[order], j[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first]
+
+
 def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """For each query vector the ``k`` nearest others: block products, then a merge of block winners."""
     n = max(1, -(-vectors.count() // block_rows))
@@ -89,10 +105,15 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_i
         v = matrix(t["v"])
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         y = y[np.argsort(ids[y], kind="stable")]  # ties go to the least id
-        sim = v[x] @ v[y].T
-        sim[ids[x][:, None] == ids[y][None, :]] = -np.inf
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        a, b, s = np.repeat(ids[x], top.shape[1]), ids[y][top].ravel(), np.take_along_axis(sim, top, axis=1).ravel()
+        a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for part in np.array_split(x, -(-len(x) // TOP_ROWS)) if len(x) and len(y) else []:
+            sim = v[part] @ v[y].T
+            sim[ids[part][:, None] == ids[y][None, :]] = -np.inf
+            i, j = _top(sim, k)
+            a.append(ids[part[i]])
+            b.append(ids[y[j]])
+            s.append(sim[i, j])
+        a, b, s = map(np.concatenate, (a, b, s))
         ok = np.isfinite(s)
         return pa.table({"a": a[ok], "b": b[ok], "similarity": s[ok]})
 

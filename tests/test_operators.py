@@ -196,3 +196,14 @@ def test_suppress_counts_in_order_and_takes_many_boxes(spark):
     apart = spark.range(8000).selectExpr("2L AS media_id", "id", "array(id * 30.0D, 0.0D, 20.0D, 20.0D) AS bbox", "0.5D AS quality", "0.5D AS detection")
     start = time.perf_counter()
     assert sequences.suppress(apart, "media_id").count() == 8000 and time.perf_counter() - start < 60
+
+
+def test_the_nearest_are_selected_as_a_stable_sort_has_them():
+    g = np.random.default_rng(0)
+    for k in (1, 3, 7, 40):
+        sim = g.integers(0, 4, size=(25, 40)).astype(float)  # many ties
+        sim[g.random(sim.shape) < 0.2] = -np.inf
+        want = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        i, j = vectors._top(sim, k)
+        assert i.tolist() == np.repeat(np.arange(25), k).tolist() and j.tolist() == want.ravel().tolist()
+    assert [len(x) for x in vectors._top(np.zeros((3, 0)), 2)] == [0, 0]
