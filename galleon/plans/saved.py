@@ -5,7 +5,7 @@ The other way round, ``matches`` finds for a batch of items every saved search t
 without running the searches: each search is filed under one predicate that all its
 matches must meet, the rarest it has (a person of those it asks for all of, or each of several of which one
 is enough; a word; a kind within a month; a kind; or nothing at all).  Items look up what they have by one
-shuffle join, and only what they meet there is tested in full.
+join (a shuffle where there are very many searches), and only what they meet there is tested in full.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from . import search
 QUERY = "struct<words:array<string>,people:array<bigint>,exclude:array<bigint>,mode:string,kind:string,date_from:string,date_to:string,min_quality:double>"
 SAVED = f"search_id bigint, name string, query {QUERY}"
 MONTHS_AT_MOST = 24  # a longer span is filed under its kind
+SENT_KEYS = 100_000  # predicates at most that are sent to every task
 
 
 def save(spark, rows: list[tuple[int, str, search.HybridQuery]]) -> DataFrame:
@@ -95,9 +96,12 @@ def matches(saved: DataFrame, items: DataFrame, faces: DataFrame, captions: Data
     key = lambda how, what: F.transform(what, lambda w: F.struct(F.lit(how).alias("how"), w.cast("string").alias("what")))
     at = F.transform(kinds, lambda k: F.concat(k, F.lit(" "), F.coalesce(_month(F.col("captured_at")), F.lit("-"))))
     has = F.array_distinct(F.concat(key("person", F.col("people")), key("word", F.col("words")), key("month", at), key("kind", kinds)))
-    near = x.select("id", F.inline(has)).join(_filed(saved, known), ["how", "what"]).select("id", "search_id").distinct()
-    rows = near.join(x, "id").join(saved.select("search_id", "query"), "search_id")
-    q = F.col("query")
+    filed, q = _filed(saved, known), F.col("query")
+    most = saved.agg(F.sum(F.size(q["people"]) + F.size(q["words"]) + MONTHS_AT_MOST + 1)).first()[0] or 0
+    # few predicates are sent along, so that items stay where they are
+    sent = F.broadcast if most <= SENT_KEYS else lambda df: df
+    near = x.select("id", F.inline(has)).join(sent(filed), ["how", "what"]).select("id", "search_id").distinct()
+    rows = near.join(x, "id").join(sent(saved.select("search_id", "query")), "search_id")
     day = F.date_add(F.to_date(F.substring(q["date_to"], 1, 10)), 1).cast("timestamp_ntz")
     fits = (
         (q["kind"].isNull() | ~q["kind"].isin("photo", "video") | (F.col("kind") == q["kind"]))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galleon.operators import library, windows
-from galleon.plans import curation
+from galleon.plans import curation, upkeep
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def test_parts_follow_the_rows(spark):
     assert windows.parts(spark.range(0), 10) == windows.parts(spark.range(5), 10) == spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize(("module", "name"), [(curation, "q_soft_delete"), (curation, "q_review_no"), (curation, "q_review_reset")])
+@pytest.mark.parametrize(("module", "name"), [(curation, "q_soft_delete"), (curation, "q_review_no"), (curation, "q_review_reset"), (upkeep, "q_saved_matches")])
 def test_no_task_gets_more_than_its_part(spark, monkeypatch, module, name):
     """With parts for the rows, shuffles of narrow columns are not merged into a few tasks."""
     want = sorted(map(str, getattr(module, name)(spark, SF).collect()))
