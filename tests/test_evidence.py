@@ -74,3 +74,27 @@ def test_nobody(spark):
     none = spark.createDataFrame([], "a long, b long")
     got = op.suggest(spark.createDataFrame([], SCHEMA), 0.6, none, none)
     assert got.pairs.count() == 0 and got.counts["pairs_compared"] == 0
+
+
+def test_a_task_keeps_only_the_best_pairs():
+    """Forty equal people and a stranger: of 780 pairs at one score a block gives the five least, not all."""
+    import pyarrow as pa
+
+    n, same, other = 41, [1.0, 0.0], [0.0, 1.0]
+    vec = [same] * (n - 1) + [other]
+    block = pa.table({"list": [0] * n, "part": [0] * n, "slice": [0] * n, "side": [0] * n, "person_id": list(range(n))[::-1], "embedding": vec, "radius": [0.0] * n, "crops": [[v] for v in vec]})
+    got = op._meet(0.4, 0.5, -1.0, True, 5)(block).to_pylist()
+    assert [(r["a"], r["b"]) for r in got[:-1]] == [(1, b) for b in range(2, 7)] and got[-1]["compared"] == 780
+
+
+@pytest.mark.parametrize("dense", [0.0, 1.0])
+def test_slices_and_chunks_lose_nothing(spark, monkeypatch, dense):
+    monkeypatch.setattr(op, "VISITORS", 9)
+    monkeypatch.setattr(op, "CELLS", 400)
+    monkeypatch.setattr(op, "SENT", 3)
+    monkeypatch.setattr(op, "DENSE", dense)
+    rows = faces(2)
+    want, _ = brute(rows, 0.6, set(), set(), 30, 30)
+    none = spark.createDataFrame([], "a long, b long")
+    got = op.suggest(spark.createDataFrame(rows, SCHEMA), 0.6, none, none, 30, 30, 4, 6).pairs.orderBy("score", ascending=False).collect()
+    assert [(r.a, r.b) for r in got] == [x[:2] for x in want] and [r.score for r in got] == pytest.approx([x[2] for x in want])
