@@ -70,3 +70,27 @@ def test_against_brute_force(spark, seed, block):
 def test_edges(spark):
     none = op.reconcile(spark.createDataFrame([], SCHEMA), 0.5, spark.createDataFrame([], "person_id long"))
     assert [x.count() for x in none] == [0, 0, 0]
+
+
+def test_groups_of_many_are_tried_without_pairs(spark, monkeypatch):
+    """Three thousand look-alikes of one item, most at one of three times: few can be one, and no pair of them is listed."""
+    monkeypatch.setattr(op, "STEP", 64)
+    n = 3000
+    times = [None, 1.0, 2.0, 2.0005, 3.0009, 3.0, float("inf")]
+    faces = [(i, i, 5 if i % 50 else i, times[i % 3 + 1] if i % 100 else times[i // 100 % 7], [1.0, 0.001 * (i % 7)], 0.5) for i in range(n)]
+    shown = spark.createDataFrame(faces, SCHEMA)
+    met, want = [faces[0]], []
+    for f in faces[1:]:
+        if not any(f[2] == g[2] and (f[3] is None or g[3] is None or abs(f[3] - g[3]) <= 0.001) for g in met):
+            met.append(f)
+            want.append((f[1], 0))
+    nobody = spark.createDataFrame([], "person_id long")
+    for block in (700, 100_000):
+        got = op.reconcile(shown, 0.9, nobody, block=block)[0]
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+
+
+def test_sights():
+    one = op._Sights()
+    one.add([(1, 2.0), (2, None), (3, float("inf")), (4, 1.0), (4, 5.0)])
+    assert [one.meets([s]) for s in ((1, 2.001), (1, 2.1), (1, None), (2, 9.0), (3, float("inf")), (3, None), (4, 4.9995), (4, 3.0), (5, None))] == [True, False, True, True, False, True, True, False, False]
