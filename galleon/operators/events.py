@@ -96,8 +96,10 @@ def joined(a: Event, b: Event, home: tuple[float, float] | None) -> bool:
 
 def home_of(items: DataFrame, by: str) -> DataFrame:
     """(by, home_lat, home_lon): the cell with most months, then days, then items; least cell on ties."""
-    cell = items.where("lat is not null and lon is not null").withColumns({"a": F.bround(F.col("lat") * 20) / 20, "o": F.bround(F.col("lon") * 20) / 20})
-    g = cell.groupBy(by, "a", "o").agg(F.count_distinct(F.date_format("ts", "yyyy-MM")).alias("months"), F.count_distinct(F.to_date("ts")).alias("days"), F.count(F.lit(1)).alias("n"))
+    cell = items.where("lat is not null and lon is not null").withColumns({"a": F.bround(F.col("lat") * 20) / 20, "o": F.bround(F.col("lon") * 20) / 20, "_day": F.to_date("ts")})
+    days = cell.groupBy(by, "a", "o", "_day").agg(F.count(F.lit(1)).alias("n"))
+    months = days.groupBy(by, "a", "o", F.trunc("_day", "MM").alias("_month")).agg(F.count("_day").alias("days"), F.sum("n").alias("n"))
+    g = months.groupBy(by, "a", "o").agg(F.count("_month").alias("months"), F.sum("days").alias("days"), F.sum("n").alias("n"))
     best = g.groupBy(by).agg(F.max(F.struct("months", "days", "n", (-F.col("a")).alias("a"), (-F.col("o")).alias("o"))).alias("x"))
     return best.select(by, (-F.col("x.a")).alias("home_lat"), (-F.col("x.o")).alias("home_lon"))
 
@@ -125,18 +127,19 @@ def _detect(rows: pa.Table) -> pa.Table:
     first[1:] = (user[1:] != user[:-1]) | (sup[1:] != sup[:-1])
     runs = np.append(np.flatnonzero(first | ~linked.astype(bool)), n)
     number, event, count = np.zeros(n, np.int64), None, 0
+    start, begun = np.zeros(n, np.int64), 0  # where the row's event begins
     for i, j in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
         for a, b in stretches(i, j, s, seen, vec) if j - i >= SPLIT_ITEMS else [(i, j)]:
             at = here[a:b]
             new = Event(s[a], s[b - 1], lat[a:b][at].tolist(), lon[a:b][at].tolist(), frozenset().union(*people[a:b]))
             if first[a]:
-                event, count = new, 1
+                event, count, begun = new, 1, a
             elif joined(event, new, None if math.isnan(home[a][0]) else home[a]):
                 event.take(new)
             else:
-                event, count = new, count + 1
-            number[a:b] = count
-    return pa.table({"user": rows["user"], "key": rows["key"], "super": rows["super"], "event": pa.array(number)})
+                event, count, begun = new, count + 1, a
+            number[a:b], start[a:b] = count, begun
+    return pa.table({"user": rows["user"], "key": rows["key"], "super": rows["super"], "event": pa.array(number), "s": rows["s"], "first_s": rows["s"].take(pa.array(start)), "first_key": rows["key"].take(pa.array(start)), "old": rows["old"]})
 
 
 def detect(items: DataFrame, by: str = "user_id", key: str = "event_id", rows_a_group: int = 50_000, home: DataFrame | None = None) -> DataFrame:
@@ -144,6 +147,11 @@ def detect(items: DataFrame, by: str = "user_id", key: str = "event_id", rows_a_
 
     ``home`` is as from ``home_of``, where the items are not all of a user's.  Users are dealt to groups of about ``rows_a_group`` rows; one super-session is never cut.
     """
+    return numbered(items.withColumn("old", F.lit(None).cast("long")), items.count(), by, key, rows_a_group, home).select(by, key, "super", "event")
+
+
+def numbered(items: DataFrame, n: int, by: str, key: str, rows_a_group: int = 50_000, home: DataFrame | None = None) -> DataFrame:
+    """As ``detect``, with the second of every one of the ``n`` items, the second and key of its event's first, and its column ``old``."""
     rows = sessions.sessions(items, TRIP_HOURS, by, "ts", key).withColumnRenamed("session", "super").withColumn("s", sessions.seconds(F.col("ts")))
     before = lambda c: windows.previous(c, [by], ["s", key])
     hours = (F.col("s") - before("s")) / 3600
@@ -152,8 +160,8 @@ def detect(items: DataFrame, by: str = "user_id", key: str = "event_id", rows_a_
     rows = rows.withColumn("linked", F.coalesce((hours <= LINK_HOURS) & near, F.lit(False)))
     rows = rows.join(home if home is not None else home_of(items, by), by, "left")
     real = [F.col(c).cast("double").alias(c) for c in ("lat", "lon", "home_lat", "home_lon")]
-    rows = rows.select(F.col(by).alias("user"), F.col(key).alias("key"), "super", "s", "linked", *real, F.col("vec").cast("array<double>").alias("vec"), F.col("people").cast("array<long>").alias("people"))
-    groups = max(1, -(-items.count() // rows_a_group))
+    rows = rows.select(F.col(by).alias("user"), F.col(key).alias("key"), "super", "s", "linked", *real, F.col("vec").cast("array<double>").alias("vec"), F.col("people").cast("array<long>").alias("people"), "old")
+    groups = max(1, -(-n // rows_a_group))
     rows = rows.withColumn("_g", F.pmod(F.xxhash64("user", "super"), F.lit(groups)))
-    found = rows.groupBy("_g").applyInArrow(lambda t: _detect(t), "user long, key long, super long, event long")
-    return found.select(F.col("user").alias(by), F.col("key").alias(key), "super", "event")
+    found = rows.groupBy("_g").applyInArrow(lambda t: _detect(t), "user long, key long, super long, event long, s double, first_s double, first_key long, old long")
+    return found.withColumnsRenamed({"user": by, "key": key})

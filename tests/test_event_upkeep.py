@@ -109,3 +109,29 @@ def test_stable_ids_against_the_rule(spark):
     ev = spark.createDataFrame([(e, int(e in edited)) for e in range(1, 26)], "id long, user_edited int")
     out = library.stable_ids(spark.createDataFrame(found, "scope long, group long, media_id long"), spark.createDataFrame(current, "media_id long, event_id long, locked int"), ev)
     assert {(x.scope, x.group): x.event_id for x in out.collect()} == want
+
+
+def test_old_sessions_are_told_only_where_items_are_gone(spark, monkeypatch):
+    """A batch that only adds items cuts sessions twice (all, and those clustered anew), one that removes some, three times."""
+    calls, plain = [], op.sessions.sessions
+    monkeypatch.setattr(op.sessions, "sessions", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    r = random.Random(3)
+    rows = [item(r, i) for i in range(30)]
+    df = lambda some: spark.createDataFrame(some, SCHEMA)
+    state, _ = op.refresh(df(rows[:20]), op.begin(df(rows)))
+    assert len(calls) == 2
+    state, _ = op.refresh(df(rows), state)
+    assert len(calls) == 4
+    op.refresh(df(rows[5:]), state)
+    assert len(calls) == 7
+
+
+def test_every_row_knows_the_first_of_its_event(spark):
+    r = random.Random(4)
+    rows = spark.createDataFrame([item(r, i) for i in range(60)], SCHEMA).withColumn("old", F.col("event_id") * 2)
+    found = [x.asDict() for x in events.numbered(rows, 60, "user_id", "event_id", 10).collect()]
+    first = {}
+    for x in sorted(found, key=lambda x: (x["s"], x["event_id"])):
+        assert first.setdefault((x["user_id"], x["super"], x["event"]), (x["s"], x["event_id"])) == (x["first_s"], x["first_key"])
+        assert x["old"] == 2 * x["event_id"]
+    assert len(found) == 60 and len(first) > 5
