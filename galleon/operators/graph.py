@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from ..session import shared_folder
 from . import windows
 
@@ -15,22 +16,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _roots(parent: DataFrame, tables: Scratch) -> DataFrame:
+    """(id, root) of a forest (id, parent) whose roots are their own parents, by pointer jumping."""
+    while True:
+        up = parent.select(F.col("id").alias("_at"), F.col("parent").alias("_up"))
+        step = tables.write(parent.join(up, F.col("parent") == F.col("_at")).select("id", "parent", F.col("_up").alias("root")))
+        done = step.where("root <> parent").isEmpty()
+        parent = step.select("id", F.col("root").alias("parent"))
+        if done:
+            return step.select("id", "root")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): least id reachable, by minimum labels with pointer jumping.
+    """(id, component): least id reachable, by contraction.
 
-    The training-data subpackage has the same algorithm of its own, as either part must work without the other.
+    Everyone points at its least neighbour or itself, pointers are followed to their roots, and what is left
+    are the distinct edges between roots, until there are none.  Whoever is nobody's follower has a lesser root beside it
+    in the next round, so two rounds at least halve the ids.
+
+    The training-data subpackage finds the same in its own way, as either part must work without the other.
     """
-    pair = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
-    pair = cut(pair.union(pair.select("dst", "src")).distinct())
-    label = cut(pair.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
-    while True:
-        near = pair.join(label, pair.dst == label.id).groupBy("src").agg(F.min("component").alias("near"))
-        step = label.join(near, label.id == near.src).select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        root = label.select(F.col("id").alias("root"), F.col("component").alias("jump"))
-        step = cut(step.join(root, step.new == root.root).select("id", "old", F.least("new", "jump").alias("component")))
-        label = step.select("id", "component")
-        if step.where("old <> component").isEmpty():
-            return label
+    spark = edges.sparkSession
+    tables = Scratch(spark)
+    left = tables.write(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst"))
+    levels = []
+    while not left.isEmpty():
+        # both ways in one pass; partial minima come first
+        ways = left.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("next")), F.struct(F.col("dst").alias("id"), F.col("src").alias("next")))))
+        parent = tables.write(ways.groupBy("id").agg(F.least(F.min("next"), F.col("id")).alias("parent")))
+        root = _roots(parent, tables)
+        levels.append(root)
+        of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"_{c}"))
+        half = left.join(of("src"), "src").where("_src <> dst").select(F.col("_src").alias("src"), "dst").distinct()
+        both = half.join(of("dst"), "dst").where("src <> _dst").select(F.least("src", "_dst").alias("src"), F.greatest("src", "_dst").alias("dst")).distinct()
+        was, left = left, tables.write(both)
+        tables.drop(was)
+    if not levels:
+        return left.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    label = levels.pop()
+    while levels:  # roots of a round are named by the rounds after it
+        after = label.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+        below = levels.pop()
+        label = below.join(after, below.root == F.col("_id"), "left").select("id", F.coalesce("_root", "root").alias("root"))
+    label = Scratch(spark).write(label.select("id", F.col("root").alias("component")))
+    tables.drop()
+    return label
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:
