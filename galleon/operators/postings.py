@@ -30,7 +30,6 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import stems
 from . import graph, windows
@@ -107,13 +106,73 @@ def generations(spark: SparkSession, index: Index) -> list[int]:
         return []
 
 
+LISTS = "slice int, term string, id array<long>, tf array<int>, len array<int>"
+PACKED = "_b int, slice int, term string, block long, first long, last long, n int, most int, least int, postings array<struct<id:long,tf:int,len:int>>"
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (slice, id, len, terms, tfs) as lists by slice and term of the batch's documents: fewer rows to deal and sort."""
+    for batch in batches:
+        terms = batch.column("terms")
+        size = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = terms.flatten().dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        key = np.repeat(batch.column("slice").to_numpy().astype(np.int64), size) * n + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        at = pa.array(np.append(starts, len(key)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (np.repeat(batch.column("id").to_numpy(), size), batch.column("tfs").flatten().to_numpy(), np.repeat(batch.column("len").to_numpy(), size))]
+        yield pa.RecordBatch.from_arrays([pa.array(key[starts] // n, pa.int32()), coded.dictionary.take(pa.array(key[starts] % n)), *lists], ["slice", "term", "id", "tf", "len"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of lists (_b, slice, term, id, tf, len) sorted by the first three; a term's lists may go on in the next batch."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        if rows.num_rows:
+            new = _fresh(rows)
+            last = int(np.flatnonzero(new)[-1])
+            held = rows.slice(last).combine_chunks().to_batches()[0]
+            if last:
+                yield _blocks(rows.slice(0, last).combine_chunks(), new[:last])
+    if held is not None:
+        rows = pa.Table.from_batches([held])
+        yield _blocks(rows, _fresh(rows))
+
+
+def _fresh(rows: pa.Table) -> np.ndarray:
+    """Which rows are the first of their term in their slice."""
+    b, part, term = rows["_b"].to_numpy(), rows["slice"].to_numpy(), rows["term"].combine_chunks()
+    new = np.ones(len(b), bool)
+    new[1:] = (b[1:] != b[:-1]) | (part[1:] != part[:-1]) | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _blocks(rows: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+    """Every term's postings by id, at most ``BLOCK`` a row."""
+    run = np.repeat(np.cumsum(new) - 1, pc.list_value_length(rows["id"]).to_numpy())
+    ids, tf, size = (rows[c].combine_chunks().flatten().to_numpy() for c in ("id", "tf", "len"))
+    order = np.lexsort((ids, run))
+    ids, tf, size = ids[order], tf[order], size[order]  # runs are in order already
+    begin = np.searchsorted(run, np.arange(int(run[-1]) + 1))
+    place = np.arange(len(ids)) - begin[run]
+    starts = np.flatnonzero(place % BLOCK == 0)
+    ends = np.append(starts[1:], len(ids))
+    head = pa.array(np.flatnonzero(new)[run[starts]])
+    each = pa.StructArray.from_arrays([pa.array(x) for x in (ids, tf, size)], ["id", "tf", "len"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), each)
+    named = [rows[c].combine_chunks().take(head) for c in ("_b", "slice", "term")]
+    more = (place[starts] // BLOCK, ids[starts], ids[ends - 1], (ends - starts).astype(np.int32), np.maximum.reduceat(tf, starts), np.minimum.reduceat(size, starts))
+    return pa.RecordBatch.from_arrays([*named, *map(pa.array, more), lists], ["_b", "slice", "term", "block", "first", "last", "n", "most", "least", "postings"])
+
+
 def _add(index: Index, generation: int, new: DataFrame, old: DataFrame | None) -> None:
     """Writes a generation: ``new`` documents (id, len, terms, tfs) in place of ``old`` ones."""
-    each = new.select("id", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("id", "len", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
-    each = each.withColumns({"_b": _bucket(index), "slice": _slice(index)}).repartition("_b", "slice")
-    place = F.row_number().over(Window.partitionBy("_b", "slice", "term").orderBy("id")) - 1
-    rows = each.withColumn("block", F.floor(place / BLOCK)).groupBy("_b", "slice", "term", "block")
-    rows = rows.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"))  # at most BLOCK
+    each = new.select(_slice(index).alias("slice"), "id", "len", "terms", "tfs").mapInArrow(_gather, LISTS)
+    each = each.select(_bucket(index).alias("_b"), "slice", "term", "id", "tf", "len").repartition("_b", "slice")
+    rows = each.sortWithinPartitions("_b", "slice", "term").mapInArrow(_pack, PACKED)
     _write(rows.sortWithinPartitions("_b", "term", "slice", "block"), index, "blocks", generation, "_b")
     change = new.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
     if old is not None:

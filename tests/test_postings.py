@@ -122,3 +122,29 @@ def test_empty(spark, tmp_path):
     index = op.build(docs(spark, []), op.Index(str(tmp_path)))
     assert op.search(spark, index, ["photo"], 5).count() == 0
     assert op.search(spark, op.Index(str(tmp_path / "none")), ["photo"], 5).count() == 0
+
+
+def test_blocks_from_lists_of_batches():
+    """Lists of one term from several batches, their ids mixed, are the same blocks however the sorted rows are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(0)
+    docs = {int(i): {t: int(g.integers(1, 5)) for t in ("a", "b", "c") if t == "a" or g.random() < 0.3} for i in g.permutation(700)}
+    lists = []
+    for some in np.array_split(np.array(list(docs)), 9):
+        batch = pa.RecordBatch.from_pydict({"slice": pa.array(some % 2, pa.int32()), "id": pa.array(some), "len": pa.array(some % 50 + 1, pa.int32()), "terms": [list(docs[i]) for i in some.tolist()], "tfs": pa.array([list(docs[i].values()) for i in some.tolist()], pa.list_(pa.int32()))})
+        lists += next(op._gather(iter([batch]))).to_pylist()
+    assert len(lists) == 9 * 2 * 3
+    lists.sort(key=lambda r: (r["slice"], r["term"]))
+    rows = pa.RecordBatch.from_pylist([{"_b": 0} | r for r in lists], pa.schema([("_b", pa.int32()), ("slice", pa.int32()), ("term", pa.string()), ("id", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32())), ("len", pa.list_(pa.int32()))]))
+    want = []
+    for part in (0, 1):
+        for t in ("a", "b", "c"):
+            held = sorted((i, d[t], i % 50 + 1) for i, d in docs.items() if i % 2 == part and t in d)
+            want += [(part, t, k, held[k * 128 : k * 128 + 128]) for k in range(-(-len(held) // 128))]
+    for step in (1, 4, 54):
+        got = [r for b in op._pack(rows.slice(k, step) for k in range(0, 54, step)) for r in b.to_pylist()]
+        assert [(r["slice"], r["term"], r["block"], [tuple(p.values()) for p in r["postings"]]) for r in got] == want
+        assert all((r["first"], r["last"], r["n"]) == (r["postings"][0]["id"], r["postings"][-1]["id"], len(r["postings"])) for r in got)
+        assert all((r["most"], r["least"]) == (max(p["tf"] for p in r["postings"]), min(p["len"] for p in r["postings"])) for r in got)
