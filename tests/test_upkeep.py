@@ -51,3 +51,20 @@ def test_merge_evidence(spark):
     want, _ = suggested(rows, 0.48, set(), set(), 600, 60)
     got = upkeep.q_merge_evidence(spark, SF).collect()
     assert {(r.a, r.b) for r in got} == {x[:2] for x in want} and len(want) > 2
+
+
+def test_package_import_does_not_depend_on_the_order_of_lines(spark, tmp_path):
+    """Of lines that are alike but for their supplier, the package gives that of the least, wherever it stands; the library's own all stay."""
+    lines = [(order, 1 + order % 7 if n % 2 else 9 - order % 7, 1 + n // 2, 10.5) for order in range(30) for n in range(6)]
+    want = {}
+    for order in range(30):
+        mine = [x for x in lines if x[0] == order]
+        for _, supplier, *_ in mine if order % 3 < 2 else [min(x for x in mine if x[2] == line) for line in (1, 2, 3)]:
+            n, items, price = want.get(f"s{supplier}", (0, frozenset(), 0.0))
+            want[f"s{supplier}"] = n + 1, items | {order}, price + order
+    for name, rows in (("up", lines), ("down", lines[::-1])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        spark.range(30).select(F.col("id").alias("o_orderkey"), F.col("id").cast("double").alias("o_totalprice")).write.parquet(f"{at}/orders.parquet")
+        spark.range(1, 10).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("s"), "id").alias("s_name")).write.parquet(f"{at}/supplier.parquet")
+        assert {r["name"]: (r.n, r["items"], r.price) for r in upkeep.q_package_import(spark, at).collect()} == {k: (n, len(items), price) for k, (n, items, price) in want.items()}, name
