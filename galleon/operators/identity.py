@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, graph, vectors, windows
+from . import ann, graph, meetings, vectors, windows
 
 
 def assign(faces: DataFrame, people: DataFrame, threshold: float, margin: float = 0.04, block_rows: int = 4096) -> DataFrame:
@@ -68,38 +68,11 @@ def collisions(faces: DataFrame, tolerance: float = 0.001) -> DataFrame:
     return l.join(r, "media_id").where((F.col("a") < F.col("b")) & ok).select("a", "b").distinct()
 
 
-SIZE_CLASSES = 6  # each with radii from one to the square root of two times the next one's
-
-
 def tracker_splits(faces: DataFrame, seconds: float = 12.0, sizes: float = 0.6) -> DataFrame:
     """(a, b): people seen in one video within seconds and at nearly one place, as if tracking had lost them between.
 
-    Faces (person_id, media_id, timestamp, cx, cy, size) meet by video, slot of time and cell of place.  The larger of
-    two faces sets how far they may be apart: it looks into the cells that its size class reaches, and faces lie
-    in the cells of their own class and all larger ones.
+    Faces are (person_id, media_id, timestamp, cx, cy, size).  The larger of two faces sets how far they may be apart.
     """
-    rows = faces.where("person_id is not null and timestamp is not null").select("person_id", "media_id", "timestamp", "cx", "cy", F.coalesce("size", F.lit(-1.0)).cast("double").alias("size"))
-    wide = lambda c: F.isnan(c) | (c == float("inf"))
-    top = sizes * (rows.agg(F.max(F.when(~wide(F.col("size")), F.col("size")))).first()[0] or 0.0)
-    radii = [float("inf"), *((top if top > 0 else 1.0) / 2 ** (i / 2) for i in range(SIZE_CLASSES))]
-    r = sizes * F.col("size")
-    # the least radius that holds a face's own; faces of class i lie in the cells of classes 0 to i
-    of = F.when(wide(r), 0)
-    for i in range(SIZE_CLASSES, 0, -1):
-        of = of.when(r <= radii[i], i)
-    rows = rows.withColumn("of", of.otherwise(1))
-    width = 2 * F.get(F.array(*map(F.lit, radii)), F.col("class"))
-    slot = F.col("timestamp") / (2 * seconds)
-    cell = lambda c, reach: F.when(F.col("class") == 0, 0).otherwise(F.floor(F.col(c) / width + reach)).cast("long")
-    near = lambda at, low, high: F.explode(F.sequence(at(low), at(high)))
-    reach = 0.5 + 1e-6
-    l = rows.withColumn("class", F.col("of")).withColumn("slot", near(lambda d: F.floor(slot + d), -reach, reach))  # noqa: E741
-    for c in ("cx", "cy"):
-        l = l.withColumn(f"cell_{c}", near(lambda d, c=c: cell(c, d), -reach, reach))  # noqa: E741
-    s = rows.withColumn("class", F.explode(F.sequence(F.lit(0), F.col("of")))).withColumns({"slot": F.floor(slot), "cell_cx": cell("cx", 0.0), "cell_cy": cell("cy", 0.0)})
-    keys = ["media_id", "class", "slot", "cell_cx", "cell_cy"]
-    named = lambda df, side: df.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("person_id", "timestamp", "cx", "cy", "size")))
-    gap = F.abs(F.col("timestamp_a") - F.col("timestamp_b"))
-    ok = F.hypot(F.col("cx_a") - F.col("cx_b"), F.col("cy_a") - F.col("cy_b")) <= sizes * F.col("size_a")
-    met = named(l, "a").join(named(s, "b"), keys).where((F.col("size_a") >= F.col("size_b")) & (F.col("person_id_a") != F.col("person_id_b")) & (gap > 0) & (gap <= seconds) & ok)
-    return met.select(F.least("person_id_a", "person_id_b").alias("a"), F.greatest("person_id_a", "person_id_b").alias("b")).distinct()
+    rows = faces.select("person_id", "media_id", "timestamp", "cx", "cy", (sizes * F.coalesce("size", F.lit(-1.0)).cast("double")).alias("r"))
+    kind = dict(faces.dtypes)["person_id"]
+    return meetings.meetings(rows, seconds).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
